@@ -37,7 +37,8 @@ def over(n: str, d: str) -> str:
 
 
 def r(x: str) -> str:
-    return f"round({x}, {DIGITS})"
+    # The same machine operations as in Spark, so that a tie at the last digit falls alike.
+    return f"floor(({x}) * 1e{DIGITS} + 0.5e0) / 1e{DIGITS}"
 
 
 def week_range(weeks) -> str:
@@ -290,7 +291,7 @@ MODEL_CELLS = "cmp_rank att_rank yds_rank tds_rank int_rank epa_rank total_inter
 
 def _scored() -> str:
     eta = " + ".join(
-        f"({b!r})" if t == INTERCEPT else f"({b!r}) * {t}" for t, b in ((t, float(b)) for t, b in COEFFICIENTS.items())
+        f"({b!r}e0)" if t == INTERCEPT else f"({b!r}e0) * {t}" for t, b in ((t, float(b)) for t, b in COEFFICIENTS.items())
     )
     eta = f"cast({eta} as double)"
     odds = f"case when eta < -{LOGIT_LIMIT} then {EPSILON!r} when eta > {LOGIT_LIMIT} then {1 / EPSILON!r} else exp(eta) end"

@@ -110,7 +110,8 @@ class Tables:
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to a fixed number of digits, for comparing results across engines."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
-    return df.withColumns({c: F.round(F.col(f"`{c}`"), DIGITS) for c in doubles}) if doubles else df
+    scale = 10.0**DIGITS
+    return df.withColumns({c: F.floor(F.col(f"`{c}`") * scale + 0.5) / scale for c in doubles}) if doubles else df
 
 
 def _both_sides(t: Tables, make: Callable[[str], DataFrame]) -> DataFrame:

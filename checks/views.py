@@ -16,7 +16,7 @@ VIEWS: dict[str, str] = {
     "fx_base": """
 select l.*, s.s_nationkey as tk, p.p_brand, p.p_size,
   cast(year(l_shipdate) as int) as season, cast(weekofyear(l_shipdate) as int) as week,
-  cast(l_quantity as int) as q, cast(round(l_discount*100) as int) as dc, cast(round(l_tax*100) as int) as tx,
+  cast(l_quantity as int) as q, cast(floor(l_discount*100+0.5e0) as int) as dc, cast(floor(l_tax*100+0.5e0) as int) as tx,
   concat('T', lpad(cast(s.s_nationkey as string),2,'0')) as tm,
   concat('P', lpad(cast(l_suppkey as string),6,'0')) as pid,
   concat_ws('-', cast(l_orderkey as string), cast(l_linenumber as string), cast(l_partkey as string), cast(l_suppkey as string), cast(cast(l_shipdate as date) as string)) as play_id,
