@@ -183,7 +183,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "missing_cells": lambda t: qb.missing_cells(t.labelled),
     "class_counts": lambda t: qb.frequencies(t.labelled, "mvp"),
     "train_seasons": lambda t: qb.frequencies(qb.training_rows(t.labelled, RULES), "season"),
-    "test_seasons": lambda t: qb.frequencies(qb.test_rows(t.labelled, RULES), "season"),
+    "test_seasons": lambda t: qb.frequencies(qb.testing_rows(t.labelled, RULES), "season"),
     # award, with a given model
     "season_prob": lambda t: t.scored.select(
         "season", "team", "player_display_name", "player_id", "mvp", "pred", "pred_mvp", "mvp_prob"

@@ -126,5 +126,5 @@ def training_rows(labelled: DataFrame, rules: AwardRules = AwardRules()) -> Data
     return labelled.filter(inside & _not_in("season", rules.train_left_out))
 
 
-def test_rows(labelled: DataFrame, rules: AwardRules = AwardRules()) -> DataFrame:
+def testing_rows(labelled: DataFrame, rules: AwardRules = AwardRules()) -> DataFrame:
     return labelled.filter(F.col("season") >= rules.test_first_season)

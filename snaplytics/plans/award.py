@@ -12,7 +12,7 @@ from snaplytics.operators.quarterbacks import (
     AwardRules,
     qb_ranks,
     qb_season,
-    test_rows,
+    testing_rows,
     training_rows,
     winners,
     with_award,
@@ -39,6 +39,6 @@ class AwardRun:
 
 def run_award_model(labelled: DataFrame, rules: AwardRules = AwardRules()) -> AwardRun:
     labelled = cut_lineage(labelled)
-    train, test = training_rows(labelled, rules), test_rows(labelled, rules)
+    train, test = training_rows(labelled, rules), testing_rows(labelled, rules)
     model = award_model.fit(train)
     return AwardRun(model, award_model.score(train, model.coefficients), award_model.score(test, model.coefficients))
