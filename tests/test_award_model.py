@@ -77,6 +77,17 @@ def test_coefficient_and_fit_tables(spark, model):
     assert fitted["residual_df"] == 394 and fitted["null_df"] == 399
 
 
+def test_profile_intervals_agree_with_refits(training, data):
+    x, y = np.column_stack([np.ones(400), data[0][:, 0]]), data[1]
+    model = am.fit(training, ["tds_rank"])
+    out = {r["term"]: r for r in am.profile_intervals(training.coalesce(1), model).collect()}
+    for j, term in enumerate(model.terms):
+        for bound in (out[term]["conf_low"], out[term]["conf_high"]):
+            gained = irls(np.delete(x, j, axis=1), y, offset=bound * x[:, j])[2] - model.deviance
+            assert math.isclose(math.sqrt(gained), 1.959963984540054, abs_tol=2e-3)
+        assert out[term]["conf_low"] < out[term]["estimate"] < out[term]["conf_high"]
+
+
 def test_column_expression_scores_as_the_fitted_model(training, model):
     assembled = VectorAssembler(inputCols=list(am.FEATURES), outputCol="features").transform(training)
     glm = GeneralizedLinearRegression(family="binomial", link="logit", labelCol="mvp", tol=1e-8)
@@ -118,6 +129,12 @@ def test_separated_classes_warn(spark):
     assert model.separated and any("separated" in str(w.message) for w in caught)
 
 
+def test_limit_that_is_never_reached_is_unknown():
+    assert am._limit(lambda b: 1.0 + min(abs(b), 1.0), 1.0, 0.0, 1.0, 1e-4, 12) is None
+    assert am._limit(lambda b: 1.0 + b * b, 1.0, 0.0, -1.0, 1e-4, 12) == pytest.approx(-1.959964, abs=1e-4)
+    assert am._limit(lambda b: 1.0 + abs(b) ** 3, 1.0, 0.0, 1.0, 1e-4, 12) == pytest.approx(3.841459 ** (1 / 3), abs=1e-3)
+
+
 def test_confusion_and_metrics(spark):
     pairs = [(1.0, 1.0)] * 5 + [(1.0, 0.0)] * 3 + [(0.0, 1.0)] * 2 + [(0.0, 0.0)] * 90 + [(None, 1.0), (1.0, None)]
     scored = spark.createDataFrame(pairs, "pred_mvp double, mvp double")

@@ -12,7 +12,7 @@ from snaplytics.plans.team_reports import TeamSources, team_result_tables, write
 from tests.helpers import final_plan, plan, rows
 
 FOLDER = "/root/testdata/sf0.001"
-FITTED = {"mvp_model_scored", "mvp_coefficients", "mvp_profile_intervals", "mvp_fit", "mvp_test_metrics"}
+FITTED = {"mvp_model_scored", "mvp_coefficients", "mvp_fit", "mvp_test_metrics"}
 
 
 @pytest.mark.parametrize("name", [n for n in BUILDERS if n not in FITTED])
