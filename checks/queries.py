@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from checks.views import derived
+from checks.views import Derived
 from snaplytics.operators import award_model as am
 from snaplytics.operators import games, pivot, plays, quarterbacks as qb, receivers, team_week as tw
 from snaplytics.plans.award import labelled_quarterbacks, run_award_model
@@ -44,10 +44,11 @@ class Tables:
     """The derived tables of one folder and the intermediate tables of the jobs, all lazy."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark, self.folder = spark, folder
+        self.spark = spark
+        self._derived = Derived(spark, folder)
 
     def view(self, name: str) -> DataFrame:
-        return derived(self.spark, self.folder, f"fx_{name}")
+        return self._derived.table(f"fx_{name}")
 
     @cached_property
     def plays(self) -> DataFrame:

@@ -123,11 +123,22 @@ def with_views(query: str) -> str:
     return "with " + ",\n".join(parts) + "\n" + text
 
 
-def derived(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    """The view ``name`` over the parquet tables in ``folder``, as a lazy Spark table."""
-    views = {**VIEWS, **SPARK_ONLY}
-    bodies = [views[v] for v in needed(name, views)]
-    tables = [t for t in BASE_TABLES if any(re.search(rf"\b{t}\b", b) for b in bodies)]
-    parts = [f"{t} as (select * from parquet.`{folder.rstrip('/')}/{t}.parquet`)" for t in tables]
-    parts += [f"{v} as ({views[v]})" for v in needed(name, views)]
-    return spark.sql("with " + ",\n".join(parts) + f"\nselect * from {name}")
+class Derived:
+    """The views over the parquet tables in one folder as lazy Spark tables, each built once."""
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self.spark, self.folder = spark, folder.rstrip("/")
+        self._built: dict[str, DataFrame] = {}
+
+    def table(self, name: str) -> DataFrame:
+        if name not in self._built:
+            self._built[name] = self._build(name)
+        return self._built[name]
+
+    def _build(self, name: str) -> DataFrame:
+        if name in BASE_TABLES:
+            return self.spark.read.parquet(f"{self.folder}/{name}.parquet")
+        text = SPARK_ONLY.get(name, VIEWS[name])
+        inputs = [n for n in (*BASE_TABLES, *VIEWS) if re.search(rf"\b{n}\b", text)]
+        text = re.sub(rf"\b({'|'.join(inputs)})\b", r"{\1}", text)
+        return self.spark.sql(text, **{n: self.table(n) for n in inputs})

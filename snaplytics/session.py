@@ -26,6 +26,7 @@ def local_session(app: str = "snaplytics", cores: str = "8", partitions: int = 8
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every column cost time
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
     for key, value in {**JOB_SETTINGS, **extra}.items():
