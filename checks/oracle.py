@@ -335,7 +335,7 @@ def _metrics() -> str:
 {" union all ".join(rows)}"""
 
 
-MISSES = f"""select season, player_display_name,
+MISSES = f"""select season, player_display_name, team, player_id,
   case when mvp = 1 then 'Actual MVP' else 'Predicted MVP' end as outcome
 from ({SCORED}) where (mvp = 1 and pred_mvp = 0) or (mvp = 0 and pred_mvp = 1)"""
 RACE_ORDER = "mvp_prob desc nulls last, player_display_name nulls last, team nulls last, player_id nulls last"
@@ -412,11 +412,13 @@ as bigint) as num_missing from ({LABELLED})""",
   {r("mvp_prob")} as mvp_prob from ({SCORED})""",
         "confusion": CONFUSION,
         "binary_metrics": _metrics(),
-        "misses": MISSES,
+        "misses": f"select season, player_display_name, outcome from ({MISSES})",
         "missed_seasons": f"""select season,
-  string_agg(case when outcome = 'Actual MVP' then player_display_name end, ', ' order by player_display_name) as "Actual MVP",
-  string_agg(case when outcome = 'Predicted MVP' then player_display_name end, ', ' order by player_display_name) as "Predicted MVP"
-from ({MISSES}) group by season""",
+  max(case when outcome = 'Actual MVP' then player_display_name end) as "Actual MVP",
+  max(case when outcome = 'Predicted MVP' then player_display_name end) as "Predicted MVP"
+from (select *, row_number() over (partition by season, outcome
+    order by player_display_name nulls last, team nulls last, player_id nulls last) as place from ({MISSES}))
+group by season, place""",
         "mvp_race": f"select {RACE} from (select * from ({SCORED}) where season = {SEASON} order by {RACE_ORDER} limit 10)",
         "mvp_races": f"""select season, place, {RACE} from (select *, cast(row_number() over
   (partition by season order by {RACE_ORDER}) as integer) as place from ({SCORED})) where place <= 10""",

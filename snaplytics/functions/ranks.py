@@ -15,6 +15,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from snaplytics.session import cut_lineage
+
 RANK_DIGITS = 9  # sums of doubles vary in the last bits with their order; ties must not
 
 
@@ -72,7 +74,7 @@ def ordinal_ranks(
 ) -> DataFrame:
     """Adds 1, 2, 3, … per group for every spec; missing values last, ties by ``ties``.
 
-    ``ties`` must be unique within a group. ``df`` should be a stored table: its group
+    ``ties`` must be unique within a group, and no group column missing. ``df`` should be a stored table: its group
     sizes are counted first. Up to ``window_rows`` rows per group an ordinary window
     sorts each group in one task. Beyond, groups are cut at sampled split points into
     pieces of about that size, each piece is numbered by itself and shifted by the rows
@@ -91,7 +93,8 @@ def ordinal_ranks(
             }
         )
     pieces = min(1_000, 2 * (largest // window_rows + 1))
-    return _split_ranks(df, specs, group, ties, pieces, groups)
+    # Stored, as what follows usually reads the ranks more than once.
+    return cut_lineage(_split_ranks(df, specs, group, ties, pieces, groups))
 
 
 def _long(df: DataFrame, specs: Sequence[RankSpec], group: Sequence[str], ties: Sequence[str]) -> DataFrame:

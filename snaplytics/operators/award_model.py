@@ -18,7 +18,8 @@ from pyspark.storagelevel import StorageLevel
 
 from snaplytics.functions.columns import require
 from snaplytics.functions.nulls import ratio, strict_sum
-from snaplytics.functions.ranks import with_group_totals
+from snaplytics.functions.ranks import RankSpec, ordinal_ranks, with_group_totals
+from snaplytics.session import cut_lineage
 
 FEATURES = ("tds_rank", "yds_rank", "win_rank", "epa_rank", "total_interceptions")
 INTERCEPT = "(Intercept)"
@@ -26,6 +27,8 @@ INTERCEPT = "(Intercept)"
 LOGIT_LIMIT = 30.0
 EPSILON = 2.220446049250313e-16
 WALD_95 = 1.959963984540054
+ACTUAL, PREDICTED = "Actual MVP", "Predicted MVP"
+TIE_KEY = ("player_display_name", "team", "player_id")
 DIFFUSE_ERROR = 100.0  # a standard error this large on rank features means separated classes
 
 
@@ -246,21 +249,29 @@ def binary_metrics(counts: DataFrame) -> DataFrame:
     return cells.select(F.inline(rows))
 
 
-def misses(scored: DataFrame) -> DataFrame:
-    """Rows predicted wrongly: winners not favoured, and favourites who did not win."""
+def _missed(scored: DataFrame) -> DataFrame:
     lost = (F.col("mvp") == 1) & (F.col("pred_mvp") == 0)
     wrong = (F.col("mvp") == 0) & (F.col("pred_mvp") == 1)
-    outcome = F.when(lost, "Actual MVP").otherwise("Predicted MVP")
-    return scored.filter(lost | wrong).select("season", "player_display_name", outcome.alias("outcome"))
+    outcome = F.when(lost, ACTUAL).otherwise(PREDICTED)
+    return scored.filter(lost | wrong).withColumn("outcome", outcome)
 
 
-def missed_seasons(scored: DataFrame) -> DataFrame:
-    """One row per season with a miss: the actual and the predicted winner(s) by name."""
-    names = F.array_join(F.sort_array(F.collect_list("player_display_name")), ", ")
-    wide = misses(scored).groupBy("season").pivot("outcome", ["Actual MVP", "Predicted MVP"]).agg(names)
-    return wide.select(
-        "season", *[F.when(F.col(f"`{c}`") != "", F.col(f"`{c}`")).alias(c) for c in ("Actual MVP", "Predicted MVP")]
-    )
+def misses(scored: DataFrame) -> DataFrame:
+    """Rows predicted wrongly: winners not favoured, and favourites who did not win."""
+    return _missed(scored).select("season", "player_display_name", "outcome")
+
+
+def missed_seasons(scored: DataFrame, **limits: int) -> DataFrame:
+    """Seasons with a miss: the actual beside the predicted winner.
+
+    One row per season, unless several share the top probability (or the award): then the
+    names of each side, in order, fill one row after the other. No cell holds a list, so
+    a season in which very many tie stays spread over tasks.
+    """
+    sides = cut_lineage(_missed(scored).select("season", "outcome", *TIE_KEY))
+    numbered = ordinal_ranks(sides, [RankSpec("place", "season")], ["season", "outcome"], TIE_KEY, **limits)
+    wide = numbered.groupBy("season", "place").pivot("outcome", [ACTUAL, PREDICTED]).agg(F.first("player_display_name"))
+    return wide.drop("place")
 
 
 RACE_COLUMNS = (
@@ -269,7 +280,7 @@ RACE_COLUMNS = (
 
 
 def _race_order() -> list[Column]:
-    return [F.col("mvp_prob").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in ("player_display_name", "team", "player_id")]]
+    return [F.col("mvp_prob").desc_nulls_last(), *[F.col(c).asc_nulls_last() for c in TIE_KEY]]
 
 
 def mvp_race(scored: DataFrame, season: int, rows: int = 10) -> DataFrame:

@@ -175,10 +175,14 @@ def scored(spark):
     )
 
 
-def test_missed_seasons_name_all_tied_favourites(scored):
-    out = am.missed_seasons(scored)
+@pytest.mark.parametrize("window_rows", [100, 1])
+def test_missed_seasons_name_all_tied_favourites(scored, window_rows):
+    out = am.missed_seasons(scored, window_rows=window_rows)
     assert out.columns == ["season", "Actual MVP", "Predicted MVP"]
-    assert rows(out) == [(2021, "Ann", "Bob, Eve"), (2022, "Bob", None)]
+    assert rows(out) == [(2021, "Ann", "Bob"), (2021, None, "Eve"), (2022, "Bob", None)]
+
+
+def test_misses(scored):
     assert rows(am.misses(scored)) == [
         (2021, "Ann", "Actual MVP"),
         (2021, "Bob", "Predicted MVP"),

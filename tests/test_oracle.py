@@ -1,10 +1,13 @@
-"""Every registered query with SQL, against the second engine on whole tables."""
+"""Every registered query with SQL: its result against the second engine, and its plan."""
+
+import re
 
 import pytest
 
 from checks.compare import connect, difference
 from checks.oracle import oracle_sql
 from checks.queries import queries
+from tests.helpers import plan
 
 FOLDER = "/root/testdata/sf0.001"
 
@@ -18,6 +21,14 @@ def test_every_sql_text_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
 
 
+NOT_WANTED = ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
+
+
 @pytest.mark.parametrize("name", sorted(oracle_sql()))
 def test_query_equals_sql(spark, engine, name):
-    assert difference(queries()[name](spark, FOLDER), engine, oracle_sql()[name]) is None
+    df = queries()[name](spark, FOLDER)
+    assert difference(df, engine, oracle_sql()[name]) is None
+    text = plan(df)
+    # No Python per row, no product of tables, no window over everything.
+    assert [operator for operator in NOT_WANTED if operator in text] == []
+    assert not re.search(r"windowspecdefinition\([^,()]+ (ASC|DESC)", text)

@@ -5,7 +5,14 @@ import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
-from snaplytics.functions.ranks import RankSpec, average_rank, min_rank, ordinal_ranks, with_group_totals
+from snaplytics.functions.ranks import (
+    RankSpec,
+    _split_ranks,
+    average_rank,
+    min_rank,
+    ordinal_ranks,
+    with_group_totals,
+)
 from tests.helpers import rows
 
 
@@ -69,7 +76,7 @@ def test_ordinal_ranks_agree_with_pandas_whole_and_split(spark, window_rows):
 
 def test_split_ranks_never_sort_a_whole_season_in_one_task(spark):
     df = spark.createDataFrame(_random_rows(1000, 5), "season int, team string, name string, id string, x double, y int")
-    out = ordinal_ranks(df, SPECS, ["season"], ["team", "name", "id"], window_rows=50)
+    out = _split_ranks(df, SPECS, ["season"], ["team", "name", "id"], pieces=20, groups=4)
     lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
     windows = [line.split(" AS ")[0] if "WindowGroupLimit" in line else line for line in lines if "row_number()" in line]
     numbering = [w for w in windows if " AS _number" in w]
