@@ -21,6 +21,7 @@ from snaplytics.functions.nulls import ratio, strict_sum
 from snaplytics.functions.ranks import RankSpec, ordinal_ranks, with_group_totals
 from snaplytics.session import cut_lineage
 
+# The model's terms.
 FEATURES = ("tds_rank", "yds_rank", "win_rank", "epa_rank", "total_interceptions")
 INTERCEPT = "(Intercept)"
 # The inverse logit is flat beyond 30 and stays a machine epsilon off 0 and 1.
@@ -193,7 +194,8 @@ def probability(coefficients: Mapping[str, float]) -> Column:
 def score(rows: DataFrame, coefficients: Mapping[str, float]) -> DataFrame:
     """Adds ``pred``, the season's favourite(s) ``pred_mvp`` and the share ``mvp_prob`` of the season.
 
-    One unknown probability makes all shares of its season unknown.
+    One unknown probability makes all shares of its season unknown. ``rows`` is read twice,
+    for the season totals and for the result: give it a stored table.
     """
     require(rows, [t for t in coefficients if t != INTERCEPT])
     scored = rows.withColumn("pred", probability(coefficients))
@@ -211,6 +213,7 @@ def confusion(scored: DataFrame) -> DataFrame:
     return scored.dropna(subset=["pred_mvp", "mvp"]).groupBy("pred_mvp", "mvp").agg(F.count(F.lit(1)).alias("n"))
 
 
+# Names of the measures.
 METRICS = (
     "accuracy kap sens spec ppv npv mcc j_index bal_accuracy detection_prevalence precision recall f_meas"
 ).split()
@@ -274,6 +277,7 @@ def missed_seasons(scored: DataFrame, **limits: int) -> DataFrame:
     return wide.drop("place")
 
 
+# Columns of the race table, in display order.
 RACE_COLUMNS = (
     "player_display_name mvp_prob pred_mvp tds_rank yds_rank win_rank epa_rank total_interceptions"
 ).split()

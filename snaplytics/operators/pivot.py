@@ -12,6 +12,7 @@ from snaplytics.functions.nulls import ratio0
 from snaplytics.operators.plays import flag_explosive, in_weeks, valid_plays
 from snaplytics.operators.team_week import play_totals
 
+# Measures in display order.
 MEASURES = (
     "tot_plays tot_yds epa_per_play sr passes passing_yds dropback_epa dropback_sr dropback_explosive "
     "rushes rushing_yds rush_epa rush_sr rush_explosive"

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from snaplytics.functions.columns import cols_between, require
 from snaplytics.schemas import CHARTING_KEY, PLAY_KEY
 
+# Fixed values.
 EXPLOSIVE_PASS_YARDS = 20
 EXPLOSIVE_RUN_YARDS = 10
 

@@ -9,6 +9,7 @@ from snaplytics.functions.columns import cols_between
 from snaplytics.functions.nulls import ratio, strict_sum
 from snaplytics.operators.plays import in_weeks, valid_targets
 
+# Fixed values.
 RECEIVER_POSITIONS = ("WR", "TE", "RB")
 
 # Official columns inside the receiving run that the report leaves out.
@@ -79,6 +80,7 @@ def receiver_qc(charted: DataFrame, player_stats: DataFrame) -> DataFrame:
     )
 
 
+# Leading columns of the receiver table.
 FIRST = (
     "receiver_player_id player_display_name position headshot_url season posteam week targets_pbp targets "
     "targets_diff receptions_pbp receptions receptions_diff drops"

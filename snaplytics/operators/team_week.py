@@ -16,6 +16,7 @@ from snaplytics.functions.ranks import min_rank
 from snaplytics.operators.games import score_text, team_week_points, with_result
 from snaplytics.operators.plays import flag_explosive, in_weeks, is_play
 
+# The ranked rates, and the totals behind them.
 WEEK_RATES = (
     "epa_per_play",
     "sr",
@@ -166,7 +167,7 @@ def week_report(pairs: DataFrame, games: DataFrame, logos: DataFrame, side: str)
     return week_ranks(stats, side)
 
 
-# Column order of one team's weekly table.
+# Columns of one team's weekly table, in display order.
 WEEK_TABLE = (
     "week opp_logo result final_score spread_line team_rest opponent_rest passes passing_yds interceptions "
     "dropback_epa dropback_epa_rank dropback_sr dropback_sr_rank dropback_explosive dropback_explosive_rank "
