@@ -1,7 +1,9 @@
 """Sports tables derived from the given tables, as SQL both engines can run.
 
 Every view grows with ``lineitem``. The text of a view is the same for Spark and for the
-check engine, except for the schedule (see ``SPARK_ONLY``).
+check engine, except for the schedule (see ``SPARK_ONLY``). Against the text in FIXTURES.md,
+percentages are rounded by ``floor(x + 0.5)`` (much cheaper per row, same values) and the award
+winners carry the redundant bound ``rn<=3`` (lets each task keep three rows per season).
 """
 
 from __future__ import annotations
