@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import quality_divergence
+from snaplytics.llm import exact_mph, quality_divergence
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,9 +16,24 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return quality_divergence.judge_documents(table(spark, folder, "documents"))
 
 
+def op6_exact_mph(spark: SparkSession, folder: str) -> DataFrame:
+    return exact_mph.exact_duplicates(table(spark, folder, "documents")).drop("row")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_divergence,)}
+    return {f.__name__: f for f in (op1_quality_divergence, op6_exact_mph)}
+
+
+OP6 = r"""
+WITH t AS (
+  SELECT doc_id, length(coalesce(text, '')) AS n,
+         sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]', '', 'g')) AS text_sha256
+  FROM documents)
+SELECT doc_id, first_value(doc_id) OVER w AS keep_id, count(*) OVER (PARTITION BY text_sha256) AS group_size,
+       doc_id = first_value(doc_id) OVER w AS kept, text_sha256
+FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
+"""
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op6_exact_mph": OP6}
