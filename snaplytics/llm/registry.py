@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, quality_divergence
+from snaplytics.llm import exact_mph, quality_divergence, simhash_variants
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -16,12 +16,16 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return quality_divergence.judge_documents(table(spark, folder, "documents"))
 
 
+def op3_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
+    return simhash_variants.near_duplicates(table(spark, folder, "documents")).drop("row")
+
+
 def op6_exact_mph(spark: SparkSession, folder: str) -> DataFrame:
     return exact_mph.exact_duplicates(table(spark, folder, "documents")).drop("row")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_divergence, op6_exact_mph)}
+    return {f.__name__: f for f in (op1_quality_divergence, op3_simhash_variants, op6_exact_mph)}
 
 
 OP6 = r"""
