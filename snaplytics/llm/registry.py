@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, quality_divergence, simhash_variants
+from snaplytics.llm import exact_mph, quality_divergence, simhash_variants, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,8 +24,12 @@ def op6_exact_mph(spark: SparkSession, folder: str) -> DataFrame:
     return exact_mph.exact_duplicates(table(spark, folder, "documents")).drop("row")
 
 
+def op9_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
+    return weighted_mix.mix(table(spark, folder, "documents")).drop("row")
+
+
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_divergence, op3_simhash_variants, op6_exact_mph)}
+    return {f.__name__: f for f in (op1_quality_divergence, op3_simhash_variants, op6_exact_mph, op9_weighted_mix)}
 
 
 OP6 = r"""
@@ -39,5 +43,43 @@ FROM t WINDOW w AS (PARTITION BY text_sha256 ORDER BY n DESC, doc_id)
 """
 
 
+OP9 = r"""
+WITH t AS (
+  SELECT doc_id, source, len(regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')) AS size,
+         -ln((('0x' || md5('1:' || doc_id)[1:12])::bigint + 0.5) / 281474976710656.0)
+         / (1.05 - len(regexp_extract_all(coalesce(text, ''), '[#*$%&|<>]')) / greatest(length(coalesce(text, '')), 1)) AS key
+  FROM documents),
+s AS (
+  SELECT source, sum(size)::bigint AS source_size,
+         [5, 2, 1][(row_number() OVER (ORDER BY source NULLS LAST) - 1) % 3 + 1] AS weight
+  FROM t GROUP BY source),
+-- Share out again and again: a source over three times its size keeps that, the others share the rest.
+f AS (
+  WITH RECURSIVE r(round, source, source_size, weight, is_full) AS (
+    SELECT 0, source, source_size, weight, false FROM s
+    UNION ALL
+    SELECT round + 1, source, source_size, weight,
+           is_full OR (words - coalesce(sum(3 * source_size) FILTER (is_full) OVER (), 0)) * weight
+                      > 3 * source_size * sum(weight) FILTER (NOT is_full) OVER ()
+    FROM r, (SELECT sum(source_size) AS words FROM s)
+    WHERE round < (SELECT count(*) FROM s))
+  SELECT source, source_size, weight, is_full FROM r WHERE round = (SELECT count(*) FROM s)),
+g AS (
+  SELECT source, source_size,
+         CASE WHEN is_full THEN (3 * source_size)::double
+              ELSE ((sum(source_size) OVER () - coalesce(sum(3 * source_size) FILTER (is_full) OVER (), 0)) * weight)::double
+                   / (sum(weight) FILTER (NOT is_full) OVER ())::double END AS target
+  FROM f),
+p AS (
+  SELECT t.doc_id, t.size, g.source_size, g.target, floor(g.target)::bigint AS budget,
+         sum(t.size) OVER (PARTITION BY t.source ORDER BY t.key, t.doc_id ROWS UNBOUNDED PRECEDING) - t.size AS ahead
+  FROM t JOIN g ON t.source IS NOT DISTINCT FROM g.source)
+SELECT doc_id, size, source_size, target,
+       (CASE WHEN source_size = 0 THEN 0 ELSE budget // source_size * size
+             + greatest(0, least(size, budget % source_size - ahead)) END)::bigint AS taken
+FROM p
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_mph": OP6}
+    return {"op6_exact_mph": OP6, "op9_weighted_mix": OP9}
