@@ -1,4 +1,61 @@
-"""A corpus pipeline: quality rules, exact and near duplicates, mixing, packing."""
+"""A corpus pipeline: quality rules, exact and near duplicates, mixing to weights, packing.
 
-STAGES = []
+Each stage takes (spark, docs, folder) and returns a DataFrame; ``run`` writes it as parquet
+and gives it to the next one. All but the last return the columns of ``documents``.
+"""
+
+from __future__ import annotations
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+
+from snaplytics.llm.common import importable, stored, table
+from snaplytics.llm.exact_mph import drop_exact_duplicates
+from snaplytics.llm.online_packing import pack
+from snaplytics.llm.quality_divergence import keep_documents
+from snaplytics.llm.simhash_variants import drop_near_duplicates
+from snaplytics.llm.weighted_mix import mix_documents
+
+
+def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    importable(spark)
+    return keep_documents(docs)
+
+
+def exact_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    importable(spark)
+    return drop_exact_duplicates(docs)
+
+
+def near_dedup(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    importable(spark)
+    return drop_near_duplicates(docs)
+
+
+def mix_sources(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    importable(spark)
+    return mix_documents(docs)
+
+
+def pack_sequences(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
+    importable(spark)
+    return pack(docs, public_tokenizers.path("byte_bpe_50k.json"))
+
+
+STAGES = [
+    ("quality rules", quality_rules),
+    ("exact dedup", exact_dedup),
+    ("simhash near-dedup", near_dedup),
+    ("mixing to target weights", mix_sources),
+    ("packing", pack_sequences),
+]
+
+# Divergence from references, XXH64 fingerprints and byte-pair tokens are beyond SQL.
 ORACLE_SQL = None
+
+
+def run(spark: SparkSession, folder: str) -> DataFrame:
+    docs = table(spark, folder, "documents")
+    for name, stage in STAGES:
+        docs = stored(stage(spark, docs, folder), name.replace(" ", "_"))
+    return docs

@@ -4,9 +4,10 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, quality_divergence, simhash_variants, weighted_mix
+from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -24,12 +25,18 @@ def op6_exact_mph(spark: SparkSession, folder: str) -> DataFrame:
     return exact_mph.exact_duplicates(table(spark, folder, "documents")).drop("row")
 
 
+def op8_online_packing(spark: SparkSession, folder: str) -> DataFrame:
+    return online_packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op9_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_mix.mix(table(spark, folder, "documents")).drop("row")
 
 
 def queries() -> dict[str, Query]:
-    return {f.__name__: f for f in (op1_quality_divergence, op3_simhash_variants, op6_exact_mph, op9_weighted_mix)}
+    import corpus_pipeline  # it imports the operators, so it is imported late
+
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_divergence, op3_simhash_variants, op6_exact_mph, op8_online_packing, op9_weighted_mix)}
 
 
 OP6 = r"""
