@@ -44,14 +44,27 @@ def shared_folder(spark: SparkSession, name: str) -> str:
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
-def stored(df: DataFrame, name: str, compression: str = "zstd") -> DataFrame:
+_stored: list[str] = []
+
+
+def stored(df: DataFrame, name: str, compression: str = "zstd", path: str | None = None) -> DataFrame:
     """``df`` written once as parquet in the shared folder and read again: cuts lineage like a
-    checkpoint, but keeps the columns apart, so later jobs read only those they need."""
-    path = shared_folder(df.sparkSession, name)
+    checkpoint, but keeps the columns apart, so later jobs read only those they need.
+
+    The files stay until ``remove_stored``, as results that are still to be computed read them.
+    """
+    path = path or shared_folder(df.sparkSession, name)
+    _stored.append(path)
     df.write.option("compression", compression).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def remove_stored(spark: SparkSession) -> None:
+    """Delete what ``stored`` has written; no result built before may be read afterwards."""
+    while _stored:
+        remove(spark, _stored.pop())
+
+
 def remove(spark: SparkSession, path: str) -> None:
     """Delete a folder that this library has made in the shared folder."""
     hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)

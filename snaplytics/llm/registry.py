@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, weighted_mix
+from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, token_files, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -21,6 +21,10 @@ def op3_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, folder, "documents")).drop("row")
 
 
+def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
+    return token_files.token_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
+
+
 def op6_exact_mph(spark: SparkSession, folder: str) -> DataFrame:
     return exact_mph.exact_duplicates(table(spark, folder, "documents")).drop("row")
 
@@ -33,10 +37,20 @@ def op9_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_mix.mix(table(spark, folder, "documents")).drop("row")
 
 
+OPERATORS = (
+    op1_quality_divergence,
+    op3_simhash_variants,
+    op5_token_files,
+    op6_exact_mph,
+    op8_online_packing,
+    op9_weighted_mix,
+)
+
+
 def queries() -> dict[str, Query]:
     import corpus_pipeline  # it imports the operators, so it is imported late
 
-    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in (op1_quality_divergence, op3_simhash_variants, op6_exact_mph, op8_online_packing, op9_weighted_mix)}
+    return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
 
 
 OP6 = r"""
