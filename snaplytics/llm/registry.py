@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, token_files, weighted_mix
+from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, token_files, warc_segments, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -37,6 +37,10 @@ def op9_weighted_mix(spark: SparkSession, folder: str) -> DataFrame:
     return weighted_mix.mix(table(spark, folder, "documents")).drop("row")
 
 
+def op10_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
+    return warc_segments.archive_round_trip(table(spark, folder, "pages"))
+
+
 OPERATORS = (
     op1_quality_divergence,
     op3_simhash_variants,
@@ -44,6 +48,7 @@ OPERATORS = (
     op6_exact_mph,
     op8_online_packing,
     op9_weighted_mix,
+    op10_warc_segments,
 )
 
 
@@ -102,5 +107,18 @@ FROM p
 """
 
 
+OP10 = r"""
+WITH t AS (SELECT page_id, coalesce(html, '') AS html, max(page_id) OVER (PARTITION BY coalesce(html, '')) AS best FROM pages)
+SELECT page_id, strlen(html)::bigint AS payload_bytes,
+       -- Base 32: five hex digits are four letters.
+       list_aggregate(list_transform(range(0, 40, 5), lambda i: list_aggregate(list_transform([15, 10, 5, 0], lambda s:
+         'ABCDEFGHIJKLMNOPQRSTUVWXYZ234567'[(('0x' || sha1(html)[i + 1:i + 5])::int >> s & 31) + 1]), 'string_agg', '')), 'string_agg', '')
+         AS payload_digest,
+       CASE WHEN page_id = best THEN 'response' ELSE 'revisit' END AS record_type,
+       CASE WHEN page_id <> best THEN best END AS refers_to
+FROM t
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_mph": OP6, "op9_weighted_mix": OP9}
+    return {"op6_exact_mph": OP6, "op9_weighted_mix": OP9, "op10_warc_segments": OP10}
