@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, token_files, warc_segments, weighted_mix
+from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, token_files, url_filter, warc_segments, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -17,6 +17,12 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
     return quality_divergence.judge_documents(table(spark, folder, "documents"))
 
 
+def op2_digest_array(spark: SparkSession, folder: str) -> DataFrame:
+    pages = table(spark, folder, "pages")
+    entries = url_filter.rule_entries(spark).unionByName(url_filter.listed_domains(pages))
+    return url_filter.judge_urls(pages, entries)
+
+
 def op3_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, folder, "documents")).drop("row")
 
@@ -43,6 +49,7 @@ def op10_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
 
 OPERATORS = (
     op1_quality_divergence,
+    op2_digest_array,
     op3_simhash_variants,
     op5_token_files,
     op6_exact_mph,
@@ -58,6 +65,26 @@ def queries() -> dict[str, Query]:
     return {"pipeline": corpus_pipeline.run} | {f.__name__: f for f in OPERATORS}
 
 
+OP2 = r"""
+WITH u AS (
+  SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+         regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
+  FROM pages),
+r(rule_host, rule_path, verdict) AS (VALUES ('org', '/', 'allow'), ('example.org', '/es/', 'block'),
+  ('example.org', '/en/1', 'block'), ('com', '/fr/', 'allow'), ('com', '/de/', 'block')),
+b AS (
+  SELECT host, path, arg_max(rule_host || rule_path, length(rule_host || rule_path)) AS rule,
+         arg_max(verdict, length(rule_host || rule_path)) AS verdict
+  FROM (SELECT DISTINCT host, path FROM u) JOIN r
+       ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
+  GROUP BY host, path),
+l AS (
+  SELECT *, nullif(regexp_extract(host, '(?:^|\.)((?:ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.[^.]+\.[^.]+)$', 1), '') AS listed
+  FROM u)
+SELECT page_id, l.host, l.path, rule, coalesce(verdict, CASE WHEN listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict, listed
+FROM l LEFT JOIN b USING (host, path)
+"""
+
 OP6 = r"""
 WITH t AS (
   SELECT doc_id, length(coalesce(text, '')) AS n,
@@ -121,4 +148,4 @@ FROM t
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op6_exact_mph": OP6, "op9_weighted_mix": OP9, "op10_warc_segments": OP10}
+    return {"op2_digest_array": OP2, "op6_exact_mph": OP6, "op9_weighted_mix": OP9, "op10_warc_segments": OP10}
