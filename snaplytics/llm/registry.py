@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, online_packing, quality_divergence, simhash_variants, token_files, url_filter, warc_segments, weighted_mix
+from snaplytics.llm import exact_mph, online_packing, pu_classifier, quality_divergence, simhash_variants, token_files, url_filter, warc_segments, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -35,6 +35,10 @@ def op6_exact_mph(spark: SparkSession, folder: str) -> DataFrame:
     return exact_mph.exact_duplicates(table(spark, folder, "documents")).drop("row")
 
 
+def op7_pu_classifier(spark: SparkSession, folder: str) -> DataFrame:
+    return pu_classifier.score_documents(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 def op8_online_packing(spark: SparkSession, folder: str) -> DataFrame:
     return online_packing.pack(table(spark, folder, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
@@ -53,6 +57,7 @@ OPERATORS = (
     op3_simhash_variants,
     op5_token_files,
     op6_exact_mph,
+    op7_pu_classifier,
     op8_online_packing,
     op9_weighted_mix,
     op10_warc_segments,
