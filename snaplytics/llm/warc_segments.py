@@ -11,13 +11,14 @@ their origin, ordered by number, checked for gaps and total length, joined, and
 framing is taken off. Every payload is checked against the digest its record states.
 
 Files are written by Spark's text source, whose line separator is the empty lines that end a
-WARC record, and read as binary files; their size is bounded by a number of records, each
+WARC record, in gzip, and read as binary files; their size is bounded by a number of records, each
 bounded by the segment length.
 """
 
 from __future__ import annotations
 
 import base64
+import gzip
 import hashlib
 from collections.abc import Iterator
 
@@ -129,9 +130,11 @@ def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
         .filter(F.col("row") != F.col("best.row"))
         .select("row", F.col("best.row").alias("refers_row"), F.col("best.page_id").alias("refers_to"))
     )
+    # Stored, so that its size is known: where few pages repeat, it is small and no page is shuffled.
+    revisits = stored(revisits, "revisits")
     rows = numbered.join(revisits, "row", "left").select("row", "page_id", "url", "payload", "refers_row", "refers_to")
     records = rows.mapInArrow(_written, "value binary").select(F.col("value").cast("string"))
-    records.write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder, lineSep=RECORD_END)
+    records.write.option("maxRecordsPerFile", RECORDS_PER_FILE).text(folder, compression="gzip", lineSep=RECORD_END)
 
 
 def parse_records(content: bytes) -> Iterator[tuple[dict[str, str], bytes]]:
@@ -197,7 +200,7 @@ def _batch(rows: list[tuple]) -> pa.RecordBatch:
 def _parsed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for content in batch.column(0):
-            yield _batch([_parsed_record(*r) for r in parse_records(content.as_py())])
+            yield _batch([_parsed_record(*r) for r in parse_records(gzip.decompress(content.as_py()))])
 
 
 def join_segments(group: pa.Table) -> pa.Table:
