@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, online_packing, pu_classifier, quality_divergence, simhash_variants, token_files, url_filter, warc_segments, weighted_mix
+from snaplytics.llm import exact_mph, online_packing, pu_classifier, quality_divergence, simhash_variants, suffix_dedup, token_files, url_filter, warc_segments, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -27,6 +27,10 @@ def op3_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
     return simhash_variants.near_duplicates(table(spark, folder, "documents")).drop("row")
 
 
+def op4_suffix_dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return suffix_dedup.remove_passages(table(spark, folder, "documents"))
+
+
 def op5_token_files(spark: SparkSession, folder: str) -> DataFrame:
     return token_files.token_round_trip(table(spark, folder, "documents"), public_tokenizers.path("word_bpe_49k.json"))
 
@@ -55,6 +59,7 @@ OPERATORS = (
     op1_quality_divergence,
     op2_digest_array,
     op3_simhash_variants,
+    op4_suffix_dedup,
     op5_token_files,
     op6_exact_mph,
     op7_pu_classifier,
