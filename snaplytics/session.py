@@ -2,8 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
-
 from pyspark.sql import DataFrame, SparkSession
 
 # Settings the jobs rely on. All of them are runtime re-planning switches, so the
@@ -26,6 +24,7 @@ def local_session(app: str = "snaplytics", cores: str = "8", partitions: int = 8
         .appName(app)
         .config("spark.ui.enabled", "false")
         .config("spark.driver.memory", "12g")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.python.sql.dataFrameDebugging.enabled", "false")  # call sites of every column cost time
         .config("spark.sql.shuffle.partitions", str(partitions))
     )
@@ -36,24 +35,35 @@ def local_session(app: str = "snaplytics", cores: str = "8", partitions: int = 8
     return spark
 
 
-def _ensure_checkpoint_dir(spark: SparkSession) -> None:
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder in ``spark.checkpoint.dir``, which driver and executors share.
+
+    Where it is not set, a local session gets one in its warehouse folder; a cluster has to name one.
+    """
     context = spark.sparkContext
-    if context.getCheckpointDir() is not None:
-        return
-    shared = spark.conf.get("spark.checkpoint.dir", None)
-    if shared:
-        context.setCheckpointDir(shared)
-    elif context.master.startswith("local"):
-        context.setCheckpointDir(tempfile.mkdtemp(prefix="snaplytics-checkpoint-"))
-    else:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if not folder:
+        if not context.master.startswith("local"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
+        folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/checkpoints"
+    if context.getCheckpointDir() is None:
+        context.setCheckpointDir(folder)
+    return folder
+
+
+def apply_job_settings(spark: SparkSession) -> SparkSession:
+    """Give a session made elsewhere, as on a cluster, the settings the jobs rely on."""
+    for key, value in JOB_SETTINGS.items():
+        spark.conf.set(key, value)
+    return spark
 
 
 def cut_lineage(df: DataFrame) -> DataFrame:
     """Write ``df`` once to the shared checkpoint folder and go on from the written rows.
 
     Used before a table is read several times (ranks, model fit, season totals), so
-    that the fact tables are scanned once and a lost executor costs no recomputation.
+    that the fact tables are scanned once and a lost executor costs no recomputation. The files go when
+    nothing refers to them any more, where ``spark.cleaner.referenceTracking.cleanCheckpoints`` is set.
     """
-    _ensure_checkpoint_dir(df.sparkSession)
+    checkpoint_folder(df.sparkSession)
     return df.checkpoint(eager=True)
