@@ -9,7 +9,7 @@ import uuid
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from snaplytics.session import cut_lineage  # noqa: F401
+from snaplytics.session import checkpoint_folder, cut_lineage  # noqa: F401
 
 # A word is a run of anything but ASCII white space. On UTF-8 bytes this is what ``bytes.split()`` gives.
 WORD_PATTERN = r"[^\x20\x09-\x0D]+"
@@ -37,11 +37,7 @@ def text_or_empty(column: str = "text") -> Column:
 
 def shared_folder(spark: SparkSession, name: str) -> str:
     """A new path under the folder in ``spark.checkpoint.dir``, which driver and executors share."""
-    context = spark.sparkContext
-    base = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
-    if not base:
-        raise RuntimeError("set spark.checkpoint.dir to a folder every executor can reach")
-    return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    return f"{checkpoint_folder(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
 _stored: list[str] = []
