@@ -30,7 +30,7 @@ from snaplytics.llm.common import stored, text_or_empty
 WINDOW = 1_024
 OPEN_WINDOWS = 64
 MIN_CUT = 16  # shorter rooms are padded rather than filled with a piece of a document
-MERGED_PARTITIONS = 64
+MERGED_PARTITIONS = 8
 TEXTS_AT_ONCE = 512
 PIECE = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
