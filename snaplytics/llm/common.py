@@ -55,6 +55,20 @@ def stored(df: DataFrame, name: str, compression: str = "zstd", path: str | None
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def free_name(df: DataFrame, name: str) -> str:
+    """``name``, or a longer one if ``df`` has such a column."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
+def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
+    """``docs`` with a number for every row, stored so that it stays the same, and the new column's name."""
+    name = free_name(docs, "_row")
+    return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
+
+
 def remove_stored(spark: SparkSession) -> None:
     """Delete what ``stored`` has written; no result built before may be read afterwards."""
     while _stored:

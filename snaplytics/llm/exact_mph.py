@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplytics.llm.common import SPACE_PATTERN, stored, text_or_empty
+from snaplytics.llm.common import SPACE_PATTERN, numbered, stored, text_or_empty
 
 DIGEST_BYTES = 32
 TARGET_ROWS = 50_000  # rows of a shard, and lookups of one group
@@ -127,10 +127,10 @@ def _lookup(left: pa.Table, right: pa.Table) -> pa.Table:
 FIELDS = "row long, doc_id long, digest binary, n_points long"
 
 
-def digest_rows(docs: DataFrame, with_row: bool = False) -> DataFrame:
+def digest_rows(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """A row number, the id, the SHA-256 of the normalised text and the code points of the text,
     stored, as later steps read it several times. No text is shuffled."""
-    row = F.col("_row") if with_row else F.monotonically_increasing_id()
+    row = F.monotonically_increasing_id() if row is None else row
     digest = F.unhex(F.sha2(normalised().cast("binary"), 256))
     narrow = docs.select(
         row.alias("row"),
@@ -189,7 +189,7 @@ def _decided(rows: DataFrame, shards: int, known: DataFrame) -> DataFrame:
     return found.filter(F.col("keep_row").isNotNull()).unionByName(grouped)
 
 
-def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, with_row: bool = False) -> DataFrame:
+def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, row: Column | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, keep_id, group_size, kept, text_sha256 (and ``row``).
 
     Texts are equal when identical without ASCII white space; a null text is empty, and all
@@ -199,7 +199,7 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, with_row
     are not kept, ``keep_id`` is the winner there and ``group_size`` its group's. An empty
     table gives no rows; further columns are ignored.
     """
-    rows = digest_rows(docs, with_row)
+    rows = digest_rows(docs, row)
     shards = shards_for(rows)
     if history is None:
         known = winners(rows).filter("group_size > 1")
@@ -220,6 +220,6 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, with_row
 
 def drop_exact_duplicates(docs: DataFrame) -> DataFrame:
     """The rows of ``docs`` that stay, with all their columns."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    dropped = exact_duplicates(numbered, with_row=True).filter(~F.col("kept")).select(F.col("row").alias("_row"))
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    rows, name = numbered(docs)
+    dropped = exact_duplicates(rows, row=F.col(name)).filter(~F.col("kept")).select(F.col("row").alias(name))
+    return rows.join(dropped, name, "left_anti").drop(name)

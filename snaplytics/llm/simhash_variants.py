@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from snaplytics.llm.common import stored, text_or_empty
+from snaplytics.llm.common import numbered, stored, text_or_empty
 from snaplytics.llm.components import components, spanning_edges
 
 MAX_DISTANCE = 4
@@ -185,12 +185,8 @@ def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
     """One row of every component, all columns unchanged: the one with the smallest doc_id, of
     repeated rows the first. Components of documents without any doc_id are left whole."""
-    numbered = stored(docs.withColumn("_row", F.monotonically_increasing_id()), "numbered")
-    found = stored(near_duplicates(numbered, F.col("_row")), "components", "none")
-    stays = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias("_row"))
-    dropped = (
-        found.filter("component_id is not null")
-        .select(F.col("row").alias("_row"))
-        .join(stays.select("_row"), "_row", "left_anti")
-    )
-    return numbered.join(dropped, "_row", "left_anti").drop("_row")
+    rows, name = numbered(docs)
+    found = stored(near_duplicates(rows, F.col(name)), "components", "none")
+    stays = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias(name)).select(name)
+    others = found.filter("component_id is not null").select(F.col("row").alias(name)).join(stays, name, "left_anti")
+    return rows.join(others, name, "left_anti").drop(name)

@@ -20,7 +20,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from snaplytics.llm.common import WORD_PATTERN, stored, text_or_empty
+from snaplytics.llm.common import WORD_PATTERN, numbered, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
@@ -121,9 +121,8 @@ def mix_documents(docs: DataFrame) -> DataFrame:
     Whole texts only: the document at a source's boundary is given once more if the mix takes
     at least half of it. Documents without a word are in no mix.
     """
-    numbered = docs.withColumn("_row", F.monotonically_increasing_id())
-    numbered = stored(numbered, "numbered")
+    rows, name = numbered(docs)
     copies = F.round(F.col("taken") / F.col("size")).cast("int")
-    chosen = mix(numbered, F.col("_row")).filter("size > 0").select(F.col("row").alias("_row"), copies.alias("_copies")).filter("_copies > 0")
-    many = numbered.join(chosen, "_row")
-    return many.withColumn("_copies", F.explode(F.sequence(F.lit(1), "_copies"))).drop("_row", "_copies")
+    chosen = mix(rows, F.col(name)).filter("size > 0").select(F.col("row").alias(name), copies.alias("n")).filter("n > 0")
+    many = chosen.select(name, F.explode(F.sequence(F.lit(1), "n"))).select(name)
+    return rows.join(many, name).select(*docs.columns)
