@@ -1,0 +1,205 @@
+"""Quality rules (op1), URL filter (op2) and quality classifier (op7)."""
+
+import re
+import zlib
+from collections import Counter
+
+import numpy as np
+import pyarrow as pa
+import pytest
+import xxhash
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from snaplytics.llm import pu_classifier as pu, quality_divergence as qd, url_filter as uf
+from tests.llm.edge_cases import edge_documents, no_documents, prose, with_clashes
+
+WORD = r"[^\x20\x09-\x0D]+"
+
+
+# Quality rules
+
+
+def brute_base(text):
+    text = text or ""
+    words = re.findall(WORD, text)
+    windows = [tuple(words[i : i + 5]) for i in range(len(words) - 4)]
+    counts = Counter(windows)
+    repeated = {i + k for i, w in enumerate(windows) if counts[w] > 1 for k in range(5)}
+    lines = [line for line in text.split("\n") if re.search(WORD, line)]
+    n_dup = sum(line in lines[:i] for i, line in enumerate(lines))
+    failed = len(words) < 10 or 100 * len(repeated) > 20 * len(words)
+    return len(words), sum(map(len, words)), len(re.findall(r"[#*$%&|<>]", text)), n_dup, len(repeated), failed
+
+
+def js(p, q):
+    p, q = np.array(p, float) / sum(p), np.array(q, float) / sum(q)
+    m = (p + q) / 2
+    part = lambda x: sum(a * np.log2(a / b) for a, b in zip(x, m) if a)
+    return np.sqrt((part(p) + part(q)) / 2)
+
+
+def char_class(c):
+    if ord(c) >= 128:
+        return 9
+    for i, group in ((0, "a-z"), (1, "A-Z"), (2, "0-9"), (3, r" \t"), (4, r"\n\r"), (5, r".,;:!?'\-"), (6, r"()\[\]{}\"")):
+        if re.match(f"[{group}]", c):
+            return i
+    return 8 if ord(c) < 32 or ord(c) == 127 else 7
+
+
+def test_measures_equal_brute_force(spark):
+    docs = edge_documents(spark)
+    rows = [tuple(r) for r in docs.select("doc_id", "text").collect()]
+    found = qd.judge_documents(with_clashes(docs))
+    columns = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed"]
+    assert sorted(str(tuple(r)) for r in found.select(*columns).collect()) == sorted(str((i, *brute_base(t))) for i, t in rows)
+    assert found.filter("base_failed and kept").count() == 0
+    assert qd.judge_documents(no_documents(spark)).count() == 0
+
+
+def test_distances_equal_brute_force(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").repartition(3)
+    rows = docs.select("doc_id", "lang", "text").collect()
+    limits = qd.Limits()
+    classes, words = {}, {}
+    for r in rows:
+        classes.setdefault(r["lang"], Counter()).update(map(char_class, r["text"]))
+        words.setdefault(r["lang"], Counter()).update(re.findall(WORD, r["text"]))
+    got = {r["doc_id"]: r for r in qd.judge_documents(docs).collect()}
+    for r in rows:
+        lang, own = r["lang"], re.findall(WORD, r["text"])
+        common = [w for w, _ in sorted(words[lang].items(), key=lambda x: (-x[1], x[0].encode()))[: limits.common_words]]
+        by_class = by_word = 0.0
+        if len(r["text"]) >= limits.min_chars:
+            mine = Counter(map(char_class, r["text"]))
+            by_class = js([mine[i] for i in range(10)], [classes[lang][i] for i in range(10)])
+        if len(own) >= limits.min_words:
+            cells = lambda c: [c[w] for w in common] + [sum(c.values()) - sum(c[w] for w in common)]
+            by_word = js(cells(Counter(own)), cells(words[lang]))
+        found = got[r["doc_id"]]
+        assert (found["class_distance"], found["word_distance"]) == pytest.approx((by_class, by_word), abs=1e-9)
+        assert found["kept"] == (not found["base_failed"] and by_class <= limits.class_distance and by_word <= limits.word_distance)
+
+
+def test_junk_goes_and_clean_documents_stay(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    judged = qd.judge_documents(docs).join(labels, "doc_id").groupBy("quality").agg(F.avg(F.col("kept").cast("int")).alias("kept"))
+    kept = {r["quality"]: r["kept"] for r in judged.collect()}
+    assert kept[1] > 0.94 and kept[0] < 0.1
+
+
+def test_kept_rows_are_those_judged_kept(spark):
+    docs = with_clashes(edge_documents(spark))
+    out = qd.keep_documents(docs)
+    assert out.columns == docs.columns
+    want = qd.judge_documents(docs).filter("kept").count()
+    assert out.count() == want
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.sampled_from([b"a", b"b", b"c"]), max_size=60))
+def test_repeated_windows_of_short_and_long_texts_agree(words):
+    short = qd.repeated_words(words)
+    limit, qd.SHORT_WORDS = qd.SHORT_WORDS, 0
+    try:
+        assert qd.repeated_words(words) == short == brute_base(b" ".join(words).decode())[4]
+    finally:
+        qd.SHORT_WORDS = limit
+
+
+# URL filter
+
+
+def brute_verdict(url, rules, listed):
+    host = path = ""
+    if url and "://" in url:
+        rest = url.split("://", 1)[1]
+        host = re.match(r"[^/?#]*", rest)[0]
+        path = re.match(r"[^?#]*", rest[len(host) :])[0]
+    host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
+    under = lambda h: host == h or host.endswith("." + h)
+    fits = [(len(h + p), h + p, v) for h, p, v in rules if under(h) and path.startswith(p)]
+    if fits:
+        return host, path, max(fits)[1], max(fits)[2]
+    return host, path, None, "block" if any(under(h) for h in listed) else "allow"
+
+
+URLS = [
+    "http://example.org/es/1", "https://WWW.Example.ORG/en/165?x=1", "http://a.b.example.org/en/265", "http://notexample.org/es/",
+    "http://x.com/fr/", "http://x.com/de/#a", "http://x.com/dé", "ftp://net/", "http://org", "http://org?x", "http://org/", "a://b://c/d",
+    "no scheme", "", None, "://", "http:///path", "http://a..org/x", "http://.org/", "http://spam.net/x", "http://SPAM.net", "http://user@spam.net:80/",
+    "http://myspam.net/", "http://w.spam.net?org/", "http://İ.spam.net/",
+]
+
+
+def test_verdicts_equal_brute_force(spark):
+    pages = spark.createDataFrame([*enumerate(URLS), (None, URLS[0]), (3, URLS[3])], "page_id long, url string")
+    entries = uf.rule_entries(spark).unionByName(spark.createDataFrame([("spam.net", 0, uf.LISTED)] * 2, "entry string, path_length int, kind string"))
+    found = uf.judge_urls(pages.withColumns({c: F.lit("x") for c in ("host", "path", "entry", "kind", "part", "head")}), entries)
+    got = found.select("page_id", "host", "path", "rule", "verdict").collect()
+    want = [(i, *brute_verdict(u, uf.RULES, ["spam.net"])) for i, u in pages.collect()]
+    assert sorted(map(str, (tuple(r) for r in got))) == sorted(map(str, want))
+    assert uf.judge_urls(pages.limit(0), entries).count() == 0
+    assert uf.judge_urls(pages, entries.limit(0)).filter("verdict = 'allow'").count() == pages.count()
+
+
+def test_colliding_digests_are_told_apart(monkeypatch):
+    monkeypatch.setattr(uf, "_digests", lambda texts: np.array([len(t) for t in texts], np.uint64))
+    entries = sorted(["aa", "bb", "cc", "d", "eeee"], key=len)
+    digests = np.array(sorted(map(len, entries)), np.uint64)
+    asked = ["bb", "cc", "dd", "d", "e", "eeee", "ffff", "fffff", "", "aa"]
+    assert [entries[i] if i >= 0 else None for i in uf.probe(digests, entries, asked)] == [
+        "bb", "cc", None, "d", None, "eeee", None, None, None, "aa",
+    ]
+
+
+def test_index_is_sorted_by_xxhash():
+    group = pa.table({"part": pa.array([0] * 50, pa.int32()), "entry": [f"host{i}" for i in range(50)], "kind": ["block"] * 50})
+    row = uf._build(group).to_pylist()[0]
+    digests = np.frombuffer(row["digests"], np.uint64)
+    assert (np.diff(digests.astype(object)) > 0).all() and [xxhash.xxh64(e).intdigest() for e in row["entries"]] == digests.tolist()
+
+
+# Classifier
+
+
+def test_held_out_accuracy_and_marks(spark):
+    folder = "/root/testdata/sf0.01"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    scored = pu.score_documents(docs, labels).join(labels, "doc_id", "left").toPandas()
+    assert len(scored) == docs.count() and scored["score"].between(0, 1).all()
+    assert all(h == (zlib.crc32(str(i).encode()) % 3 == 1) for i, h in zip(scored["doc_id"], scored["held_out"]))
+    assert (scored["predicted"] == (scored["score"] >= 0.5)).all()
+    known = scored[scored["held_out"] & scored["quality"].notna()]
+    good, bad = known[known["quality"] == 1]["score"].values, known[known["quality"] == 0]["score"].values
+    assert (good[:, None] > bad[None, :]).mean() > 0.97  # area under the curve
+    assert (known["predicted"] == known["quality"]).mean() > 0.95
+
+
+def test_labels_of_held_out_rows_change_nothing(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    turned = labels.withColumn("quality", F.when(pu.held_out(), 1 - F.col("quality")).otherwise(F.col("quality")))
+    a, b = (pu.score_documents(docs, x).orderBy("doc_id").toPandas() for x in (labels, turned))
+    assert a.equals(b)
+
+
+def test_classifier_edge_cases(spark):
+    docs = with_clashes(edge_documents(spark))
+    labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (7, 1, None), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
+    out = pu.score_documents(docs, labels).toPandas()
+    assert len(out) == docs.count() and out["score"].between(0, 1).all()
+    assert (pu.score_documents(docs, labels.limit(0)).toPandas()["score"] == 0.5).all()
+    assert pu.score_documents(no_documents(spark), labels).count() == 0
+    assert pu.features(b" \n").tolist() == [0.0] * pu.N_FEATURES and np.isfinite(pu.features(prose(50_000).encode())).all()
+
+
+def test_risk_stays_unbiased_where_good_text_is_common():
+    rng = np.random.default_rng(0)
+    good = rng.normal(1, 1, (2000, pu.N_FEATURES))
+    bad = rng.normal(-1, 1, (400, pu.N_FEATURES))
+    web = np.concatenate([rng.normal(1, 1, (1600, pu.N_FEATURES)), bad])
+    model = pu.fit(good, web, 0.8)
+    assert (model.score(good) > 0.5).mean() > 0.98 and (model.score(bad) < 0.5).mean() > 0.98
