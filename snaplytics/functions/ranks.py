@@ -1,8 +1,9 @@
 """Rankings with missing values kept last.
 
 ``min_rank`` is for league tables: its groups hold one row per team. Player tables have
-no such bound, so the player rankings (``ordinal_ranks``, ``average_rank``) and the
-per-group totals (``with_group_totals``) never need a whole group in one task.
+no such bound, so ``ordinal_ranks`` and the per-group totals (``with_group_totals``) never
+need a whole group in one task. ``average_rank`` needs the distinct values of a group in one:
+it is meant for counts such as wins.
 """
 
 from __future__ import annotations
@@ -65,95 +66,43 @@ class RankSpec:
     descending: bool = True
 
 
-def ordinal_ranks(
-    df: DataFrame,
-    specs: Sequence[RankSpec],
-    group: Sequence[str],
-    ties: Sequence[str],
-    window_rows: int = 1_000_000,
-) -> DataFrame:
+def ordinal_ranks(df: DataFrame, specs: Sequence[RankSpec], group: Sequence[str], ties: Sequence[str]) -> DataFrame:
     """Adds 1, 2, 3, … per group for every spec; missing values last, ties by ``ties``.
 
-    ``ties`` must be unique within a group, and no group column missing. ``df`` should be a stored table: its group
-    sizes are counted first. Up to ``window_rows`` rows per group an ordinary window
-    sorts each group in one task. Beyond, groups are cut at sampled split points into
-    pieces of about that size, each piece is numbered by itself and shifted by the rows
-    of the pieces before it, which gives the same numbers.
+    The numbers are those of a window over each group, at any size: missing groups are groups
+    of their own, values keep their type, NaN counts as largest, and rows that agree in ``ties`` too are
+    numbered one by one. No task sorts a whole group: all rows, once per spec, are dealt by ranges of
+    (spec, group, value, ties) and stored, each range is numbered by itself, and the rows
+    of a group in earlier ranges are added.
     """
-    sizes = df.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
-    largest, groups = sizes.agg(F.max("n"), F.count(F.lit(1))).first()
-    if (largest or 0) <= window_rows:
-        tie_order = [F.col(t).asc_nulls_last() for t in ties]
-        return df.withColumns(
-            {
-                s.name: F.row_number().over(
-                    Window.partitionBy(*group).orderBy(_ordered(F.col(s.value), s.descending), *tie_order)
-                )
-                for s in specs
-            }
-        )
-    pieces = min(1_000, 2 * (largest // window_rows + 1))
-    # Stored, as what follows usually reads the ranks more than once.
-    return cut_lineage(_split_ranks(df, specs, group, ties, pieces, groups))
-
-
-def _long(df: DataFrame, specs: Sequence[RankSpec], group: Sequence[str], ties: Sequence[str]) -> DataFrame:
-    """One row per input row and spec, with a sort key that orders as the rank does."""
-
-    def key(spec: RankSpec) -> Column:
-        value = F.col(spec.value).cast("double")
-        fields = [value.isNull().alias("v_missing"), (-value if spec.descending else value).alias("v")]
-        for i, tie in enumerate(ties):
-            fields += [F.col(tie).isNull().alias(f"t{i}_missing"), F.col(tie).alias(f"t{i}")]
-        return F.struct(*fields)
-
-    rows = F.array(*[F.struct(F.lit(s.name).alias("_spec"), key(s).alias("_key")) for s in specs])
-    return df.select(*group, *ties, F.inline(rows))
-
-
-def _split_ranks(
-    df: DataFrame,
-    specs: Sequence[RankSpec],
-    group: Sequence[str],
-    ties: Sequence[str],
-    pieces: int,
-    groups: int,
-) -> DataFrame:
-    by_spec = [*group, "_spec"]
-    # The rows with the smallest key hashes are a sample that depends on nothing but the
-    # data, so a re-run task finds the same split points.
-    hashed = Window.partitionBy(*group).orderBy(F.xxhash64(*ties), *ties)
-    sample = df.withColumn("_pick", F.row_number().over(hashed)).filter(F.col("_pick") < pieces)
-    splits = (
-        _long(sample, specs, group, ties)
-        .groupBy(*by_spec)
-        .agg(F.sort_array(F.collect_list("_key")).alias("_splits"))  # fewer than ``pieces`` entries
+    kept = df.columns
+    row, part, spec_no, number = (_free(kept, name) for name in ("_row", "_part", "_spec", "_number"))
+    # Stored with its numbers, as ranks are joined back to rows by them.
+    numbered = cut_lineage(df.withColumn(row, F.monotonically_increasing_id()))
+    fields = lambda i: [
+        F.lit(i).alias(spec_no),
+        # A column for each spec's values, filled for that spec only, so that all keep their types.
+        *[(F.col(s.value) if k == i else F.lit(None).cast(df.schema[s.value].dataType)).alias(f"{spec_no}{k}") for k, s in enumerate(specs)],
+    ]
+    each = F.array(*[F.struct(*fields(i)) for i in range(len(specs))])
+    long = numbered.select(row, *group, *[F.col(t).alias(f"{row}{i}") for i, t in enumerate(ties)], F.inline(each))
+    values = [_ordered(F.col(f"{spec_no}{k}"), s.descending) for k, s in enumerate(specs)]
+    order = [*values, *[F.col(f"{row}{i}").asc_nulls_last() for i in range(len(ties))], F.col(row)]
+    by = [spec_no, *group]
+    dealt = cut_lineage(long.repartitionByRange(*by, *order).withColumn(part, F.spark_partition_id()))
+    within = dealt.withColumn(number, F.row_number().over(Window.partitionBy(part, *by).orderBy(*order)))
+    earlier = Window.partitionBy(*by).orderBy(part).rowsBetween(Window.unboundedPreceding, -1)  # one row per range
+    shifts = dealt.groupBy(part, *by).agg(F.count(F.lit(1)).alias("n"))
+    shifts = shifts.select(part, *by, F.coalesce(F.sum("n").over(earlier), F.lit(0)).alias("shift")).alias("s")
+    same = reduce(lambda a, b: a & b, [F.col(f"w.{c}").eqNullSafe(F.col(f"s.{c}")) for c in [part, *by]])
+    placed = within.alias("w").join(shifts, same).select(
+        F.col(f"w.{row}").alias(row), F.col(f"w.{spec_no}").alias(spec_no), (F.col(f"w.{number}") + F.col("s.shift")).alias(number)
     )
-    if groups * len(specs) * pieces <= 200_000:
-        splits = F.broadcast(splits)
-    cut = (
-        _long(df, specs, group, ties)
-        .join(splits, by_spec)
-        .withColumn("_piece", F.size(F.filter("_splits", lambda s: s < F.col("_key"))))
-        .drop("_splits")
-    )
-    by_piece = [*by_spec, "_piece"]
-    before = Window.partitionBy(*by_spec).orderBy("_piece").rowsBetween(Window.unboundedPreceding, -1)
-    shifts = (
-        cut.groupBy(*by_piece)
-        .agg(F.count(F.lit(1)).alias("_rows"))
-        .select(*by_piece, F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_shift"))
-    )
-    if groups * len(specs) * pieces <= 200_000:
-        shifts = F.broadcast(shifts)
-    within = Window.partitionBy(*by_piece).orderBy("_key")
-    numbered = cut.withColumn("_number", F.row_number().over(within)).join(shifts, by_piece)
-    wide = numbered.groupBy(*group, *ties).agg(
-        *[
-            F.max(F.when(F.col("_spec") == s.name, F.col("_number") + F.col("_shift"))).cast("int").alias(s.name)
-            for s in specs
-        ]
-    )
-    left, right = df.alias("l"), wide.alias("r")
-    same = reduce(lambda a, b: a & b, [F.col(f"l.{c}").eqNullSafe(F.col(f"r.{c}")) for c in [*group, *ties]])
-    return left.join(right, same).select("l.*", *[f"r.{s.name}" for s in specs])
+    wide = placed.groupBy(row).agg(*[F.max(F.when(F.col(spec_no) == i, F.col(number))).cast("int").alias(s.name) for i, s in enumerate(specs)])
+    return numbered.join(wide, row).select(*kept, *[s.name for s in specs])
+
+
+def _free(taken: Sequence[str], name: str) -> str:
+    while any(c.lower().startswith(name) for c in taken):
+        name += "_"
+    return name

@@ -19,7 +19,6 @@ from pyspark.storagelevel import StorageLevel
 from snaplytics.functions.columns import require
 from snaplytics.functions.nulls import ratio, strict_sum
 from snaplytics.functions.ranks import RankSpec, ordinal_ranks, with_group_totals
-from snaplytics.session import cut_lineage
 
 # The model's terms.
 FEATURES = ("tds_rank", "yds_rank", "win_rank", "epa_rank", "total_interceptions")
@@ -264,15 +263,15 @@ def misses(scored: DataFrame) -> DataFrame:
     return _missed(scored).select("season", "player_display_name", "outcome")
 
 
-def missed_seasons(scored: DataFrame, **limits: int) -> DataFrame:
+def missed_seasons(scored: DataFrame) -> DataFrame:
     """Seasons with a miss: the actual beside the predicted winner.
 
     One row per season, unless several share the top probability (or the award): then the
     names of each side, in order, fill one row after the other. No cell holds a list, so
     a season in which very many tie stays spread over tasks.
     """
-    sides = cut_lineage(_missed(scored).select("season", "outcome", *TIE_KEY))
-    numbered = ordinal_ranks(sides, [RankSpec("place", "season")], ["season", "outcome"], TIE_KEY, **limits)
+    sides = _missed(scored).select("season", "outcome", *TIE_KEY)
+    numbered = ordinal_ranks(sides, [RankSpec("place", "season")], ["season", "outcome"], TIE_KEY)
     wide = numbered.groupBy("season", "place").pivot("outcome", [ACTUAL, PREDICTED]).agg(F.first("player_display_name"))
     return wide.drop("place")
 

@@ -64,12 +64,9 @@ def qb_season(player_stats: DataFrame, rules: AwardRules = AwardRules()) -> Data
     )
 
 
-def qb_ranks(season_rows: DataFrame, **limits: int) -> DataFrame:
-    """Six ranks within the season, ties in order of team, name and id.
-
-    Give it a stored table (see ``cut_lineage``); it is read more than once.
-    """
-    ranked = ordinal_ranks(season_rows, SEASON_RANKS, ["season"], KEY, **limits)
+def qb_ranks(season_rows: DataFrame) -> DataFrame:
+    """Six ranks within the season, ties in order of team, name and id."""
+    ranked = ordinal_ranks(season_rows, SEASON_RANKS, ["season"], KEY)
     return ranked.select(
         *("season", "player_display_name", "player_id"),
         *[s.name for s in SEASON_RANKS],

@@ -12,6 +12,19 @@ def rows(df, *columns):
     return sorted(picked, key=lambda r: tuple((v is None, 0 if v is None else v) for v in r))
 
 
+@contextlib.contextmanager
+def settings(spark, values):
+    """Session settings for a while."""
+    before = {k: spark.conf.get(k) for k in values}
+    try:
+        for k, v in values.items():
+            spark.conf.set(k, v)
+        yield
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+
+
 def plan(df) -> str:
     text = io.StringIO()
     with contextlib.redirect_stdout(text):

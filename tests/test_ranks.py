@@ -4,16 +4,16 @@ import numpy as np
 import pandas as pd
 import pytest
 from pyspark.sql import functions as F
+from pyspark.sql.window import Window
 
 from snaplytics.functions.ranks import (
     RankSpec,
-    _split_ranks,
     average_rank,
     min_rank,
     ordinal_ranks,
     with_group_totals,
 )
-from tests.helpers import rows
+from tests.helpers import rows, settings
 
 
 def test_min_rank_shares_the_lowest_and_skips_missing(spark):
@@ -64,26 +64,40 @@ def _expected(data):
     return {i: tuple(int(result[s.name][k]) for s in SPECS) for k, i in enumerate(frame["id"])}
 
 
-@pytest.mark.parametrize("window_rows", [10_000, 150, 20])
-def test_ordinal_ranks_agree_with_pandas_whole_and_split(spark, window_rows):
+@pytest.mark.parametrize("parts", [1, 16])
+def test_ordinal_ranks_agree_with_pandas(spark, parts):
     data = _random_rows(1500, seed=3)
     df = spark.createDataFrame(data, "season int, team string, name string, id string, x double, y int")
-    out = ordinal_ranks(df, SPECS, ["season"], ["team", "name", "id"], window_rows=window_rows)
-    assert out.columns == [*df.columns, "up", "down", "other"]
-    got = {r["id"]: (r["up"], r["down"], r["other"]) for r in out.collect()}
+    with settings(spark, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        out = ordinal_ranks(df, SPECS, ["season"], ["team", "name", "id"])
+        assert out.columns == [*df.columns, "up", "down", "other"]
+        got = {r["id"]: (r["up"], r["down"], r["other"]) for r in out.collect()}
     assert got == _expected(data)
 
 
-def test_split_ranks_never_sort_a_whole_season_in_one_task(spark):
-    df = spark.createDataFrame(_random_rows(1000, 5), "season int, team string, name string, id string, x double, y int")
-    out = _split_ranks(df, SPECS, ["season"], ["team", "name", "id"], pieces=20, groups=4)
-    lines = out._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    windows = [line.split(" AS ")[0] if "WindowGroupLimit" in line else line for line in lines if "row_number()" in line]
-    numbering = [w for w in windows if " AS _number" in w]
-    sampling = [w for w in windows if " AS _pick" in w]
-    assert numbering and all("_piece" in w for w in numbering)
-    # The sample keeps a bounded number of rows per task before its shuffle.
-    assert len(sampling) == sum("WindowGroupLimit" in w for w in windows) > 0
+def test_ordinal_ranks_equal_a_window_on_odd_values(spark):
+    """Missing groups, NaN, whole numbers beyond double precision, and rows equal in every tie column."""
+    nan, big = float("nan"), 2**53
+    data = [(g, x, y, t) for g in (None, "a") for x, y, t in ((nan, big, "k"), (1.5, big + 1, "k"), (None, big + 2, "k"), (1.5, None, "k"), (1.5, None, "k"))]
+    df = spark.createDataFrame(data, "g string, x double, y long, t string")
+    specs = (RankSpec("rx", "x"), RankSpec("rx_up", "x", descending=False), RankSpec("ry", "y"), RankSpec("ry_up", "y", descending=False))
+    plain = df
+    for s in specs:
+        order = F.col(s.value).desc_nulls_last() if s.descending else F.col(s.value).asc_nulls_last()
+        plain = plain.withColumn(s.name, F.row_number().over(Window.partitionBy("g").orderBy(order, F.col("t").asc_nulls_last())))
+    with settings(spark, {"spark.sql.shuffle.partitions": "9", "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        out = ordinal_ranks(df, specs, ["g"], ["t"]).collect()
+    # Equal rows share their numbers in any order, so each column is compared by itself.
+    for s in specs:
+        key = lambda r: str((r["g"], r["x"], r["y"], r[s.name]))  # noqa: B023, E731
+        assert sorted(map(key, out)) == sorted(map(key, plain.collect()))
+
+
+def test_no_task_sorts_a_whole_season(spark):
+    df = spark.createDataFrame(_random_rows(100, 5), "season int, team string, name string, id string, x double, y int")
+    lines = ordinal_ranks(df, SPECS, ["season"], ["team", "name", "id"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
+    numbering = [line for line in lines if "row_number()" in line]
+    assert numbering and all("_part" in line for line in numbering)
 
 
 def test_group_totals(spark):
