@@ -5,7 +5,7 @@ from __future__ import annotations
 import warnings
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
-from math import erf, inf, sqrt
+from math import erfc, inf, sqrt
 
 from pyspark.ml.classification import LogisticRegression
 from pyspark.ml.feature import VectorAssembler
@@ -44,6 +44,7 @@ class AwardModel:
     aic: float
     rows: int
     iterations: int
+    converged: bool
 
     @property
     def coefficients(self) -> dict[str, float]:
@@ -57,7 +58,8 @@ class AwardModel:
 def fit(training: DataFrame, features: Sequence[str] = FEATURES, label: str = "mvp", max_iter: int = 25) -> AwardModel:
     """Logistic regression by iterated least squares; rows with a missing value are left out.
 
-    Every iteration is one distributed pass that adds up a small matrix per partition.
+    Every iteration is one distributed pass that adds up a small matrix per partition. A fit that
+    ``max_iter`` stops is returned with ``converged`` false.
     The rows are kept in executor memory (or disk) for these passes and released after.
     """
     features = require(training, features)
@@ -81,6 +83,7 @@ def fit(training: DataFrame, features: Sequence[str] = FEATURES, label: str = "m
             aic=summary.aic,
             rows=summary.numInstances,
             iterations=summary.numIterations,
+            converged=summary.numIterations < max_iter,
         )
     finally:
         rows.unpersist()
@@ -89,28 +92,40 @@ def fit(training: DataFrame, features: Sequence[str] = FEATURES, label: str = "m
     return fitted
 
 
-def coefficient_table(spark, model: AwardModel) -> DataFrame:
-    """One row per term: log-odds estimate, error, z, p and the 95 % Wald interval."""
+COEFFICIENT_TABLE = (
+    "term string, estimate double, std_error double, z double, p_value double, wald_low double, wald_high double"
+)
+LIMIT_TABLE = "term string, conf_low double, conf_high double, low_converged boolean, high_converged boolean"
+
+
+def coefficient_table(spark, model: AwardModel, limits: DataFrame | None = None) -> DataFrame:
+    """One row per term: log-odds estimate, error, z, p and the 95 % Wald interval.
+
+    With ``limits`` (see ``profile_intervals``) also the profile-likelihood interval.
+    """
     rows = []
     for term, estimate, error in zip(model.terms, model.estimates, model.errors):
         z = estimate / error
-        p = 1.0 - erf(abs(z) / sqrt(2.0))
+        p = erfc(abs(z) / sqrt(2.0))
         rows.append((term, estimate, error, z, p, estimate - WALD_95 * error, estimate + WALD_95 * error))
-    schema = "term string, estimate double, std_error double, z double, p_value double, conf_low double, conf_high double"
-    return spark.createDataFrame(rows, schema)
+    table = spark.createDataFrame(rows, COEFFICIENT_TABLE)
+    return table if limits is None else table.join(limits, "term", "left")
 
 
 def profile_intervals(
-    training: DataFrame, model: AwardModel, label: str = "mvp", tolerance: float = 1e-3, max_refits: int = 12
+    training: DataFrame, model: AwardModel, label: str = "mvp", tolerance: float = 1e-3, max_refits: int = 30
 ) -> DataFrame:
-    """95 % profile-likelihood interval of each term.
+    """95 % profile-likelihood interval of each term, and whether each limit was found.
 
     A limit is the value at which the deviance, with the term held there and all others
     fitted anew, has grown by the 95 % chi-square point. Each try is one bounded refit, a
     few passes over the stored rows, so a table takes some dozens of fits; the Wald
-    interval of ``coefficient_table`` is the quick form. A limit that is not reached
-    (separated classes) is NULL.
+    interval of ``coefficient_table`` is the quick form. Where the tries run out, a refit stops
+    early, or the classes are separated, the limit is NULL and its flag false.
     """
+    spark = training.sparkSession
+    if model.separated:
+        return spark.createDataFrame([(t, None, None, False, False) for t in model.terms], LIMIT_TABLE)
     features = require(training, [t for t in model.terms if t != INTERCEPT])
     complete = training.select(*[F.col(c).cast("double").alias(c) for c in [*features, label]]).dropna()
     rows = VectorAssembler(inputCols=features, outputCol="features").transform(complete)
@@ -122,60 +137,73 @@ def profile_intervals(
             low, high = (
                 _limit(deviance, model.deviance, estimate, side * error, tolerance, max_refits) for side in (-1.0, 1.0)
             )
-            limits.append((term, estimate, low, high))
+            limits.append((term, low, high, low is not None, high is not None))
     finally:
         rows.unpersist()
-    schema = "term string, estimate double, conf_low double, conf_high double"
-    return training.sparkSession.createDataFrame(limits, schema)
+    return spark.createDataFrame(limits, LIMIT_TABLE)
+
+
+REFIT_STEPS = 200
 
 
 def _held_deviance(rows: DataFrame, label: str, place: int, features: int, n: int):
-    """Deviance as a function of the value at which the term in ``place`` is held."""
+    """Deviance as a function of the value at which the term in ``place`` is held; None if the refit stops early."""
 
-    def deviance(value: float) -> float:
+    def deviance(value: float) -> float | None:
         low, high = [-inf] * (features + 1), [inf] * (features + 1)
         low[place] = high[place] = value
         fitted = LogisticRegression(
             labelCol=label,
             regParam=0.0,
             tol=1e-9,
-            maxIter=200,
+            maxIter=REFIT_STEPS,
             lowerBoundsOnIntercepts=Vectors.dense(low[:1]),
             upperBoundsOnIntercepts=Vectors.dense(high[:1]),
             lowerBoundsOnCoefficients=Matrices.dense(1, features, low[1:]),
             upperBoundsOnCoefficients=Matrices.dense(1, features, high[1:]),
         ).fit(rows)
-        return 2.0 * n * fitted.summary.objectiveHistory[-1]
+        history = fitted.summary.objectiveHistory
+        return 2.0 * n * history[-1] if len(history) <= REFIT_STEPS else None
 
     return deviance
 
 
 def _limit(deviance, best: float, estimate: float, step: float, tolerance: float, tries: int) -> float | None:
-    """Where sqrt(deviance - best), about linear in the distance, meets the 95 % point."""
+    """Where sqrt(deviance - best), about linear in the distance, meets the 95 % point.
+
+    The distance doubles until the point is passed, then the secant narrows the bracket, or
+    its middle where the secant has not halved it. Only a value that was tried is returned; None if none fits.
+    """
     inside, outside = (0.0, 0.0), None  # (distance in steps, root of the deviance gained)
-    distance = WALD_95
+    distance, halved = WALD_95, True
     for _ in range(tries):
-        gained = sqrt(max(deviance(estimate + distance * step) - best, 0.0))
+        value = deviance(estimate + distance * step)
+        if value is None:
+            return None
+        gained = sqrt(max(value - best, 0.0))
         if abs(gained - WALD_95) < tolerance:
             return estimate + distance * step
+        width = outside[0] - inside[0] if outside else inf
         if gained < WALD_95:
             inside = (distance, gained)
         else:
             outside = (distance, gained)
         if outside is None:
-            distance *= min(WALD_95 / max(gained, 0.25), 2.0)
-        else:
-            (d0, g0), (d1, g1) = inside, outside
-            distance = d0 + (d1 - d0) * (WALD_95 - g0) / (g1 - g0)
-    return None if outside is None else estimate + distance * step
+            distance *= 2.0
+            continue
+        (d0, g0), (d1, g1) = inside, outside
+        halved = d1 - d0 <= width / 2
+        distance = d0 + (d1 - d0) * (WALD_95 - g0) / (g1 - g0) if halved else (d0 + d1) / 2
+    return None
 
 
 def fit_table(spark, model: AwardModel) -> DataFrame:
     """Deviances, AIC and counts of the fit."""
     free = model.rows - len(model.terms)
-    row = (model.null_deviance, model.rows - 1, model.deviance, free, model.aic, model.rows, model.iterations)
+    row = (model.null_deviance, model.rows - 1, model.deviance, free, model.aic, model.rows, model.iterations, model.converged)
     schema = (
-        "null_deviance double, null_df long, deviance double, residual_df long, aic double, rows long, iterations int"
+        "null_deviance double, null_df long, deviance double, residual_df long, aic double, rows long, iterations int, "
+        "converged boolean"
     )
     return spark.createDataFrame([row], schema)
 
@@ -207,6 +235,16 @@ def score(rows: DataFrame, coefficients: Mapping[str, float]) -> DataFrame:
     ).drop("_top", "_sum")
 
 
+def score_equations(training: DataFrame, model: AwardModel, label: str = "mvp") -> DataFrame:
+    """Per term the sum of its values times the residuals of the complete rows: 0 where the likelihood is largest."""
+    features = [t for t in model.terms if t != INTERCEPT]
+    complete = training.select(*[F.col(c).cast("double").alias(c) for c in [*features, label]]).dropna()
+    left = F.col(label) - probability(model.coefficients)
+    sums = complete.agg(*[F.sum(left if t == INTERCEPT else F.col(t) * left).alias(t) for t in model.terms])
+    pairs = F.array(*[F.struct(F.lit(t).alias("term"), F.col(f"`{t}`").alias("score")) for t in model.terms])
+    return sums.select(F.inline(pairs))
+
+
 def confusion(scored: DataFrame) -> DataFrame:
     """Counts of predicted against actual, rows with either missing not counted."""
     return scored.dropna(subset=["pred_mvp", "mvp"]).groupBy("pred_mvp", "mvp").agg(F.count(F.lit(1)).alias("n"))
@@ -214,8 +252,9 @@ def confusion(scored: DataFrame) -> DataFrame:
 
 # Names of the measures.
 METRICS = (
-    "accuracy kap sens spec ppv npv mcc j_index bal_accuracy detection_prevalence precision recall f_meas"
-).split()
+    "accuracy", "kap", "sens", "spec", "ppv", "npv", "mcc", "j_index", "bal_accuracy", "detection_prevalence", "precision",
+    "recall", "f_meas",
+)
 
 
 def binary_metrics(counts: DataFrame) -> DataFrame:
@@ -278,8 +317,8 @@ def missed_seasons(scored: DataFrame) -> DataFrame:
 
 # Columns of the race table, in display order.
 RACE_COLUMNS = (
-    "player_display_name mvp_prob pred_mvp tds_rank yds_rank win_rank epa_rank total_interceptions"
-).split()
+    "player_display_name", "mvp_prob", "pred_mvp", "tds_rank", "yds_rank", "win_rank", "epa_rank", "total_interceptions",
+)
 
 
 def _race_order() -> list[Column]:

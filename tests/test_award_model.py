@@ -1,5 +1,6 @@
 import math
 import warnings
+from dataclasses import replace
 
 import numpy as np
 import pytest
@@ -71,17 +72,34 @@ def test_coefficient_and_fit_tables(spark, model):
     table = {r["term"]: r for r in am.coefficient_table(spark, model).collect()}
     r = table["tds_rank"]
     assert math.isclose(r["z"], r["estimate"] / r["std_error"])
-    assert math.isclose(r["p_value"], math.erfc(abs(r["z"]) / math.sqrt(2)), rel_tol=1e-6, abs_tol=1e-12)
-    assert math.isclose(r["conf_high"] - r["conf_low"], 2 * 1.959963984540054 * r["std_error"])
+    assert math.isclose(r["p_value"], math.erfc(abs(r["z"]) / math.sqrt(2)), rel_tol=1e-12)
+    assert math.isclose(r["wald_high"] - r["wald_low"], 2 * 1.959963984540054 * r["std_error"])
     fitted = am.fit_table(spark, model).first()
-    assert fitted["residual_df"] == 394 and fitted["null_df"] == 399
+    assert fitted["residual_df"] == 394 and fitted["null_df"] == 399 and fitted["converged"]
+
+
+def test_p_of_a_far_out_z_keeps_its_digits(spark, model):
+    far = replace(model, estimates=tuple(12.0 * e for e in model.errors))
+    for r in am.coefficient_table(spark, far).collect():
+        assert math.isclose(r["z"], 12.0) and math.isclose(r["p_value"], 3.552964224155e-33, rel_tol=1e-9)
+
+
+def test_a_fit_that_is_stopped_says_so(training):
+    assert not am.fit(training, max_iter=2).converged
+
+
+def test_score_equations_hold(training, model):
+    out = {r["term"]: r["score"] for r in am.score_equations(training, model).collect()}
+    assert list(out) == list(model.terms) and max(map(abs, out.values())) < 1e-5
 
 
 def test_profile_intervals_agree_with_refits(training, data):
     x, y = np.column_stack([np.ones(400), data[0][:, 0]]), data[1]
     model = am.fit(training, ["tds_rank"])
-    out = {r["term"]: r for r in am.profile_intervals(training.coalesce(1), model).collect()}
+    limits = am.profile_intervals(training.coalesce(1), model)
+    out = {r["term"]: r for r in am.coefficient_table(training.sparkSession, model, limits).collect()}
     for j, term in enumerate(model.terms):
+        assert out[term]["low_converged"] and out[term]["high_converged"]
         for bound in (out[term]["conf_low"], out[term]["conf_high"]):
             gained = irls(np.delete(x, j, axis=1), y, offset=bound * x[:, j])[2] - model.deviance
             assert math.isclose(math.sqrt(gained), 1.959963984540054, abs_tol=2e-3)
@@ -127,6 +145,14 @@ def test_separated_classes_warn(spark):
         warnings.simplefilter("always")
         model = am.fit(df, features=["x"])
     assert model.separated and any("separated" in str(w.message) for w in caught)
+    assert [tuple(r)[1:] for r in am.profile_intervals(df, model).collect()] == [(None, None, False, False)] * 2
+
+
+def test_limit_behind_a_flat_stretch():
+    flat = lambda b: 1.0 + max(0.0, b - 1000.0) ** 2
+    assert am._limit(flat, 1.0, 0.0, 1.0, 1e-4, 12) is None
+    assert am._limit(flat, 1.0, 0.0, 1.0, 1e-4, 60) == pytest.approx(1001.959964, abs=1e-3)
+    assert am._limit(lambda b: None, 1.0, 0.0, 1.0, 1e-4, 12) is None
 
 
 def test_limit_that_is_never_reached_is_unknown():
@@ -142,7 +168,7 @@ def test_confusion_and_metrics(spark):
     assert rows(counts) == [(0.0, 0.0, 90), (0.0, 1.0, 2), (1.0, 0.0, 3), (1.0, 1.0, 5)]
     out = am.binary_metrics(counts)
     got = {r["metric"]: r["estimate"] for r in out.collect()}
-    assert list(got) == am.METRICS
+    assert tuple(got) == am.METRICS
     chance = (8 * 7 + 92 * 93) / 100**2
     expected = {
         "accuracy": 0.95, "kap": (0.95 - chance) / (1 - chance), "sens": 5 / 7, "spec": 90 / 93, "ppv": 5 / 8, "npv": 90 / 92,
@@ -192,7 +218,7 @@ def test_misses(scored):
 
 def test_race_order_and_length(scored):
     race = am.mvp_race(scored, 2021, rows=2)
-    assert race.columns == am.RACE_COLUMNS
+    assert race.columns == list(am.RACE_COLUMNS)
     assert [r["player_display_name"] for r in race.collect()] == ["Bob", "Eve"]
     everyone = am.mvp_races(scored, rows=2)
     assert rows(everyone, "season", "place", "player_display_name") == [
