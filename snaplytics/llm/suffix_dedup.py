@@ -31,7 +31,7 @@ import numpy as np
 import pyarrow as pa
 import xxhash
 from pyspark import TaskContext
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from snaplytics.llm.common import stored, text_or_empty
@@ -352,7 +352,7 @@ def _met(batches: Iterator[pa.RecordBatch], large_group: int) -> Iterator[pa.Rec
         yield pa.RecordBatch.from_arrays([kind, pa.array(ref[need]), pa.array(packed[need]), none(n), pa.array(h[need]), pa.array(c[need]), large], names)
 
 
-BYTES = "h long, c long, ref long, place long, before binary, after binary, large boolean"
+BYTES = "h long, c long, ref long, place long, before binary, after binary"
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -365,7 +365,7 @@ def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             arrays = [
                 own.field("h"), own.field("c"), own.field("ref"), pa.array(place),
                 pa.array([text[p - b : p] for p, b, _ in bounds], pa.binary()),
-                pa.array([text[p : p + a] for p, _, a in bounds], pa.binary()), own.field("large"),
+                pa.array([text[p : p + a] for p, _, a in bounds], pa.binary()),
             ]
             yield pa.RecordBatch.from_arrays(arrays, [f.split()[0] for f in BYTES.split(", ")])
 
@@ -397,9 +397,11 @@ def _passages(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for i, (before, after) in enumerate(zip(batch.column(4).to_pylist(), batch.column(5).to_pylist())):
             text = before + after
             starts = range(max(0, len(before) + KGRAM - LENGTH), min(len(before), len(text) - LENGTH) + 1)
-            keys = [hashlib.md5(text[s : s + LENGTH]).digest() for s in starts]
+            keys = b"".join(xxhash.xxh3_128_digest(text[s : s + LENGTH]) for s in starts)
+            k1, k2 = np.frombuffer(keys, np.int64).reshape(-1, 2).T
             at = np.arange(starts.start, starts.stop) + place[i] - len(before)
-            yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(np.full(len(at), ref[i])), pa.array(at)], ["key", "ref", "a"])
+            arrays = [pa.array(np.ascontiguousarray(x)) for x in (k1, k2, np.full(len(at), ref[i]), at)]
+            yield pa.RecordBatch.from_arrays(arrays, ["k1", "k2", "ref", "a"])
 
 
 def _cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -430,25 +432,34 @@ def without(text: bytes, spans: list[tuple[int, int]]) -> bytes:
     return b"".join(text[s:e] for s, e in zip(edges[::2], edges[1::2]))
 
 
+def _same_text(left: DataFrame, right: DataFrame) -> Column:
+    return left["text_key"].eqNullSafe(right["text_key"]) & left["doc_id"].eqNullSafe(right["doc_id"])
+
+
 def covered_spans(texts: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
     """(doc_id, text_key, a, b): the covered intervals of every text of ``texts`` (doc_id, text as binary) that has some."""
     found = stored(texts.mapInArrow(_anchored, FOUND), "anchors")
     documents = found.filter(f"kind = {DOCUMENT}").select("ref", "doc_id", "text_key")
     places = found.filter(f"kind = {ANCHOR}").select("h", "c", "ref", "a", "many")
     met = stored(places.repartition("h").sortWithinPartitions("h", "c").mapInArrow(partial(_met, large_group=large_group), MET), "met")
-    needs = met.filter(f"kind = {NEEDED}").join(documents, "ref")
-    needs = needs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "c", "ref", "a", "large")).alias("needs"))
+    # The texts cross one shuffle, by id and hash; every join with them in this plan and the caller's reuses it.
     keyed = texts.withColumn("text_key", F.unhex(F.md5("text")))
-    same = keyed["text_key"].eqNullSafe(needs["text_key"]) & keyed["doc_id"].eqNullSafe(needs["doc_id"])
-    around = keyed.join(needs, same).select("text", "needs").mapInArrow(_fetched, BYTES)
-    spans = [found.filter(f"kind = {COVERED}").select("ref", "a", "b"), met.filter(f"kind = {COVERED}").select("ref", "a", "b")]
-    if met.filter("large").limit(1).count():
-        around = stored(around, "surroundings")
-        passages = around.filter("large").mapInArrow(_passages, "key binary, ref long, a long").distinct()
-        repeated = passages.groupBy("key").agg(F.count(F.lit(1)).alias("n")).filter("n > 1")
-        spans.append(passages.join(repeated, "key").select("ref", "a", (F.col("a") + LENGTH).alias("b")))
-        around = around.filter(~F.col("large"))
-    spans.append(around.repartition("h").sortWithinPartitions("h", "c").mapInArrow(_compared, SPAN))
+
+    def surroundings(large: bool) -> DataFrame:
+        needs = met.filter((F.col("kind") == NEEDED) & (F.col("large") == large)).join(documents, "ref")
+        needs = needs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "c", "ref", "a")).alias("needs"))
+        return keyed.join(needs, _same_text(keyed, needs)).select("text", "needs").mapInArrow(_fetched, BYTES)
+
+    passages = surroundings(True).mapInArrow(_passages, "k1 long, k2 long, ref long, a long")
+    # Two ends that differ are two places; repeated documents bring the same place twice.
+    ends = passages.groupBy("k1", "k2").agg(F.min(F.struct("ref", "a")).alias("first"), F.max(F.struct("ref", "a")).alias("last"))
+    repeated = ends.filter("first <> last").select("k1", "k2")
+    spans = [
+        found.filter(f"kind = {COVERED}").select("ref", "a", "b"),
+        met.filter(f"kind = {COVERED}").select("ref", "a", "b"),
+        passages.join(repeated, ["k1", "k2"]).select("ref", "a", (F.col("a") + LENGTH).alias("b")),
+        surroundings(False).repartition("h").sortWithinPartitions("h", "c").mapInArrow(_compared, SPAN),
+    ]
     every = spans[0].unionByName(spans[1])
     for more in spans[2:]:
         every = every.unionByName(more)
@@ -468,6 +479,5 @@ def remove_passages(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFram
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     spans = covered_spans(texts, large_group)
     keyed = texts.withColumn("text_key", F.unhex(F.md5("text")))
-    same = keyed["text_key"].eqNullSafe(spans["text_key"]) & keyed["doc_id"].eqNullSafe(spans["doc_id"])
-    joined = keyed.join(spans, same, "left").select(keyed["doc_id"], "text", "a", "b")
+    joined = keyed.join(spans, _same_text(keyed, spans), "left").select(keyed["doc_id"], "text", "a", "b")
     return joined.mapInArrow(_cut, "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string")
