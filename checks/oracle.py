@@ -4,10 +4,26 @@ from __future__ import annotations
 
 from checks.queries import COEFFICIENTS, DIGITS, RULES, SEASON, TEAM, WEEKS
 from checks.views import with_views
-from snaplytics.operators.award_model import EPSILON, INTERCEPT, LOGIT_LIMIT, RACE_COLUMNS
-from snaplytics.operators.pivot import MEASURES
-from snaplytics.operators.team_week import WEEK_RATES, WEEK_TABLE
 
+# Stated once more, not taken from the jobs, so that a wrong value there shows.
+EPSILON, LOGIT_LIMIT, INTERCEPT = 2.220446049250313e-16, 30.0, "(Intercept)"
+WEEK_RATES = (
+    "epa_per_play", "sr", "dropback_epa", "dropback_sr", "dropback_explosive", "rush_epa", "rush_sr", "rush_explosive",
+)
+MEASURES = (
+    "tot_plays", "tot_yds", "epa_per_play", "sr", "passes", "passing_yds", "dropback_epa", "dropback_sr",
+    "dropback_explosive", "rushes", "rushing_yds", "rush_epa", "rush_sr", "rush_explosive",
+)
+RACE_COLUMNS = (
+    "player_display_name", "mvp_prob", "pred_mvp", "tds_rank", "yds_rank", "win_rank", "epa_rank", "total_interceptions",
+)
+WEEK_TABLE = (
+    "week", "opp_logo", "result", "final_score", "spread_line", "team_rest", "opponent_rest", "passes",
+    "passing_yds", "interceptions", "dropback_epa", "dropback_epa_rank", "dropback_sr", "dropback_sr_rank",
+    "dropback_explosive", "dropback_explosive_rank", "rushes", "rushing_yds", "lost_fumbles", "rush_epa",
+    "rush_epa_rank", "rush_sr", "rush_explosive", "rush_explosive_rank", "rush_sr_rank", "tot_plays", "tot_yds",
+    "tot_tos", "epa_per_play", "epa_per_play_rank", "sr", "sr_rank",
+)
 FLAGS = ("is_no_huddle", "is_catchable_ball", "is_contested_ball", "is_created_reception", "is_drop")
 CHARTED = f"""select p.*, {", ".join("c." + f for f in FLAGS)}
 from fx_plays p join fx_charting c on p.game_id = c.nflverse_game_id and p.play_id = c.nflverse_play_id"""
@@ -28,8 +44,8 @@ def strict(x: str, kind: str = "bigint") -> str:
     return f"cast(case when count({x}) = count(*) then sum({x}) end as {kind})"
 
 
-def lenient(x: str) -> str:
-    return f"cast(coalesce(sum({x}), 0) as bigint)"
+def lenient(x: str, kind: str = "bigint") -> str:
+    return f"cast(coalesce(sum({x}), 0) as {kind})"
 
 
 def over(n: str, d: str) -> str:
@@ -57,19 +73,19 @@ WEEK_MEASURES = {
     "epa_per_play": over(strict("epa", "double"), "count(*)"),
     "passes": strict("pass"),
     "interceptions": lenient("interception"),
-    "passing_yds": lenient("passing_yards"),
+    "passing_yds": lenient("passing_yards", "double"),
     "dropback_epa": over(strict("epa * pass", "double"), strict("pass")),
     "dropback_sr": over(strict("success * pass"), strict("pass")),
     "dropback_explosive": over(lenient(X_PASS), strict("pass")),
     "rushes": strict("rush"),
     "lost_fumbles": lenient("fumble_lost"),
-    "rushing_yds": lenient("rushing_yards"),
+    "rushing_yds": lenient("rushing_yards", "double"),
     "rush_epa": over(strict("epa * rush", "double"), strict("rush")),
     "rush_sr": over(strict("success * rush"), strict("rush")),
     "rush_explosive": over(lenient(X_RUN), strict("rush")),
     "sr": over(strict("success"), "count(*)"),
     "tot_plays": f"{strict('pass')} + {strict('rush')}",
-    "tot_yds": f"{lenient('passing_yards')} + {lenient('rushing_yards')}",
+    "tot_yds": f"{lenient('passing_yards', 'double')} + {lenient('rushing_yards', 'double')}",
     "tot_tos": f"{lenient('interception')} + {lenient('fumble_lost')}",
 }
 RATES = set(WEEK_RATES)
@@ -234,7 +250,7 @@ from (select season, posteam, headshot_url, player_display_name, position, {tota
   group by season, posteam, headshot_url, player_display_name, position)"""
 
 
-def pivot(keys: str, weeks=None, where: str = "true", drop_team: bool = False) -> str:
+def pivot(keys: str, weeks=None, where: str = "true", drop_team: bool = False, season: int | None = None) -> str:
     def rate(name: str) -> str:
         # no plays of the kind: 0, unless the total itself is unknown
         return r(f"case when {name}_n = 0 and {name}_d = 0 then 0.0e0 else {over(name + '_n', name + '_d')} end")
@@ -254,7 +270,7 @@ def pivot(keys: str, weeks=None, where: str = "true", drop_team: bool = False) -
     measures = ", ".join(f"{rate(c)} as {c}" if c in parts else c for c in MEASURES)
     out = keys if drop_team else f"posteam, {keys}"
     return f"""select {out}, {measures} from (select posteam, {keys}, {counts}, {pieces} from ({CHARTED})
-  where {PLAY} and posteam is not null and offense_formation is not null and {week_range(weeks)}
+  where {PLAY} and posteam is not null and offense_formation is not null and {week_range(weeks)} and {"true" if season is None else f"season = {season}"}
   group by posteam, {keys}) where {where}"""
 
 
@@ -262,7 +278,7 @@ QB_SEASON = f"""select season, recent_team as team, player_display_name, player_
   {lenient("completions")} as total_cmp, {lenient("attempts")} as total_attempts,
   {lenient("passing_yards + rushing_yards")} as total_yards, {lenient("passing_tds + rushing_tds")} as total_tds,
   {lenient("interceptions")} as total_interceptions, avg(passing_epa) as mean_epa
-from fx_player_stats where season_type = 'REG' and position = 'QB' and season >= {RULES.first_season}
+from fx_player_stats where season_type = 'REG' and position = 'QB' and season >= {RULES.first_season} and season not in (1996)
 group by season, recent_team, player_display_name, player_id
 having coalesce(sum(attempts), 0) >= {RULES.min_attempts}"""
 
@@ -342,6 +358,16 @@ RACE_ORDER = "mvp_prob desc nulls last, player_display_name nulls last, team nul
 RACE = shown(RACE_COLUMNS, {"mvp_prob", "win_rank"})
 
 
+TRAIN = f"season between {RULES.first_season} and {RULES.train_last_season} and season not in (1998)"
+TEST = f"season >= {RULES.test_first_season}"
+COMPLETE = "mvp is not null and tds_rank is not null and yds_rank is not null and win_rank is not null and epa_rank is not null and total_interceptions is not null"
+NULL_FIT = f"""select n as "rows", n - 1 as null_df, n - 6 as residual_df,
+  {r("-2.0e0 * (ones * ln(ones / n) + (n - ones) * ln(1.0e0 - ones / n))")} as null_deviance
+from (select count(*) as n, cast(sum(mvp) as double) as ones from ({LABELLED}) where {TRAIN} and {COMPLETE})"""
+SHARES = f"""select season, case when count(*) = count(*) filter ({COMPLETE}) then 1.0e0 end as share,
+  case when count(*) filter ({COMPLETE}) > 0 then true end as has_favourite from ({LABELLED}) where ({TRAIN}) or ({TEST}) group by season"""
+
+
 def frequencies(column: str, where: str = "true") -> str:
     return f"""select {column}, count(*) as n from ({LABELLED}) where {column} is not null and {where} group by {column}"""
 
@@ -360,6 +386,7 @@ from ({CHARTED}) where {PLAY} and posteam is not null""",
         "schedule_team_rows": GAMES,
         "schedule_team_rows_inverted": TEAM_ROWS.format(away="-"),
         "game_results": f"select *, {RESULT} as result, {SCORE.format(p='')} as final_score from ({GAMES})",
+        "season_results": GAMES,
         "standings_relabelled": STANDINGS,
         "season_standing": f"select * from ({STANDINGS}) where season = {SEASON}",
         "team_week_points": points("team_score"),
@@ -394,9 +421,9 @@ from ({CHARTED}) where {PLAY} and posteam is not null""",
         "pivot_personnel": pivot("offense_personnel"),
         "pivot_two_dims": pivot("offense_formation, offense_personnel", WEEKS),
         "pivot_charting_dim": pivot("season, is_no_huddle"),
-        "pivot_team": pivot("offense_personnel", WEEKS, f"posteam = '{TEAM}'", drop_team=True),
+        "pivot_team": pivot("offense_personnel", WEEKS, f"posteam = '{TEAM}'", drop_team=True, season=SEASON),
         "pivot_team_week": "select * exclude (week) from ("
-        + pivot("week, offense_personnel", (4, 4), f"posteam = '{TEAM}'", drop_team=True)
+        + pivot("week, offense_personnel", (4, 4), f"posteam = '{TEAM}'", drop_team=True, season=SEASON)
         + ")",
         "qb_season": f"select * replace ({r('mean_epa')} as mean_epa) from ({QB_SEASON})",
         "qb_ranks": QB_RANKS,
@@ -406,8 +433,8 @@ from ({CHARTED}) where {PLAY} and posteam is not null""",
         "missing_cells": f"""select cast(sum({" + ".join(f"cast({c} is null as integer)" for c in MODEL_CELLS)}) * count(*)
 as bigint) as num_missing from ({LABELLED})""",
         "class_counts": frequencies("mvp"),
-        "train_seasons": frequencies("season", f"season between {RULES.first_season} and {RULES.train_last_season}"),
-        "test_seasons": frequencies("season", f"season >= {RULES.test_first_season}"),
+        "train_seasons": frequencies("season", TRAIN),
+        "test_seasons": frequencies("season", TEST),
         "season_prob": f"""select season, team, player_display_name, player_id, mvp, {r("pred")} as pred, pred_mvp,
   {r("mvp_prob")} as mvp_prob from ({SCORED})""",
         "confusion": CONFUSION,
@@ -419,6 +446,9 @@ as bigint) as num_missing from ({LABELLED})""",
 from (select *, row_number() over (partition by season, outcome
     order by player_display_name nulls last, team nulls last, player_id nulls last) as place from ({MISSES}))
 group by season, place""",
+        "mvp_score_equations": "select unnest(['(Intercept)', 'tds_rank', 'yds_rank', 'win_rank', 'epa_rank', 'total_interceptions']) as term, 0.0e0 as score",
+        "mvp_null_fit": NULL_FIT,
+        "mvp_season_shares": SHARES,
         "mvp_race": f"select {RACE} from (select * from ({SCORED}) where season = {SEASON} order by {RACE_ORDER} limit 10)",
         "mvp_races": f"""select season, place, {RACE} from (select *, cast(row_number() over
   (partition by season order by {RACE_ORDER}) as integer) as place from ({SCORED})) where place <= 10""",

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 from functools import cached_property
 
@@ -10,11 +11,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
 from checks.views import Derived
+from snaplytics import schemas
 from snaplytics.operators import award_model as am
 from snaplytics.operators import games, pivot, plays, quarterbacks as qb, receivers, team_week as tw
 from snaplytics.plans.award import labelled_quarterbacks, run_award_model
-from snaplytics.session import cut_lineage
-from snaplytics.sources import season_standings
+from snaplytics.session import checkpoint_folder, cut_lineage
+from snaplytics.sources import conform, season_standings, write_results
 
 DIGITS = 6
 TEAM = "T03"
@@ -22,17 +24,17 @@ WEEKS = (5, 40)
 SEASON = 1998
 RULES = qb.AwardRules(
     first_season=1995,
-    left_out_seasons=(),
+    left_out_seasons=(1996,),
     min_attempts=80,
     franchise_moves={"OAK": "T03"},
     train_last_season=1999,
-    train_left_out=(),
+    train_left_out=(1998,),
     test_first_season=2000,
 )
 # A given model, so that everything after the fit can be checked in SQL.
 COEFFICIENTS = {
-    am.INTERCEPT: 1.0,
-    "tds_rank": -0.3,
+    am.INTERCEPT: 3.0,
+    "tds_rank": -2.0,
     "yds_rank": -0.05,
     "win_rank": -0.2,
     "epa_rank": -0.1,
@@ -40,6 +42,17 @@ COEFFICIENTS = {
 }
 
 
+SOURCES = {
+    "plays": (schemas.PLAYS, schemas.PLAY_KEY),
+    "charting": (schemas.CHARTING, schemas.CHARTING_KEY),
+    "schedules": (schemas.SCHEDULES,),
+    "player_stats": (schemas.PLAYER_STATS,),
+    "teams": (schemas.TEAM_LOGOS,),
+    "standings": (schemas.STANDINGS,),
+    "mvps": (schemas.AWARD_WINNERS,),
+}
+
+
 class Tables:
     """The derived tables of one folder and the intermediate tables of the jobs, all lazy."""
 
@@ -48,7 +61,8 @@ class Tables:
         self._derived = Derived(spark, folder)
 
     def view(self, name: str) -> DataFrame:
-        return self._derived.table(f"fx_{name}")
+        """A derived table with the checks and conversions that reading it from files would bring."""
+        return conform(self._derived.table(f"fx_{name}"), *SOURCES[name])
 
     @cached_property
     def plays(self) -> DataFrame:
@@ -101,7 +115,7 @@ class Tables:
 
     @cached_property
     def labelled(self) -> DataFrame:
-        return labelled_quarterbacks(self.player_stats, self.standings, self.view("mvps"), RULES)
+        return labelled_quarterbacks(self.player_stats, self.view("standings"), self.view("mvps"), RULES)
 
     @cached_property
     def scored(self) -> DataFrame:
@@ -139,6 +153,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "schedule_team_rows_inverted": lambda t: games.team_rows(t.view("schedules"), invert=["spread_line"]),
     "game_results": lambda t: games.with_result(t.games).withColumn("final_score", games.score_text()),
     "standings_relabelled": lambda t: t.standings,
+    "season_results": lambda t: _written(t.games),
     "season_standing": lambda t: season_standings(t.standings, SEASON),
     "team_week_points": lambda t: games.team_week_points(t.games, "team_score"),
     "team_week_points_allowed": lambda t: games.team_week_points(t.games, "opponent_score"),
@@ -173,8 +188,8 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "pivot_personnel": lambda t: pivot.pivot_summary(t.charted, "offense_personnel"),
     "pivot_two_dims": lambda t: pivot.pivot_summary(t.charted, "offense_formation, offense_personnel", WEEKS),
     "pivot_charting_dim": lambda t: pivot.pivot_summary(t.charted, "season, is_no_huddle"),
-    "pivot_team": lambda t: pivot.pivot_table(t.charted, TEAM, "offense_personnel", WEEKS),
-    "pivot_team_week": lambda t: pivot.personnel_table(t.charted, TEAM, 4),
+    "pivot_team": lambda t: pivot.pivot_table(t.charted, TEAM, "offense_personnel", WEEKS, SEASON),
+    "pivot_team_week": lambda t: pivot.personnel_table(t.charted, TEAM, 4, SEASON),
     # quarterbacks
     "qb_season": lambda t: t.qb_season,
     "qb_ranks": lambda t: t.qb_ranks,
@@ -197,12 +212,38 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "mvp_races": lambda t: am.mvp_races(t.scored),
     # award, fitted
     "mvp_model_scored": lambda t: _fitted(t, lambda run: run.train.unionByName(run.test)),
-    "mvp_coefficients": lambda t: _fitted(t, lambda run: am.coefficient_table(t.spark, run.model)),
+    "mvp_coefficients": lambda t: _fitted(t, lambda run: am.coefficient_table(t.spark, run.model, _limits(run))),
+    "mvp_score_equations": lambda t: _fitted(t, lambda run: am.score_equations(run.train, run.model)),
+    "mvp_null_fit": lambda t: _fitted(t, lambda run: am.fit_table(t.spark, run.model)).select(*NULL_FIT),
+    "mvp_season_shares": lambda t: _fitted(t, lambda run: _shares(run.train.unionByName(run.test))),
     "mvp_fit": lambda t: _fitted(t, lambda run: am.fit_table(t.spark, run.model)),
     "mvp_test_metrics": lambda t: _fitted(t, lambda run: am.binary_metrics(am.confusion(run.test))),
 }
 
 
+NULL_FIT = ("rows", "null_df", "residual_df", "null_deviance")
+
+
+def _limits(run) -> DataFrame:
+    return am.profile_intervals(run.train, run.model, tolerance=0.01)
+
+
+def _shares(scored: DataFrame) -> DataFrame:
+    """Per season the sum of the shares, and whether there is a favourite."""
+    return scored.groupBy("season").agg(
+        F.when(F.count("mvp_prob") == F.count(F.lit(1)), F.sum("mvp_prob")).alias("share"), (F.max("pred_mvp") == 1).alias("has_favourite")
+    )
+
+
+def _written(df: DataFrame) -> DataFrame:
+    """Written by season in three goes, one season twice, and read back."""
+    path = f"{checkpoint_folder(df.sparkSession)}/season_results-{uuid.uuid4().hex}"
+    early = F.col("season") < SEASON
+    for part in (df.filter(early), df.filter(F.col("season") == SEASON).limit(10), df.filter(~early)):
+        write_results(part, path)
+    return df.sparkSession.read.parquet(path)
+
+
 def _fitted(t: Tables, result: Callable) -> DataFrame:
     return result(run_award_model(t.labelled, RULES))
 

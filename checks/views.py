@@ -32,11 +32,11 @@ select concat(cast(season as string),'_',lpad(cast(week as string),2,'0'),'_',tm
   case when ((week-tk)%25+25)%25=tk then null else concat('T', lpad(cast(((week-tk)%25+25)%25 as string),2,'0')) end as defteam,
   pass, rush, case when q=13 then 'no_play' when pass=1 then 'pass' when rush=1 then 'run' else 'punt' end as play_type,
   case when q=7 then 1 else 0 end as two_point_attempt,
-  case when tx=8 then null else (dc-5)/8.0e0 end as epa,
+  case when tx=8 or (tx=7 and dc=2) then null else (dc-5)/8.0e0 end as epa,
   case when tx=8 or (dc=3 and tx=2 and q=3) then null when dc>5 then 1 else 0 end as success,
-  case when dc=10 then null else q-10 end as yards_gained,
-  case when pass=1 and dc<>10 then q-10 end as passing_yards,
-  case when rush=1 and dc<>10 then q-10 end as rushing_yards,
+  cast(case when dc=10 then null else q-10 end as double) as yards_gained,
+  cast(case when pass=1 and dc<>10 then q-10 end as double) as passing_yards,
+  cast(case when rush=1 and dc<>10 then q-10 end as double) as rushing_yards,
   case when dc=10 then null when pass=1 and q=50 then 1 else 0 end as interception,
   case when q=49 then 1 else 0 end as fumble_lost,
   case when pass=1 and q%3<>0 then 1 else 0 end as complete_pass,
@@ -64,34 +64,37 @@ from (select season, week, n_nationkey as i, ((week-n_nationkey)%25+25)%25 as j
 select season, week, case when week<=40 then 'REG' else 'POST' end as season_type, pid as player_id, concat('N.',pid) as player_name,
   concat('Name ',pid) as player_display_name, case l_suppkey%4 when 0 then 'QB' when 1 then 'WR' when 2 then 'TE' else 'RB' end as position,
   concat('http://img/',pid) as headshot_url, tm as recent_team,
-  cast(sum(case when pass=1 and q%3<>0 then q%5 else 0 end) as bigint) as completions, cast(sum(case when pass=1 then q%5 else 0 end) as bigint) as attempts,
-  cast(sum(case when pass=1 then q end) as bigint) as passing_yards, cast(sum(case when rush=1 then q-5 end) as bigint) as rushing_yards,
-  cast(sum(case when pass=1 and q>=45 then 1 else 0 end) as bigint) as passing_tds, cast(sum(case when rush=1 and q>=48 then 1 else 0 end) as bigint) as rushing_tds,
-  cast(sum(case when pass=1 and q=50 then 1 else 0 end) as bigint) as interceptions,
+  cast(sum(case when pass=1 and q%3<>0 then q%5 else 0 end) as int) as completions, cast(sum(case when pass=1 then q%5 else 0 end) as int) as attempts,
+  cast(sum(case when pass=1 then q end) as int) as passing_yards, cast(sum(case when rush=1 then q-5 end) as int) as rushing_yards,
+  cast(sum(case when pass=1 and q>=45 then 1 else 0 end) as int) as passing_tds, cast(sum(case when rush=1 and q>=48 then 1 else 0 end) as int) as rushing_tds,
+  cast(sum(case when pass=1 and q=50 then 1 else 0 end) as int) as interceptions,
   sum(case when pass=1 then (dc-5)/8.0e0 end) as passing_epa,
-  cast(sum(case when pass=1 and l_linenumber<=6 then 1 else 0 end) as bigint) as targets,
-  cast(sum(case when pass=1 and l_linenumber<=6 and q%3<>0 then 1 else 0 end) as bigint) as receptions,
+  cast(sum(case when pass=1 and l_linenumber<=6 then 1 else 0 end) as int) as targets,
+  cast(sum(case when pass=1 and l_linenumber<=6 and q%3<>0 then 1 else 0 end) as int) as receptions,
   sum(case when pass=1 and l_linenumber<=6 and tx<>8 then (dc-5)/8.0e0 end) as receiving_epa
-from fx_base group by season, week, pid, l_suppkey, tm
+from fx_base where not (l_suppkey%13=6 and week%4=1) group by season, week, pid, l_suppkey, tm
 """,
     "fx_teams": """
 select concat('T', lpad(cast(n_nationkey as string),2,'0')) as team_abbr, concat('http://logo/',n_name) as team_logo_espn, concat('http://wm/',n_name) as team_wordmark from nation where n_nationkey<>24
 """,
     "fx_standings": """
 select season, case when season<=1997 and team='T03' then 'OAK' else team end as team,
-  cast(sum(case when a>b then 1 else 0 end) as bigint) as wins, cast(sum(case when a<b then 1 else 0 end) as bigint) as losses, cast(sum(case when a=b then 1 else 0 end) as bigint) as ties
-from (select season, home_team as team, home_score as a, away_score as b from fx_schedules union all select season, away_team, away_score, home_score from fx_schedules) t group by season, team
+  cast(sum(case when a>b then 1 else 0 end) as int) as wins, cast(sum(case when a<b then 1 else 0 end) as int) as losses, cast(sum(case when a=b then 1 else 0 end) as int) as ties
+from (select season, home_team as team, home_score as a, away_score as b from fx_schedules union all select season, away_team, away_score, home_score from fx_schedules) t where not (season=2001 and team in ('T09','T15')) group by season, team
 """,
     "fx_mvps": """
 select season as Year, player_display_name as Player, position as Pos from (
  select season, player_display_name, position, row_number() over (partition by season order by sum(passing_tds+rushing_tds) desc, player_display_name) as rn
- from fx_player_stats where position='QB' and season_type='REG' group by season, player_display_name, position) t where rn<=3 and rn=1+season%3
+ from fx_player_stats where position='QB' and season_type='REG' group by season, player_display_name, position) t where rn<=10 and rn=1+(season*3)%10
 """,
 }
 
+# Reading turns NaN into NULL, so Spark gets NaN where the check engine has NULL from the start.
+NAN_EPA = "case when tx=8 then null when tx=7 and dc=2 then cast('NaN' as double) else (dc-5)/8.0e0 end as epa,"
 # The check engine pairs every week with every team by a product with the 25 nations. Spark
 # gets the same rows by unfolding the range of nation keys on each week instead.
 SPARK_ONLY = {
+    "fx_plays": VIEWS["fx_plays"].replace("case when tx=8 or (tx=7 and dc=2) then null else (dc-5)/8.0e0 end as epa,", NAN_EPA),
     "fx_schedules": """
 select w.season, w.week, concat('T', lpad(cast(i as string),2,'0')) as home_team, concat('T', lpad(cast(j as string),2,'0')) as away_team,
   case when w.week>=52 then null else (i*7+w.week*3+w.season)%45 end as home_score,

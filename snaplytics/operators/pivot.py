@@ -14,9 +14,9 @@ from snaplytics.operators.team_week import play_totals
 
 # Measures in display order.
 MEASURES = (
-    "tot_plays tot_yds epa_per_play sr passes passing_yds dropback_epa dropback_sr dropback_explosive "
-    "rushes rushing_yds rush_epa rush_sr rush_explosive"
-).split()
+    "tot_plays", "tot_yds", "epa_per_play", "sr", "passes", "passing_yds", "dropback_epa", "dropback_sr",
+    "dropback_explosive", "rushes", "rushing_yds", "rush_epa", "rush_sr", "rush_explosive",
+)
 
 
 def pivot_summary(plays: DataFrame, dims: str | Iterable[str], weeks: tuple[int, int] | None = None) -> DataFrame:
@@ -55,17 +55,25 @@ def pivot_summary(plays: DataFrame, dims: str | Iterable[str], weeks: tuple[int,
     )
 
 
+def in_season(plays: DataFrame, season: int | None) -> DataFrame:
+    return plays if season is None else plays.filter(F.col("season") == season)
+
+
 def pivot_table(
-    plays: DataFrame, team: str, dims: str | Iterable[str], weeks: tuple[int, int] | None = None
+    plays: DataFrame,
+    team: str,
+    dims: str | Iterable[str],
+    weeks: tuple[int, int] | None = None,
+    season: int | None = None,
 ) -> DataFrame:
-    """One team's pivot, most plays first."""
+    """One team's pivot, most plays first; over all seasons that are loaded unless one is named."""
     dims = dimension_list(plays, dims)
-    rows = pivot_summary(plays, dims, weeks).filter(F.col("posteam") == team)
+    rows = pivot_summary(in_season(plays, season), dims, weeks).filter(F.col("posteam") == team)
     order = [F.col("tot_plays").desc_nulls_last(), *[F.col(d).asc_nulls_last() for d in dims]]
     return rows.select(*dims, *MEASURES).orderBy(*order)
 
 
-def personnel_table(plays: DataFrame, team: str, week: int) -> DataFrame:
-    """One team's week by personnel group."""
-    rows = pivot_summary(plays, ["week", "offense_personnel"], (week, week)).filter(F.col("posteam") == team)
+def personnel_table(plays: DataFrame, team: str, week: int, season: int | None = None) -> DataFrame:
+    """One team's week by personnel group; that week of all seasons that are loaded unless one is named."""
+    rows = pivot_summary(in_season(plays, season), ["week", "offense_personnel"], (week, week)).filter(F.col("posteam") == team)
     return rows.select("offense_personnel", *MEASURES)

@@ -82,9 +82,9 @@ def receiver_qc(charted: DataFrame, player_stats: DataFrame) -> DataFrame:
 
 # Leading columns of the receiver table.
 FIRST = (
-    "receiver_player_id player_display_name position headshot_url season posteam week targets_pbp targets "
-    "targets_diff receptions_pbp receptions receptions_diff drops"
-).split()
+    "receiver_player_id", "player_display_name", "position", "headshot_url", "season", "posteam", "week",
+    "targets_pbp", "targets", "targets_diff", "receptions_pbp", "receptions", "receptions_diff", "drops",
+)
 
 
 def receiver_game(charted: DataFrame, player_stats: DataFrame, positions=RECEIVER_POSITIONS) -> DataFrame:

@@ -169,11 +169,12 @@ def week_report(pairs: DataFrame, games: DataFrame, logos: DataFrame, side: str)
 
 # Columns of one team's weekly table, in display order.
 WEEK_TABLE = (
-    "week opp_logo result final_score spread_line team_rest opponent_rest passes passing_yds interceptions "
-    "dropback_epa dropback_epa_rank dropback_sr dropback_sr_rank dropback_explosive dropback_explosive_rank "
-    "rushes rushing_yds lost_fumbles rush_epa rush_epa_rank rush_sr rush_explosive rush_explosive_rank "
-    "rush_sr_rank tot_plays tot_yds tot_tos epa_per_play epa_per_play_rank sr sr_rank"
-).split()
+    "week", "opp_logo", "result", "final_score", "spread_line", "team_rest", "opponent_rest", "passes",
+    "passing_yds", "interceptions", "dropback_epa", "dropback_epa_rank", "dropback_sr", "dropback_sr_rank",
+    "dropback_explosive", "dropback_explosive_rank", "rushes", "rushing_yds", "lost_fumbles", "rush_epa",
+    "rush_epa_rank", "rush_sr", "rush_explosive", "rush_explosive_rank", "rush_sr_rank", "tot_plays", "tot_yds",
+    "tot_tos", "epa_per_play", "epa_per_play_rank", "sr", "sr_rank",
+)
 
 
 def week_table(report: DataFrame, team: str, weeks: tuple[int, int] | None = None, season: int | None = None) -> DataFrame:

@@ -1,4 +1,5 @@
 from snaplytics.sources.readers import (  # noqa: F401
+    conform,
     read_award_winners,
     read_charting,
     read_player_stats,

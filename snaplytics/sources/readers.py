@@ -28,8 +28,9 @@ def season_filter(seasons: Seasons, column: str = "season") -> Column:
 def conform(df: DataFrame, schema: StructType, keys: Iterable[str] = ()) -> DataFrame:
     """Check that all columns of ``schema`` are there and give them their types.
 
-    Columns that already have the right type are left alone, so that filters on them
-    still reach the files. Further columns pass through.
+    Whole numbers, flags and texts that already have the right type are left alone, so that
+    filters on them still reach the files; those on doubles do not, as NaN becomes NULL (see ``valid_only`` of
+    ``read_plays``). Further columns pass through.
     """
     require(df, [*schema.fieldNames(), *keys])
     have = {f.name: f.dataType for f in df.schema.fields}
@@ -40,15 +41,17 @@ def conform(df: DataFrame, schema: StructType, keys: Iterable[str] = ()) -> Data
     return nan_to_null(df).withColumns(casts) if casts else nan_to_null(df)
 
 
-def _parquet(
-    spark: SparkSession,
-    path: str,
+def _parquet(spark: SparkSession, path: str, schema: StructType, *args, **named) -> DataFrame:
+    return _conformed(spark.read.parquet(path), schema, *args, **named)
+
+
+def _conformed(
+    df: DataFrame,
     schema: StructType,
     seasons: Seasons = None,
     season_column: str = "season",
     keys: Iterable[str] = (),
 ) -> DataFrame:
-    df = spark.read.parquet(path)
     if seasons is not None:
         require(df, [season_column])
         df = df.filter(season_filter(seasons, season_column))
@@ -63,8 +66,17 @@ def _csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_plays(spark: SparkSession, path: str, seasons: Seasons = None) -> DataFrame:
-    return _parquet(spark, path, schemas.PLAYS, seasons, keys=schemas.PLAY_KEY)
+def read_plays(spark: SparkSession, path: str, seasons: Seasons = None, valid_only: bool = False) -> DataFrame:
+    """Plays as stored, or only those that can count in a report (see ``plays.is_play``).
+
+    ``valid_only`` filters the stored columns before they are converted, so that the files
+    can skip rows by it, whatever numeric type they hold.
+    """
+    raw = spark.read.parquet(path)
+    if valid_only:
+        require(raw, ["epa", "pass", "rush"])
+        raw = raw.filter(F.col("epa").isNotNull() & ((F.col("pass") == 1) | (F.col("rush") == 1)))
+    return _conformed(raw, schemas.PLAYS, seasons, keys=schemas.PLAY_KEY)
 
 
 def read_charting(
@@ -93,11 +105,12 @@ def read_standings(spark: SparkSession, path: str) -> DataFrame:
     return _csv(spark, path, schemas.STANDINGS)
 
 
-def read_award_winners(spark: SparkSession, path: str) -> DataFrame:
-    """Winners as ``Year, Player, Pos`` from CSV or, when the path says so, parquet."""
-    if path.rstrip("/").endswith(".parquet"):
-        return _parquet(spark, path, schemas.AWARD_WINNERS)
-    return _csv(spark, path, schemas.AWARD_WINNERS)
+def read_award_winners(spark: SparkSession, path: str, file_format: str = "csv") -> DataFrame:
+    """Winners as ``Year, Player, Pos`` from CSV or parquet."""
+    readers = {"csv": _csv, "parquet": _parquet}
+    if file_format not in readers:
+        raise ValueError(f"format {file_format!r}: one of {', '.join(readers)} is wanted")
+    return readers[file_format](spark, path, schemas.AWARD_WINNERS)
 
 
 def season_standings(standings: DataFrame, season: int) -> DataFrame:

@@ -8,8 +8,12 @@ from pyspark.sql import DataFrame
 
 
 def write_results(df: DataFrame, path: str, partition_by: Sequence[str] = ("season",), mode: str = "overwrite") -> None:
-    """Parquet by season. The rebalance hint gives even files and splits a large season."""
-    df.hint("rebalance", *partition_by).write.mode(mode).partitionBy(*partition_by).parquet(path)
+    """Parquet by season. Overwriting replaces the seasons in ``df`` and leaves all others as they are.
+
+    The rebalance hint gives even files and splits a large season.
+    """
+    writer = df.hint("rebalance", *partition_by).write.mode(mode).option("partitionOverwriteMode", "dynamic")
+    writer.partitionBy(*partition_by).parquet(path)
 
 
 def write_bucketed(

@@ -17,6 +17,15 @@ def engine():
     return connect(FOLDER)
 
 
+def test_constants_restated_in_the_sql_are_those_of_the_jobs():
+    from checks import oracle
+    from snaplytics.operators import award_model, pivot, team_week
+
+    assert (oracle.EPSILON, oracle.LOGIT_LIMIT, oracle.INTERCEPT) == (award_model.EPSILON, award_model.LOGIT_LIMIT, award_model.INTERCEPT)
+    assert list(oracle.WEEK_TABLE) == list(team_week.WEEK_TABLE) and list(oracle.RACE_COLUMNS) == list(award_model.RACE_COLUMNS)
+    assert list(oracle.MEASURES) == list(pivot.MEASURES) and list(oracle.WEEK_RATES) == list(team_week.WEEK_RATES)
+
+
 def test_every_sql_text_belongs_to_a_query():
     assert set(oracle_sql()) <= set(queries())
 
@@ -24,7 +33,11 @@ def test_every_sql_text_belongs_to_a_query():
 NOT_WANTED = ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas", "CartesianProduct", "BroadcastNestedLoopJoin")
 
 
-@pytest.mark.parametrize("name", sorted(oracle_sql()))
+# In the smallest tables the classes separate: there is no largest likelihood whose equations could hold.
+NO_FIT = {"mvp_score_equations"}
+
+
+@pytest.mark.parametrize("name", sorted(set(oracle_sql()) - NO_FIT))
 def test_query_equals_sql(spark, engine, name):
     df = queries()[name](spark, FOLDER)
     assert difference(df, engine, oracle_sql()[name]) is None

@@ -56,3 +56,11 @@ def test_team_filter_moves_below_the_aggregate(spark, plays, tmp_path):
     plays.write.parquet(str(tmp_path / "plays"))
     text = plan(pivot.pivot_table(spark.read.parquet(str(tmp_path / "plays")), "A", "week", (1, 2)))
     assert "EqualTo(posteam,A)" in text and "LessThanOrEqual(week,2)" in text and "IsNotNull(epa)" in text
+
+
+def test_a_season_is_kept_apart_from_the_others(spark):
+    df = plays_table(spark, [play(1), play(2, season=2022, epa=4.0), run(3, season=2022)])
+    assert rows(pivot.pivot_table(df, "A", "week", season=2022), "tot_plays") == [(2,)]
+    assert rows(pivot.pivot_table(df, "A", "week"), "tot_plays") == [(3,)]
+    assert rows(pivot.personnel_table(df, "A", 1, 2023), "offense_personnel", "tot_plays") == [("11", 1)]
+    assert rows(pivot.personnel_table(df, "A", 1), "tot_plays") == [(3,)]

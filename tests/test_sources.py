@@ -74,7 +74,7 @@ def test_award_winners_from_text_and_parquet(spark, tmp_path):
     df = sources.read_award_winners(spark, str(path))
     assert rows(df, "Year", "Player", "Pos") == [(2003, "Ann", "QB")]
     df.write.parquet(str(tmp_path / "mvp.parquet"))
-    assert rows(sources.read_award_winners(spark, str(tmp_path / "mvp.parquet")), "Player") == [("Ann",)]
+    assert rows(sources.read_award_winners(spark, str(tmp_path / "mvp.parquet"), "parquet"), "Player") == [("Ann",)]
 
 
 def test_small_dimensions_and_schedules(spark, tmp_path):
@@ -93,3 +93,24 @@ def test_small_dimensions_and_schedules(spark, tmp_path):
 
 def test_results_are_written_by_season(spark, play_files):
     assert rows(spark.read.parquet(play_files).groupBy("season").count()) == [(2021, 12), (2022, 12), (2023, 12)]
+
+
+def test_writing_a_season_again_keeps_the_others(spark, tmp_path):
+    path = str(tmp_path / "results")
+    for season, teams in ((2022, 2), (2023, 3), (2022, 1)):
+        sources.write_results(spark.range(teams).withColumn("season", F.lit(season)), path)
+    assert rows(spark.read.parquet(path).groupBy("season").count()) == [(2022, 1), (2023, 3)]
+
+
+@pytest.mark.parametrize("flag", ["int", "double"])
+def test_validity_reaches_the_files_whatever_type_the_flags_have(spark, tmp_path, flag):
+    from snaplytics.operators.plays import valid_plays
+
+    path = str(tmp_path / "plays")
+    raw = twelve_plays(spark)
+    raw.withColumns({c: F.col(c).cast(flag) for c in ("pass", "rush")}).write.parquet(path)
+    read = sources.read_plays(spark, path, valid_only=True)
+    pushed = plan(read).split("PushedFilters: ")[1].split("\n")[0]
+    assert "IsNotNull(epa)" in pushed and "EqualTo(pass,1" in pushed and "EqualTo(rush,1" in pushed
+    everything = valid_plays(sources.read_plays(spark, path))
+    assert rows(valid_plays(read)) == rows(everything) and read.filter("isnan(epa)").count() == 0
