@@ -57,11 +57,24 @@ class Tables:
     """The derived tables of one folder and the intermediate tables of the jobs, all lazy."""
 
     def __init__(self, spark: SparkSession, folder: str):
-        self.spark = spark
+        self.spark, self.folder = spark, folder
         self._derived = Derived(spark, folder)
+        self._stored: dict[str, str] = {}
+
+    def replace(self, name: str, path: str) -> None:
+        """From now on read the derived table ``name`` from a stored copy."""
+        self._stored[name] = path
+
+    def fresh(self) -> Tables:
+        """The same sources, and nothing built from them yet."""
+        again = Tables(self.spark, self.folder)
+        again._stored = dict(self._stored)
+        return again
 
     def view(self, name: str) -> DataFrame:
         """A derived table with the checks and conversions that reading it from files would bring."""
+        if name in self._stored:
+            return self.spark.read.parquet(self._stored[name])
         return conform(self._derived.table(f"fx_{name}"), *SOURCES[name])
 
     @cached_property
