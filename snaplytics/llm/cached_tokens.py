@@ -10,16 +10,32 @@ The result equals encoding the whole text; texts where that isn't certain are en
 from __future__ import annotations
 
 import re
-from collections.abc import Callable, Sequence
-
-import numpy as np
+from array import array
+from collections.abc import Callable, Collection, Sequence
 
 MAX_PIECES = 600_000  # pieces held by a worker; further ones are encoded each time
+MAX_PARTS = 100_000  # parts of pieces held besides
 MAX_PIECE = 64  # longer pieces are not held
 ODD_SPACE = re.compile("[\x1c-\x1f\x85\xa0\u1680\u180e\u2000-\u200f\u2028\u2029\u202f\u205f\u3000\ufeff]")
 # Beside a line break or another blank, a blank is cut otherwise.
 ODD_BLANK = re.compile(r"[\t\r\x0b\x0c]|[ \n][ \n]|^[ \n]|[ \n]$")
 
+# A piece of letters with at most one stop behind it (and a blank or line break before it) is cut by both
+# vocabularies into just these parts, so they can go to the merges directly, without a pass over the whole text.
+SIMPLE = re.compile("(\n?)( ?[A-Za-z\xc0-\xd6\xd8-\xf6\xf8-\xff]+)([.,]?)")
+
+
+def byte_letters() -> dict[int, str]:
+    """The letter that stands for each byte in byte-level vocabularies: itself where it is printable in Latin-1, else one from 256 on."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    hidden = [b for b in range(256) if b not in set(shown)]
+    return {b: chr(b) for b in shown} | {b: chr(256 + i) for i, b in enumerate(hidden)}
+
+
+BYTE_LETTERS = byte_letters()
+ASCII_LETTERS = {b: letter for b, letter in BYTE_LETTERS.items() if letter != chr(b) and b < 128}
+FIRST, WHOLE = "\r", "\t"  # neither occurs in a text that is cut at blanks
+
 _workers: dict[str, "CachedTokenizer"] = {}
 
 
@@ -30,23 +46,56 @@ class CachedTokenizer:
         self.tokenizer = Tokenizer.from_file(path)
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.ids: dict[str, bytes] = {}
+        self.parts: dict[str, bytes] = {}
         pre = self.tokenizer.pre_tokenizer.__getstate__().decode()
         self.drops_space = '"Split"' in pre
         if not self.drops_space and '"use_regex":true' not in pre:
             raise ValueError(f"{path}: no way known to cut texts for this tokenizer")
 
     def _pieces(self, text: str) -> list[str]:
+        """Keys of the pieces of a text. Where white space counts, a key is what stands behind its blank; one that
+        has none begins with FIRST, a line break, or WHOLE for a text that is not cut."""
         if self.drops_space:
             return text.split() if not ODD_SPACE.search(text) else [text]
         if ODD_SPACE.search(text) or ODD_BLANK.search(text):
-            return [text]
-        # A piece starts with its blank or line break; the first one has neither.
-        first, *rest = text.replace("\n", " \n").split(" ")
-        return [first, *[p if p[0] == "\n" else " " + p for p in rest]]
-
-    def _encode(self, pieces: Sequence[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch_fast(list(pieces), add_special_tokens=False)
-        return [np.array(e.ids, np.uint16).tobytes() for e in found]
+            return [WHOLE + text]
+        return (FIRST + text.replace("\n", " \n")).split(" ")
+
+    def _text(self, key: str) -> str:
+        if self.drops_space or key[0] == "\n":
+            return key
+        return key[1:] if key[0] in (FIRST, WHOLE) else " " + key
+
+    def _merged(self, part: str) -> bytes:
+        """Ids of a part that the vocabulary never cuts before merging."""
+        ids = self.parts.get(part)
+        if ids is None:
+            if part.isascii():  # letters stand for themselves
+                letters = part.translate(ASCII_LETTERS) if part[0] in " \n" else part
+            else:
+                letters = part.encode().decode("latin-1").translate(BYTE_LETTERS)
+            ids = array("H", [t.id for t in self.tokenizer.model.tokenize(letters)]).tobytes()
+            if len(self.parts) < MAX_PARTS:
+                self.parts[part] = ids
+        return ids
+
+    def _encode(self, keys: Collection[str]) -> dict[str, bytes]:
+        out, rest = {}, []
+        for key in keys:
+            simple = SIMPLE.fullmatch(self._text(key))
+            if simple is None:
+                rest.append(key)
+                continue
+            before, word, stop = simple.groups()
+            if self.drops_space:
+                before, word = "", word.lower()
+            ids = self._merged(word)
+            if before or stop:
+                ids = (self._merged(before) if before else b"") + ids + (self._merged(stop) if stop else b"")
+            out[key] = ids
+        found = self.tokenizer.encode_batch_fast([self._text(k) for k in rest], add_special_tokens=False)
+        out.update((key, array("H", e.ids).tobytes()) for key, e in zip(rest, found))
+        return out
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Per text its ids as little-endian 16-bit numbers (both vocabularies have fewer than 65,536)."""
@@ -55,7 +104,7 @@ class CachedTokenizer:
         parts = [list(map(get, pieces)) for pieces in cut]
         missing = {p for pieces, own in zip(cut, parts) if None in own for p, x in zip(pieces, own) if x is None}
         if missing:
-            new = dict(zip(missing, self._encode(list(missing))))
+            new = self._encode(missing)
             for pieces, own in zip(cut, parts):
                 if None in own:
                     own[:] = [new[p] if x is None else x for p, x in zip(pieces, own)]
