@@ -7,7 +7,7 @@ suffixes that begin at an anchor need meet, about one in sixty bytes.
 
 1. Each task finds the anchors of its texts and a hash of every anchor's surroundings, which are
    all bytes that a passage over the anchor can hold. Surroundings that occur twice are
-   covered whole; of those in one task, only one goes on.
+   covered whole; of those in some thousand texts, only one goes on.
 2. Anchors meet by hash. Equal surroundings are covered; of the distinct ones that share an
    anchor, the bytes are fetched, as they may agree in part.
 3. Groups of one anchor are sorted: the suffixes by multikey quicksort to a shallow depth and
@@ -16,7 +16,7 @@ suffixes that begin at an anchor need meet, about one in sixty bytes.
    each place, the longest agreement to both sides of at least LENGTH bytes.
 4. Groups too large for one task are not sorted but cut into their passages, which meet by hash.
 
-Copies and boilerplate thus cost one representative per task, not pairs, and no text is
+Copies and boilerplate thus cost one representative per some thousand texts, not pairs, and no text is
 compared with all others.
 """
 
@@ -41,7 +41,8 @@ KGRAM = 32
 REACH = LENGTH - KGRAM  # bytes before an anchor that a passage over it can hold
 SHALLOW = 16  # bytes that quicksort looks at before tries take over
 LARGE_GROUP = 20_000  # distinct surroundings of one anchor sorted in one task
-CHUNK = 500_000
+CHUNK = 300_000  # rows compared at once
+TEXTS_AT_ONCE = 2_048  # texts whose anchors meet before the shuffle
 
 
 # Anchors -----------------------------------------------------------------------------------------
@@ -271,32 +272,37 @@ def _anchored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     For an anchor, ``a`` holds its place, and how many bytes before and after it count, in the two low bytes."""
     ref = TaskContext.get().partitionId() << 33
     for batch in batches:
-        ids, texts = batch.column(0), batch.column(1).to_pylist()
-        found = []
-        for i, text in enumerate(texts):
-            places, hashes = anchors(np.frombuffer(text, np.uint8))
-            if len(places):
-                start = np.maximum(places - REACH, 0)
-                stop = np.minimum(places + LENGTH, len(text))
-                around = zip((places - start).tolist(), start.tolist(), stop.tolist())
-                own = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e], at) for at, s, e in around), np.uint64, len(places))
-                found.append((np.full(len(places), ref + i), places, start, stop, hashes, own))
-        refs = np.arange(ref, ref + len(texts))
-        yield _rows(DOCUMENT, refs, doc_id=ids, text_key=[hashlib.md5(t).digest() for t in texts])
-        ref += len(texts)
-        if not found:
-            continue
-        refs, places, start, stop, h, c = (np.concatenate(x) for x in zip(*found))
-        order = np.lexsort((c, h))
-        h, c = h[order], c[order]
-        new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
-        at = np.flatnonzero(new)
-        counts = np.diff(np.append(at, len(h)))
-        repeated = order[np.repeat(counts > 1, counts)]
-        yield _rows(COVERED, *_merged(refs[repeated], start[repeated], stop[repeated]))
-        one = order[at]
-        packed = places[one] << 16 | (places[one] - start[one]) << 8 | stop[one] - places[one]
-        yield _rows(ANCHOR, refs[one], packed, None, h[at].view(np.int64), c[at].view(np.int64), counts > 1)
+        for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
+            part = batch.slice(at, TEXTS_AT_ONCE)
+            yield from _anchored_texts(ref, part.column(0), part.column(1).to_pylist())
+            ref += part.num_rows
+
+
+def _anchored_texts(ref: int, ids: pa.Array, texts: list[bytes]) -> Iterator[pa.RecordBatch]:
+    refs = np.arange(ref, ref + len(texts))
+    yield _rows(DOCUMENT, refs, doc_id=ids, text_key=[hashlib.md5(t).digest() for t in texts])
+    found = []
+    for own_ref, text in zip(refs, texts):
+        places, hashes = anchors(np.frombuffer(text, np.uint8))
+        if len(places):
+            start = np.maximum(places - REACH, 0)
+            stop = np.minimum(places + LENGTH, len(text))
+            around = zip((places - start).tolist(), start.tolist(), stop.tolist())
+            own = np.fromiter((xxhash.xxh3_64_intdigest(text[s:e], at) for at, s, e in around), np.uint64, len(places))
+            found.append((np.full(len(places), own_ref), places, start, stop, hashes, own))
+    if not found:
+        return
+    refs, places, start, stop, h, c = (np.concatenate(x) for x in zip(*found))
+    order = np.lexsort((c, h))
+    h, c = h[order], c[order]
+    new = np.concatenate([[True], (h[1:] != h[:-1]) | (c[1:] != c[:-1])])
+    at = np.flatnonzero(new)
+    counts = np.diff(np.append(at, len(h)))
+    repeated = order[np.repeat(counts > 1, counts)]
+    yield _rows(COVERED, *_merged(refs[repeated], start[repeated], stop[repeated]))
+    one = order[at]
+    packed = places[one] << 16 | (places[one] - start[one]) << 8 | stop[one] - places[one]
+    yield _rows(ANCHOR, refs[one], packed, None, h[at].view(np.int64), c[at].view(np.int64), counts > 1)
 
 
 def _unpacked(packed: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
