@@ -82,7 +82,7 @@ def test_quality_check_keeps_unmatched_receivers_and_only_the_same_season(charte
 
 def test_receiver_game_keeps_receiving_positions(charted, stats):
     out = rc.receiver_game(charted, stats)
-    assert out.columns[:14] == rc.FIRST
+    assert out.columns[:14] == list(rc.FIRST)
     assert "receiver_player_name" not in out.columns and "player_name" not in out.columns
     assert rows(out, "receiver_player_id", "week") == [("r1", 1), ("r1", 2), ("r2", 1)]
 

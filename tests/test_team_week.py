@@ -77,7 +77,7 @@ def test_week_report_and_table(pairs, games, logos):
         (2, "A", None, "NA-NA", None, "word/A", 7),
     ]
     table = tw.week_table(report, "A", (1, 1), 2023)
-    assert table.columns == tw.WEEK_TABLE
+    assert table.columns == list(tw.WEEK_TABLE)
     first = table.first()
     assert first["epa_per_play_rank"] == 1 and first["rush_epa_rank"] == 1 and first["dropback_epa_rank"] == 1
 
