@@ -331,9 +331,34 @@ MET = "kind int, ref long, a long, b long, h long, c long, large boolean"
 NEEDED = 3
 
 
-def _met(batches: Iterator[pa.RecordBatch], large_group: int) -> Iterator[pa.RecordBatch]:
-    """Step 2 over rows sorted by (h, c): what is covered, and the surroundings whose bytes are needed."""
-    for table in _runs(batches, CHUNK):
+def _bounded_runs(batches: Iterator[pa.RecordBatch], rows: int) -> Iterator[tuple[pa.Table, int | None]]:
+    """As ``_runs``, but an anchor of more rows is cut between two surroundings; with each table the
+    anchor, if any, of which it holds a part only."""
+    held, n, part_of = [], 0, None
+    for batch in batches:
+        held.append(batch)
+        n += batch.num_rows
+        while n >= rows:
+            whole = pa.Table.from_batches(held).combine_chunks()
+            h, c = whole.column(0).to_numpy(), whole.column(1).to_numpy()
+            cut = int(np.searchsorted(h, h[-1]))
+            known = part_of
+            if not cut:  # one anchor fills it
+                known = part_of = int(h[0])
+                cut = int(np.searchsorted(c, c[-1])) or len(c)
+                if cut == len(c):
+                    break  # equal surroundings stay together: there is one row for some thousand texts at most
+            yield whole.slice(0, cut), known
+            held, n = whole.slice(cut).to_batches(), whole.num_rows - cut
+    if n:
+        yield pa.Table.from_batches(held).combine_chunks(), part_of
+
+
+def _met(batches: Iterator[pa.RecordBatch], large_group: int, rows: int = CHUNK) -> Iterator[pa.RecordBatch]:
+    """Step 2 over rows sorted by (h, c): what is covered, and the surroundings whose bytes are needed.
+
+    An anchor of more than ``rows`` rows is large; it is taken in parts, so memory is bounded."""
+    for table, part_of in _bounded_runs(batches, rows):
         h, c, ref, packed = (table.column(i).to_numpy() for i in range(4))
         many = table.column(4).to_numpy()
         new_h = np.concatenate([[True], h[1:] != h[:-1]])
@@ -351,6 +376,8 @@ def _met(batches: Iterator[pa.RecordBatch], large_group: int) -> Iterator[pa.Rec
         heads = np.flatnonzero(new_h[at])
         distinct = np.diff(np.append(heads, len(at)))
         size = np.repeat(distinct, distinct)
+        if part_of is not None:
+            size[h[at] == part_of] = large_group + 2  # more of it lies in other parts
         need = at[size > 1]
         n = len(need)
         kind = pa.array(np.full(n, NEEDED, np.int32))

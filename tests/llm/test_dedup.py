@@ -6,6 +6,7 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from hypothesis import given, settings, strategies as st
@@ -232,6 +233,27 @@ def test_removed_passages_equal_brute_force(spark, large_group):
     assert [tuple(r)[1:] for r in found] == brute_passages([t.encode() for t in texts])
 
 
+def test_an_anchor_in_very_many_texts_is_taken_in_parts():
+    rng = np.random.default_rng(2)
+    h = np.sort(np.concatenate([np.full(900, 5), rng.integers(0, 50, 300)]))
+    c = np.concatenate([np.sort(rng.integers(0, 200, (h == v).sum())) for v in np.unique(h)])
+    names = ("h", "c", "ref", "a", "many")
+    arrays = [h, c, np.arange(len(h)), np.full(len(h), 1000 << 16 | 168 << 8 | 200), np.zeros(len(h), bool)]
+    whole = pa.RecordBatch.from_arrays([pa.array(x) for x in arrays], names)
+    batches = [whole.slice(i, 70) for i in range(0, len(h), 70)]
+
+    def result(rows):
+        table = pa.Table.from_batches(sd._met(iter(batches), 10_000, rows))
+        covered = {r["ref"] for r in table.to_pylist() if r["kind"] == sd.COVERED}
+        needs = {(r["h"], r["c"]): r["large"] for r in table.to_pylist() if r["kind"] == sd.NEEDED}
+        return covered, needs
+
+    covered, needs = result(10**6)
+    some, parts = result(100)
+    assert some == covered and parts.keys() == needs.keys()
+    assert not any(needs.values()) and all(large == (key[0] == 5) for key, large in parts.items())
+
+
 def test_passages_of_edge_documents(spark):
     docs = edge_documents(spark)
     rows = [(i, t) for i, t in collected(docs) if i != 10]
