@@ -1,4 +1,5 @@
 import os
+import shutil
 import sys
 
 import pytest
@@ -16,3 +17,4 @@ def spark(tmp_path_factory):
     )
     yield session
     session.stop()
+    shutil.rmtree(warehouse)  # with the checkpoint folder in it
