@@ -9,8 +9,10 @@ judged by it (minimum-length guards).
 
 The references come from all documents: classes by one aggregation over per-task sums, the
 common words by counting every word of every text. Both are a few hundred numbers per
-language when they reach the driver. Languages with fewer than ``min_reference_words`` words,
-and documents without a language, are judged against the nearest reference.
+language when they reach the driver. Words are never compared with another language's: where
+a language has fewer than ``min_reference_words`` words in all, and where a document has no
+language, they are not judged. The classes of such documents are judged against the nearest
+reference, to which every language adds one, also a small one.
 """
 
 from __future__ import annotations
@@ -107,7 +109,7 @@ class Limits:
     ``class_distance``/``word_distance``: the largest distance from the language that is kept.
     ``min_chars``/``min_words``: below, the histogram is not judged.
     ``common_words``: so many most frequent words make the word histogram.
-    ``min_reference_words``: languages with fewer words in all have no reference of their own.
+    ``min_reference_words``: languages with fewer words in all have no reference for words.
     """
 
     class_distance: float = 0.19
@@ -122,7 +124,7 @@ class Limits:
 class Reference:
     classes: np.ndarray
     words: dict[bytes, int]  # common word to its cell
-    counts: np.ndarray  # cells of the common words, and a last one for all others
+    counts: np.ndarray  # cells of the common words, and a last one for all others; one zero if words are not judged
 
 
 def _language_sums(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -157,17 +159,20 @@ def references(docs: DataFrame, limits: Limits = Limits()) -> dict[str, Referenc
     for row in top.collect():  # languages x common_words
         common.setdefault(row["lang"], []).append((row["place"], row["word"], row["n"]))
     found = {}
-    for lang, rows in common.items():
-        n_words = sums[lang][-1]
+    for lang, total in sums.items():
+        n_words = total[-1]
+        counts, cells = np.zeros(1), {}
         if n_words >= limits.min_reference_words:
-            counts = [n for _, _, n in sorted(rows)]
+            rows = sorted(common.get(lang, []))
+            counts = [n for _, _, n in rows]
             cells = {word.encode(): place - 1 for place, word, _ in rows}
-            found[lang] = Reference(sums[lang][:-1], cells, np.array([*counts, n_words - sum(counts)], float))
+            counts = np.array([*counts, n_words - sum(counts)], float)
+        found[lang] = Reference(total[:-1], cells, counts)
     return found
 
 
 def divergence(text: bytes, words: list[bytes], reference: Reference, limits: Limits) -> tuple[float, float]:
-    """Distances of a text's classes and words from a reference; 0 below the minimum lengths."""
+    """Distances of a text's classes and words from a reference; 0 below the minimum lengths or without a reference."""
     by_class = by_word = 0.0
     if len(text) >= limits.min_chars:
         classes = class_histogram(np.frombuffer(text, np.uint8))
@@ -192,10 +197,10 @@ def _verdict(found: dict[str, Reference], limits: Limits):
         word_chars = int(((data & 0xC0) != 0x80).sum()) - int(IS_SPACE[data].sum())
         n_repeat = repeated_words(words)
         failed = n_words < 10 or 100 * n_repeat > 20 * n_words
-        own = found.get(lang)
-        choices = [own] if own else list(found.values())
-        distances = [divergence(text, words, r, limits) for r in choices]
-        by_class, by_word = min(distances, key=max) if distances else (0.0, 0.0)
+        if lang in found and found[lang].words:
+            by_class, by_word = divergence(text, words, found[lang], limits)
+        else:
+            by_class, by_word = min((divergence(text, [], r, limits)[0] for r in found.values()), default=0.0), 0.0
         kept = not failed and by_class <= limits.class_distance and by_word <= limits.word_distance
         return n_words, word_chars, int(IS_SYMBOL[data].sum()), duplicate_lines(text), n_repeat, failed, kept, by_class, by_word
 
@@ -222,8 +227,8 @@ MEASURES = (
 def judge_documents(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """Per row of ``docs``: its ``doc_id``, base measures, distances and ``kept``.
 
-    A null text counts as empty and fails the base rules; a null or unknown ``lang`` is judged
-    against the nearest reference; a null ``doc_id`` stays null. Repeated rows are judged each.
+    A null text counts as empty and fails the base rules; with a null ``lang``, or one of few words,
+    words are not judged, and classes against the nearest reference; a null ``doc_id`` stays null. Repeated rows are judged each.
     An empty table gives no rows. Columns other than doc_id, text and lang are ignored.
     """
     found = references(docs, limits)

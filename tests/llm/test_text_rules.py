@@ -90,6 +90,25 @@ def test_junk_goes_and_clean_documents_stay(spark):
     assert kept[1] > 0.94 and kept[0] < 0.1
 
 
+def test_clean_documents_of_a_rare_language_stay(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text", "lang")
+    greek, latin = ([c + v for c in cs for v in vs] for cs, vs in (("κλμνπρστ", "αεηιου"), ("bdfgjkmz", "aeiouy")))
+
+    def rare(doc_id, syllables, lang):
+        rng = np.random.default_rng(abs(doc_id))
+        lines = [" ".join("".join(rng.choice(syllables, rng.integers(1, 4))) for _ in range(9)).capitalize() + "." for _ in range(8)]
+        return doc_id, "\n".join(lines), lang
+
+    rows = [rare(-1 - i, latin, "xx") for i in range(5)] + [rare(-10 - i, greek, "yy") for i in range(5)] + [rare(-20, latin, None), rare(-21, greek, None)]
+    junk = [(-30, " ".join(f"#{i}$%^&*|<>~{i}" for i in range(20)), "xx"), (-31, " ".join(f"#{i}$%^&*|<>~{i}" for i in range(20)), None)]
+    both = docs.unionByName(spark.createDataFrame(rows + junk, "doc_id long, text string, lang string"))
+    kept = {r["doc_id"] for r in qd.judge_documents(both).filter("kept and doc_id < 0").collect()}
+    assert kept == {r[0] for r in rows}
+    assert {r["doc_id"] for r in qd.keep_documents(both).filter("doc_id < 0").collect()} == kept
+    # The other languages are judged as before.
+    assert not qd.judge_documents(both).filter("doc_id >= 0").exceptAll(qd.judge_documents(docs)).head(1)
+
+
 def test_kept_rows_are_those_judged_kept(spark):
     docs = with_clashes(edge_documents(spark))
     out = qd.keep_documents(docs)
