@@ -160,6 +160,16 @@ def links(distinct: DataFrame) -> DataFrame:
     return dealt.mapInArrow(_links, "u long, v long")
 
 
+def _members(docs: DataFrame, row: Column) -> tuple[DataFrame, DataFrame]:
+    """Rows (row, doc_id, fp) of ``docs``, and per distinct ``fp`` its component's ``root`` (a
+    fingerprint of it) and the ``least`` doc_id of the fingerprint."""
+    texts = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
+    prints = stored(texts.mapInArrow(_fingerprints, "row long, doc_id long, fp long"), "fingerprints", "none")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
+    return prints, distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+
 def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     """Per row of ``docs``: doc_id, fingerprint, component_id (smallest doc_id linked to it, over any
     number of links), and the row number given by ``row``.
@@ -169,12 +179,7 @@ def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
     documents have none. Repeated rows are rows of one component. An empty table gives no rows;
     further columns are ignored.
     """
-    row = F.lit(None).cast("long") if row is None else row
-    texts = docs.select(row.alias("row"), F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
-    prints = stored(texts.mapInArrow(_fingerprints, "row long, doc_id long, fp long"), "fingerprints", "none")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"))
-    roots = components(links(distinct.select("fp"))).withColumnRenamed("node", "fp")
-    by_fp = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+    prints, by_fp = _members(docs, F.lit(None).cast("long") if row is None else row)
     least = by_fp.groupBy("root").agg(F.min("least").alias("component_id"))
     component = by_fp.join(least, "root").select("fp", "component_id")
     return prints.join(component, "fp").select(
@@ -183,10 +188,12 @@ def near_duplicates(docs: DataFrame, row: Column | None = None) -> DataFrame:
 
 
 def drop_near_duplicates(docs: DataFrame) -> DataFrame:
-    """One row of every component, all columns unchanged: the one with the smallest doc_id, of
-    repeated rows the first. Components of documents without any doc_id are left whole."""
+    """One row of every component, all columns unchanged: the one with the smallest doc_id (null
+    last), of equal ids the first. Components are told apart by their root, as ids may repeat."""
     rows, name = numbered(docs)
-    found = stored(near_duplicates(rows, F.col(name)), "components", "none")
-    stays = found.filter("doc_id = component_id").groupBy("component_id").agg(F.min("row").alias(name)).select(name)
-    others = found.filter("component_id is not null").select(F.col("row").alias(name)).join(stays, name, "left_anti")
+    prints, by_fp = _members(rows, F.col(name))
+    found = stored(prints.join(by_fp.select("fp", "root"), "fp").select("row", "doc_id", "root"), "components", "none")
+    best = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row"))
+    stays = found.groupBy("root").agg(best.alias("best")).select(F.col("best.row").alias("row"))
+    others = found.join(stays, "row", "left_anti").select(F.col("row").alias(name))
     return rows.join(others, name, "left_anti").drop(name)

@@ -141,6 +141,15 @@ def test_one_row_of_each_component_stays(spark):
     assert out.groupBy("doc_id").count().filter("count > 1 and doc_id is not null").count() == 0
 
 
+def test_survivors_do_not_depend_on_how_ids_repeat(spark):
+    a, b, c, d = (prose(60, salt) for salt in "pqrs")
+    rows = [(1, a), (1, b), (5, a + " "), (6, " " + b), (None, c), (None, c + "\n"), (None, d), (9, d + "\t"), (8, d)]
+    assert len({brute_fingerprint(t) for t in (a, b, c, d)}) == 4 == len(set(brute_components(range(4), [brute_fingerprint(t) for t in (a, b, c, d)])))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(2)
+    kept = collected(sv.drop_near_duplicates(docs))
+    assert sorted((str(i), " ".join(t.split())) for i, t in kept) == sorted([("1", a), ("1", b), ("None", c), ("8", d)])
+
+
 @pytest.mark.parametrize("n", [100, 3000])
 def test_every_link_within_a_run_of_one_key_is_kept(n):
     rng = np.random.default_rng(n)
