@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from snaplytics.llm import exact_mph, online_packing, pu_classifier, quality_divergence, simhash_variants, suffix_dedup, token_files, url_filter, warc_segments, weighted_mix
+from snaplytics.llm import credential_links, exact_mph, importance_resampling, online_packing, pu_classifier, quality_divergence
+from snaplytics.llm import simhash_variants, suffix_dedup, token_alignment, token_files, url_filter, warc_segments, weighted_mix
 from snaplytics.llm.common import table
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -55,6 +56,19 @@ def op10_warc_segments(spark: SparkSession, folder: str) -> DataFrame:
     return warc_segments.archive_round_trip(table(spark, folder, "pages"))
 
 
+def op11_token_alignment(spark: SparkSession, folder: str) -> DataFrame:
+    byte_level, pieces = (public_tokenizers.path(name) for name in ("byte_bpe_50k.json", "piece_bpe_32k.model"))
+    return token_alignment.align_tokenizers(table(spark, folder, "documents"), byte_level, pieces)
+
+
+def op12_importance_resampling(spark: SparkSession, folder: str) -> DataFrame:
+    return importance_resampling.resample(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+def op13_credential_links(spark: SparkSession, folder: str) -> DataFrame:
+    return credential_links.find_credentials(table(spark, folder, "documents"))
+
+
 OPERATORS = (
     op1_quality_divergence,
     op2_digest_array,
@@ -66,6 +80,9 @@ OPERATORS = (
     op8_online_packing,
     op9_weighted_mix,
     op10_warc_segments,
+    op11_token_alignment,
+    op12_importance_resampling,
+    op13_credential_links,
 )
 
 
@@ -211,5 +228,116 @@ FROM t
 """
 
 
+# CRC-32 as bit operations, from a table that is itself computed; every distinct feature once.
+OP12 = r"""
+WITH RECURSIVE byte AS (SELECT unnest(range(256))::uinteger AS b),
+steps(b, c, step) AS (
+  SELECT b, b, 0 FROM byte
+  UNION ALL
+  SELECT b, CASE WHEN c & 1 = 1 THEN xor(c >> 1, 3988292384::uinteger) ELSE c >> 1 END, step + 1 FROM steps WHERE step < 8),
+crc_table AS (SELECT list(c ORDER BY b) AS t FROM steps WHERE step = 8),
+given AS (
+  SELECT row_number() OVER () AS nr, false AS is_target, doc_id, text FROM documents
+  UNION ALL
+  SELECT row_number() OVER (), true, NULL, text FROM benchmark),
+worded AS (
+  SELECT nr, is_target, doc_id, regexp_extract_all(
+           translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+           '[^\x00-\x2F\x3A-\x60\x7B-\x7F]+') AS words
+  FROM given),
+feature AS (
+  SELECT nr, is_target, array_to_string(words[i:i + k - 1], ' ') AS f
+  FROM (SELECT nr, is_target, words, unnest(range(1, len(words) + 1)) AS i FROM worded), (VALUES (1), (2), (3)) AS n(k)
+  WHERE i + k - 1 <= len(words)),
+distinct_feature AS (SELECT f, hex(encode(f)) AS bytes FROM (SELECT DISTINCT f FROM feature)),
+hashed AS (
+  SELECT f, xor(list_reduce(list_transform(range(1, length(bytes), 2), lambda i: ('0x' || bytes[i:i + 1])::uinteger),
+                            lambda c, b: xor(c >> 8, t[(xor(c, b) & 255) + 1]), 4294967295::uinteger), 4294967295::uinteger) % 10000 AS bucket
+  FROM distinct_feature, crc_table),
+counted AS (SELECT nr, is_target, bucket, count(*) AS n FROM feature JOIN hashed USING (f) GROUP BY ALL),
+totals AS (
+  SELECT bucket, coalesce(sum(n) FILTER (NOT is_target), 0) AS s, coalesce(sum(n) FILTER (is_target), 0) AS t FROM counted GROUP BY bucket),
+gain AS (
+  SELECT bucket, floor(1000 * ln(((t + 1) * (sum(s) OVER () + 10000))::double / ((s + 1) * (sum(t) OVER () + 10000))::double))::bigint AS gain
+  FROM totals),
+weighed AS (SELECT nr, sum(n * gain)::bigint AS weight FROM counted JOIN gain USING (bucket) WHERE NOT is_target GROUP BY nr),
+scored AS (
+  SELECT nr, doc_id, len(words) AS n_words,
+         greatest(len(words), 0) + greatest(len(words) - 1, 0) + greatest(len(words) - 2, 0) AS n_features,
+         coalesce(weight, 0) AS weight,
+         coalesce(weight, 0) + floor(-1000 * ln(-ln((('0x' || sha256('42:' || coalesce(doc_id::varchar, 'null'))[1:8])::bigint + 0.5) / 4294967296)))::bigint
+           AS score
+  FROM worded LEFT JOIN weighed USING (nr) WHERE NOT is_target),
+placed AS (
+  SELECT nr, row_number() OVER (ORDER BY score DESC, doc_id) AS place, count(*) OVER () AS n FROM scored WHERE n_words >= 20)
+SELECT doc_id, n_features, weight, score, CASE WHEN place <= 5 * n // 100 THEN place END AS rank
+FROM scored LEFT JOIN placed USING (nr)
+"""
+
+
+GIVEN = r"""["']?\x20*[:=]\x20*["']?"""
+SPAN_PATTERNS = (
+    rf"([Pp][Aa][Ss][Ss][Ww][Oo][Rr][Dd]|[Pp][Aa][Ss][Ss][Ww][Dd]|[Ss][Ee][Cc][Rr][Ee][Tt]|[Tt][Oo][Kk][Ee][Nn]|[Aa][Pp][Ii]_?[Kk][Ee][Yy]){GIVEN}([A-Za-z0-9+/_.=-]+)",
+    "(AKIA[A-Z0-9]+)()",
+    "([0-9a-f]+)()",
+    "([Aa][Cc][Cc][Ee][Ss][Ss]_[Kk][Ee][Yy]_[Ii][Dd]|[Cc][Ll][Ii][Ee][Nn][Tt]_[Ii][Dd]|[Uu][Ss][Ee][Rr]_?[Nn][Aa][Mm][Ee]|[Uu][Ss][Ee][Rr]"
+    rf"|[Ll][Oo][Gg][Ii][Nn]|[Aa][Cc][Cc][Oo][Uu][Nn][Tt]){GIVEN}([A-Za-z0-9@._+-]+)",
+    "([A-Za-z0-9+/_-]{20,})()",
+    r"""([A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x00-\x20"'<>\x7F]+)()""",
+    r"(\n[\x20\t\r]*\n)()",
+)
+
+
+def _found(source: int, pattern: str) -> str:
+    p = "'" + pattern.replace("'", "''") + "'"
+    return f"""SELECT nr, {source} AS source, unnest(range(len(m))) AS pos, unnest(list_transform(gaps[:len(m)], lambda g: length(g))) AS gap,
+         unnest(m) AS match, unnest(v) AS value
+  FROM (SELECT nr, string_split_regex(text, {p}) AS gaps, regexp_extract_all(text, {p}) AS m, regexp_extract_all(text, {p}, 2) AS v
+        FROM t WHERE regexp_matches(text, {p}))"""
+
+
+OP13 = f"""
+WITH t AS (SELECT row_number() OVER () AS nr, doc_id, coalesce(text, '') AS text FROM documents),
+found AS (
+  {" UNION ALL ".join(_found(i, p) for i, p in enumerate(SPAN_PATTERNS))}),
+span AS (
+  SELECT nr, ends - length(match) AS a, ends AS b, kind FROM (
+    SELECT nr, match, sum(gap + length(match)) OVER (PARTITION BY nr, source ORDER BY pos) AS ends,
+           CASE source WHEN 0 THEN CASE WHEN length(value) >= 12 THEN 0 WHEN length(value) >= 6 THEN 4 END
+                       WHEN 1 THEN CASE WHEN length(match) >= 18 THEN 1 END
+                       WHEN 2 THEN CASE WHEN length(match) >= 16 THEN 2 END
+                       WHEN 4 THEN CASE WHEN regexp_matches(match, '[a-z]') AND regexp_matches(match, '[A-Z]') AND regexp_matches(match, '[0-9]') THEN 4 END
+                       ELSE source END AS kind
+    FROM found) WHERE kind IS NOT NULL),
+base AS (SELECT * FROM span WHERE kind <= 2),
+part AS (
+  SELECT s.nr, s.a, s.b, s.kind, (SELECT count(*) FROM span x WHERE x.nr = s.nr AND x.kind = 6 AND x.a <= s.a) AS section
+  FROM span s
+  WHERE kind <> 6 AND NOT (kind = 4 AND EXISTS (SELECT 1 FROM base x WHERE x.nr = s.nr AND x.a < s.b AND s.a < x.b))),
+linked AS (
+  SELECT c.nr, c.a, c.b, c.kind
+  FROM part c JOIN part n ON c.nr = n.nr AND c.section = n.section AND n.a <= c.b + 200 AND n.b >= c.a - 200
+  WHERE c.kind > 2 GROUP BY ALL
+  HAVING CASE c.kind WHEN 3 THEN bool_or(n.kind IN (0, 2, 4)) WHEN 4 THEN bool_or(n.kind IN (1, 3, 5))
+              ELSE bool_or(n.kind IN (0, 2, 4)) AND bool_or(n.kind IN (1, 3)) END),
+per AS (
+  SELECT nr, count(*) FILTER (kind = 0) AS n_assign, count(*) FILTER (kind = 1) AS n_access, count(*) FILTER (kind = 2) AS n_hex,
+         string_agg(name, ',' ORDER BY a, kind) FILTER (kind <= 2) AS base_spans, string_agg(name, ',' ORDER BY a, kind) AS all_spans
+  FROM (SELECT *, ['assign', 'access', 'hex', 'login', 'key', 'endpoint'][kind + 1] || ':' || a || ':' || b AS name
+        FROM (SELECT nr, a, b, kind FROM base UNION ALL SELECT * FROM linked)) GROUP BY nr)
+SELECT doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_access, coalesce(n_hex, 0) AS n_hex,
+       sha256(coalesce(base_spans, '')) AS base_sha256, coalesce(all_spans, '') AS spans
+FROM t LEFT JOIN per USING (nr)
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_quality_divergence": OP1, "op2_digest_array": OP2, "op6_exact_mph": OP6, "op9_weighted_mix": OP9, "op10_warc_segments": OP10}
+    return {
+        "op1_quality_divergence": OP1,
+        "op2_digest_array": OP2,
+        "op6_exact_mph": OP6,
+        "op9_weighted_mix": OP9,
+        "op10_warc_segments": OP10,
+        "op12_importance_resampling": OP12,
+        "op13_credential_links": OP13,
+    }
