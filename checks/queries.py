@@ -124,7 +124,7 @@ class Tables:
 
     @cached_property
     def qb_ranks(self) -> DataFrame:
-        return qb.qb_ranks(cut_lineage(self.qb_season))
+        return qb.qb_ranks(self.qb_season)
 
     @cached_property
     def labelled(self) -> DataFrame:

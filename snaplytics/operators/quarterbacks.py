@@ -12,7 +12,6 @@ from snaplytics.functions.columns import cols_between
 from snaplytics.functions.nulls import lenient_sum
 from snaplytics.functions.ranks import RankSpec, average_rank, ordinal_ranks
 from snaplytics.operators.games import FRANCHISE_MOVES
-from snaplytics.session import cut_lineage
 
 
 @dataclass(frozen=True)
@@ -78,8 +77,7 @@ def qb_ranks(season_rows: DataFrame) -> DataFrame:
 def with_win_rank(ranks: DataFrame, standings: DataFrame) -> DataFrame:
     """Adds the team's wins and their rank among the season's quarterbacks, ties averaged."""
     joined = ranks.join(standings.select("season", "team", "wins"), ["season", "team"], "left")
-    joined = cut_lineage(joined.select(*ranks.columns, "wins"))  # read twice
-    return average_rank(joined, "wins", ["season"], "win_rank")
+    return average_rank(joined.select(*ranks.columns, "wins"), "wins", ["season"], "win_rank")
 
 
 def winners(award: DataFrame, first_season: int) -> DataFrame:

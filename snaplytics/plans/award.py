@@ -24,9 +24,8 @@ from snaplytics.session import cut_lineage
 def labelled_quarterbacks(
     player_stats: DataFrame, standings: DataFrame, award: DataFrame, rules: AwardRules = AwardRules()
 ) -> DataFrame:
-    """Ranked quarterback seasons with the award label, stored for the passes that follow."""
-    season_rows = cut_lineage(qb_season(player_stats, rules))
-    ranked = with_win_rank(qb_ranks(season_rows), relabel_franchises(standings, rules.franchise_moves))
+    """Ranked quarterback seasons with the award label; to be stored by whoever reads them more than once."""
+    ranked = with_win_rank(qb_ranks(qb_season(player_stats, rules)), relabel_franchises(standings, rules.franchise_moves))
     return with_award(ranked, winners(award, rules.first_season))
 
 

@@ -93,11 +93,33 @@ def test_ordinal_ranks_equal_a_window_on_odd_values(spark):
         assert sorted(map(key, out)) == sorted(map(key, plain.collect()))
 
 
+def _windows(df):
+    lines = df._jdf.queryExecution().executedPlan().toString().splitlines()
+    return [line for line in lines if "Window [" in line], [line for line in lines if "Exchange hash" in line]
+
+
 def test_no_task_sorts_a_whole_season(spark):
+    """Windows run over one row per range and group, or inside a range, and rows are not shuffled for them."""
     df = spark.createDataFrame(_random_rows(100, 5), "season int, team string, name string, id string, x double, y int")
-    lines = ordinal_ranks(df, SPECS, ["season"], ["team", "name", "id"])._jdf.queryExecution().optimizedPlan().toString().splitlines()
-    numbering = [line for line in lines if "row_number()" in line]
-    assert numbering and all("_part" in line for line in numbering)
+    windows, _ = _windows(ordinal_ranks(df, SPECS, ["season"], ["team", "name", "id"]))
+    assert len(windows) == 1 and "sum(_n" in windows[0] and "row_number" not in windows[0]
+    windows, _ = _windows(average_rank(df, "x", ["season"], "r"))
+    assert len(windows) == 2 and all("_part" in line for line in windows)
+
+
+@pytest.mark.parametrize("parts", [1, 16])
+def test_average_rank_of_many_values_equals_a_window(spark, parts):
+    """A continuous value, one season with most rows, ties that a third of the rows share, missing values and groups."""
+    data = [(None if i % 50 == 0 else s, x) for i, (s, _, _, _, x, _) in enumerate(_random_rows(3000, seed=8))]
+    df = spark.createDataFrame(data, "season int, x double").withColumn("_part", F.lit("kept"))
+    for descending in (True, False):
+        order = F.col("x").desc_nulls_last() if descending else F.col("x").asc_nulls_last()
+        tied = F.count(F.lit(1)).over(Window.partitionBy("season", "x"))
+        plain = F.when(F.col("x").isNotNull(), F.rank().over(Window.partitionBy("season").orderBy(order)) + (tied - 1) / 2.0)
+        with settings(spark, {"spark.sql.shuffle.partitions": str(parts), "spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+            out = average_rank(df, "x", ["season"], "r", descending)
+            assert out.columns == ["season", "x", "_part", "r"]
+            assert sorted(map(str, out.collect())) == sorted(map(str, df.withColumn("r", plain).collect()))
 
 
 def test_group_totals(spark):
