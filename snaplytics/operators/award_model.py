@@ -3,13 +3,12 @@
 from __future__ import annotations
 
 import warnings
-from collections.abc import Mapping, Sequence
+from collections.abc import Generator, Mapping, Sequence
 from dataclasses import dataclass
 from math import erfc, inf, sqrt
 
-from pyspark.ml.classification import LogisticRegression
+import numpy as np
 from pyspark.ml.feature import VectorAssembler
-from pyspark.ml.linalg import Matrices, Vectors
 from pyspark.ml.regression import GeneralizedLinearRegression
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -118,69 +117,114 @@ def profile_intervals(
     """95 % profile-likelihood interval of each term, and whether each limit was found.
 
     A limit is the value at which the deviance, with the term held there and all others
-    fitted anew, has grown by the 95 % chi-square point. Each try is one bounded refit, a
-    few passes over the stored rows, so a table takes some dozens of fits; the Wald
-    interval of ``coefficient_table`` is the quick form. Where the tries run out, a refit stops
-    early, or the classes are separated, the limit is NULL and its flag false.
+    fitted anew, has grown by the 95 % chi-square point. All limits are searched for at once: each search
+    asks for the sums of its next step, and one pass over the stored rows adds up those of all
+    searches that still go on, so a table takes as many passes as its longest search. Where the tries run
+    out, a refit does not settle, or the classes are separated, the limit is NULL and its flag false.
     """
     spark = training.sparkSession
     if model.separated:
         return spark.createDataFrame([(t, None, None, False, False) for t in model.terms], LIMIT_TABLE)
     features = require(training, [t for t in model.terms if t != INTERCEPT])
-    complete = training.select(*[F.col(c).cast("double").alias(c) for c in [*features, label]]).dropna()
-    rows = VectorAssembler(inputCols=features, outputCol="features").transform(complete)
-    rows = rows.select("features", label).persist(StorageLevel.MEMORY_AND_DISK)
+    columns = [F.lit(1.0).alias("x0"), *[F.col(c).cast("double").alias(f"x{i}") for i, c in enumerate(features, 1)]]
+    rows = training.select(*columns, F.col(label).cast("double").alias("y")).dropna().persist(StorageLevel.MEMORY_AND_DISK)
     try:
-        limits = []
-        for place, (term, estimate, error) in enumerate(zip(model.terms, model.estimates, model.errors)):
-            deviance = _held_deviance(rows, label, place, len(features), model.rows)
-            low, high = (
-                _limit(deviance, model.deviance, estimate, side * error, tolerance, max_refits) for side in (-1.0, 1.0)
-            )
-            limits.append((term, low, high, low is not None, high is not None))
+        searches = [_search(model, place, side, tolerance, max_refits) for place in range(len(model.terms)) for side in (-1.0, 1.0)]
+        found = _in_shared_passes(rows, searches, len(model.terms))
     finally:
         rows.unpersist()
-    return spark.createDataFrame(limits, LIMIT_TABLE)
-
+    limits = [(t, found[2 * i], found[2 * i + 1]) for i, t in enumerate(model.terms)]
+    return spark.createDataFrame([(t, low, high, low is not None, high is not None) for t, low, high in limits], LIMIT_TABLE)
 
-REFIT_STEPS = 200
 
+REFIT_STEPS = 50
+SETTLED = 1e-12  # a Newton step that would change the deviance by less
 
-def _held_deviance(rows: DataFrame, label: str, place: int, features: int, n: int):
-    """Deviance as a function of the value at which the term in ``place`` is held; None if the refit stops early."""
 
-    def deviance(value: float) -> float | None:
-        low, high = [-inf] * (features + 1), [inf] * (features + 1)
-        low[place] = high[place] = value
-        fitted = LogisticRegression(
-            labelCol=label,
-            regParam=0.0,
-            tol=1e-9,
-            maxIter=REFIT_STEPS,
-            lowerBoundsOnIntercepts=Vectors.dense(low[:1]),
-            upperBoundsOnIntercepts=Vectors.dense(high[:1]),
-            lowerBoundsOnCoefficients=Matrices.dense(1, features, low[1:]),
-            upperBoundsOnCoefficients=Matrices.dense(1, features, high[1:]),
-        ).fit(rows)
-        history = fitted.summary.objectiveHistory
-        return 2.0 * n * history[-1] if len(history) <= REFIT_STEPS else None
+@dataclass(frozen=True)
+class Sums:
+    """Of all rows at given estimates: deviance, gradient of the log likelihood, information matrix."""
 
-    return deviance
+    deviance: float
+    gradient: np.ndarray
+    information: np.ndarray
+
+
+Search = Generator[np.ndarray, Sums, float | None]
+
+
+def _in_shared_passes(rows: DataFrame, searches: Sequence[Search], terms: int) -> list[float | None]:
+    """Run the searches side by side: every pass answers what each of them has asked for."""
+    found: list[float | None] = [None] * len(searches)
+    asked: dict[int, np.ndarray] = {}
+
+    def go_on(i: int, answer: Sums | None) -> None:
+        try:
+            asked[i] = searches[i].send(answer)
+        except StopIteration as end:
+            asked.pop(i, None)
+            found[i] = end.value
+
+    for i in range(len(searches)):
+        go_on(i, None)
+    while asked:
+        for i, sums in _sums(rows, asked, terms).items():
+            go_on(i, sums)
+    return found
+
+
+def _sums(rows: DataFrame, asked: Mapping[int, np.ndarray], terms: int) -> dict[int, Sums]:
+    """One pass: each row once per search, added up before the shuffle to one row per search."""
+    pairs = [(i, j) for i in range(terms) for j in range(i, terms)]
+    sums = [f"sum(x{k} * (y - mu)) as g{k}" for k in range(terms)] + [f"sum(mu * (1 - mu) * x{i} * x{j}) as h{i}_{j}" for i, j in pairs]
+    structs = (f"struct({i} as search, array({', '.join(f'{float(b)!r}D' for b in beta)}) as beta)" for i, beta in asked.items())
+    totals = rows.sparkSession.sql(
+        f"""select search, sum(2 * (log1p(exp(-abs(eta))) + greatest(eta, 0D) - y * eta)) as deviance, {", ".join(sums)}
+        from (select *, 1 / (1 + exp(-eta)) as mu
+              from (select *, {" + ".join(f"beta[{k}] * x{k}" for k in range(terms))} as eta
+                    from (select *, inline(array({", ".join(structs)})) from {{rows}})))
+        group by search""",
+        rows=rows,
+    )
+    answers = {}
+    for row in totals.collect():  # one row per search
+        information = np.empty((terms, terms))
+        for i, j in pairs:
+            information[i, j] = information[j, i] = row[f"h{i}_{j}"]
+        answers[row["search"]] = Sums(row["deviance"], np.array([row[f"g{k}"] for k in range(terms)]), information)
+    return answers
+
+
+def _search(model: AwardModel, place: int, side: float, tolerance: float, tries: int) -> Search:
+    """One limit: the values to try come from ``_limit``, and each is refitted from where the last one ended."""
+    beta, estimate = np.array(model.estimates), model.estimates[place]
+    tangent = np.eye(len(beta))[place]
+    values = _limit(model.deviance, estimate, side * model.errors[place], tolerance, tries)
+    value = next(values)
+    while True:
+        settled = yield from _refit(beta + (value - beta[place]) * tangent, place)
+        if settled is None:
+            return None
+        beta, sums = settled
+        tangent = _tangent(sums.information, place)
+        try:
+            value = values.send(sums.deviance)
+        except StopIteration as end:
+            return end.value
 
 
-def _limit(deviance, best: float, estimate: float, step: float, tolerance: float, tries: int) -> float | None:
+def _limit(best: float, estimate: float, step: float, tolerance: float, tries: int) -> Generator[float, float, float | None]:
     """Where sqrt(deviance - best), about linear in the distance, meets the 95 % point.
 
-    The distance doubles until the point is passed, then the secant narrows the bracket, or
-    its middle where the secant has not halved it. Only a value that was tried is returned; None if none fits.
+    Asks for the deviance at a value and goes on from the answer. The distance doubles until the point is passed,
+    then the secant narrows the bracket, or its middle where the secant has not halved it. Only a value
+    that was tried is returned; None if none fits.
     """
     inside, outside = (0.0, 0.0), None  # (distance in steps, root of the deviance gained)
     distance, halved = WALD_95, True
     for _ in range(tries):
-        value = deviance(estimate + distance * step)
-        if value is None:
-            return None
-        gained = sqrt(max(value - best, 0.0))
+        deviance = yield estimate + distance * step
+        gained = sqrt(max(deviance - best, 0.0))
         if abs(gained - WALD_95) < tolerance:
             return estimate + distance * step
         width = outside[0] - inside[0] if outside else inf
@@ -197,6 +241,34 @@ def _limit(deviance, best: float, estimate: float, step: float, tolerance: float
     return None
 
 
+def _tangent(information: np.ndarray, place: int) -> np.ndarray:
+    """How all terms move with the held one, for the next refit to start near its end."""
+    free = np.arange(len(information)) != place
+    direction = np.ones(len(information))
+    direction[free] = -np.linalg.solve(information[np.ix_(free, free)], information[free, place])
+    return direction
+
+
+def _refit(beta: np.ndarray, place: int) -> Generator[np.ndarray, Sums, tuple[np.ndarray, Sums] | None]:
+    """Newton steps on all terms but the one in ``place``, halved where the deviance grows."""
+    free = np.arange(len(beta)) != place
+    before, last = beta, inf
+    for _ in range(REFIT_STEPS):
+        sums = yield beta
+        if not sums.deviance <= last + SETTLED * max(1.0, abs(last)):
+            beta = (beta + before) / 2
+            continue
+        try:
+            move = np.linalg.solve(sums.information[np.ix_(free, free)], sums.gradient[free])
+        except np.linalg.LinAlgError:
+            return None
+        if sums.gradient[free] @ move < SETTLED:
+            return beta, sums
+        before, last, beta = beta, sums.deviance, beta.copy()
+        beta[free] += move
+    return None
+
+
 def fit_table(spark, model: AwardModel) -> DataFrame:
     """Deviances, AIC and counts of the fit."""
     free = model.rows - len(model.terms)

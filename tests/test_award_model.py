@@ -148,17 +148,47 @@ def test_separated_classes_warn(spark):
     assert [tuple(r)[1:] for r in am.profile_intervals(df, model).collect()] == [(None, None, False, False)] * 2
 
 
+def limit(deviance, *args):
+    values = am._limit(*args)
+    value = next(values)
+    while True:
+        try:
+            value = values.send(deviance(value))
+        except StopIteration as end:
+            return end.value
+
+
 def test_limit_behind_a_flat_stretch():
     flat = lambda b: 1.0 + max(0.0, b - 1000.0) ** 2
-    assert am._limit(flat, 1.0, 0.0, 1.0, 1e-4, 12) is None
-    assert am._limit(flat, 1.0, 0.0, 1.0, 1e-4, 60) == pytest.approx(1001.959964, abs=1e-3)
-    assert am._limit(lambda b: None, 1.0, 0.0, 1.0, 1e-4, 12) is None
+    assert limit(flat, 1.0, 0.0, 1.0, 1e-4, 12) is None
+    assert limit(flat, 1.0, 0.0, 1.0, 1e-4, 60) == pytest.approx(1001.959964, abs=1e-3)
 
 
 def test_limit_that_is_never_reached_is_unknown():
-    assert am._limit(lambda b: 1.0 + min(abs(b), 1.0), 1.0, 0.0, 1.0, 1e-4, 12) is None
-    assert am._limit(lambda b: 1.0 + b * b, 1.0, 0.0, -1.0, 1e-4, 12) == pytest.approx(-1.959964, abs=1e-4)
-    assert am._limit(lambda b: 1.0 + abs(b) ** 3, 1.0, 0.0, 1.0, 1e-4, 12) == pytest.approx(3.841459 ** (1 / 3), abs=1e-3)
+    assert limit(lambda b: 1.0 + min(abs(b), 1.0), 1.0, 0.0, 1.0, 1e-4, 12) is None
+    assert limit(lambda b: 1.0 + b * b, 1.0, 0.0, -1.0, 1e-4, 12) == pytest.approx(-1.959964, abs=1e-4)
+    assert limit(lambda b: 1.0 + abs(b) ** 3, 1.0, 0.0, 1.0, 1e-4, 12) == pytest.approx(3.841459 ** (1 / 3), abs=1e-3)
+
+
+def test_searches_that_end_early_leave_the_others_alone(training, model, monkeypatch):
+    """A search whose refit does not settle is unknown; the passes go on for the rest."""
+    true_refit = am._refit
+    monkeypatch.setattr(am, "_refit", lambda beta, place: true_refit(beta, place) if place != 1 else _stopped(beta))
+    out = {r["term"]: r for r in am.profile_intervals(training, model, tolerance=0.05).collect()}
+    assert not out["tds_rank"]["low_converged"] and out["tds_rank"]["conf_high"] is None
+    assert all(r["low_converged"] and r["high_converged"] for t, r in out.items() if t != "tds_rank")
+
+
+def _stopped(beta):
+    yield beta
+    return None
+
+
+def test_all_limits_share_passes(training, model, monkeypatch):
+    passes, sums = [], am._sums
+    monkeypatch.setattr(am, "_sums", lambda rows, asked, terms: passes.append(len(asked)) or sums(rows, asked, terms))
+    am.profile_intervals(training, model, tolerance=0.01).collect()
+    assert passes[0] == 2 * len(model.terms) and len(passes) < 60
 
 
 def test_confusion_and_metrics(spark):
