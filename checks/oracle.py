@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from checks import model_sql
 from checks.queries import COEFFICIENTS, DIGITS, RULES, SEASON, TEAM, WEEKS
 from checks.views import with_views
 
@@ -322,7 +323,7 @@ CONFUSION = f"""select pred_mvp, mvp, count(*) as n from ({SCORED})
 where pred_mvp is not null and mvp is not null group by pred_mvp, mvp"""
 
 
-def _metrics() -> str:
+def _metrics(scored: str) -> str:
     def one(metric: str, expression: str) -> str:
         return f"select '{metric}' as metric, {r(expression)} as estimate from c"
 
@@ -344,7 +345,7 @@ def _metrics() -> str:
         one("recall", sens),
         one("f_meas", f"2 * {prec} * {sens} / nullif({prec} + {sens}, 0)"),
     ]
-    return f"""with s as ({SCORED}), c as (select
+    return f"""with s as ({scored}), c as (select
   cast(count(*) filter (pred_mvp = 1 and mvp = 1) as double) as tp, cast(count(*) filter (pred_mvp = 1 and mvp = 0) as double) as fp,
   cast(count(*) filter (pred_mvp = 0 and mvp = 1) as double) as fn, cast(count(*) filter (pred_mvp = 0 and mvp = 0) as double) as tn,
   cast(count(*) filter (pred_mvp is not null and mvp is not null) as double) as n from s)
@@ -368,6 +369,14 @@ SHARES = f"""select season, case when count(*) = count(*) filter ({COMPLETE}) th
   case when count(*) filter ({COMPLETE}) > 0 then true end as has_favourite from ({LABELLED}) where ({TRAIN}) or ({TEST}) group by season"""
 
 
+FITTED_ON = f"{TRAIN} and {COMPLETE}"
+STORED_SEASONS = "between 1996 and 1998"
+
+
+def fitted(chosen: str) -> str:
+    return model_sql.scored(LABELLED, FITTED_ON, chosen)
+
+
 def frequencies(column: str, where: str = "true") -> str:
     return f"""select {column}, count(*) as n from ({LABELLED}) where {column} is not null and {where} group by {column}"""
 
@@ -438,7 +447,7 @@ as bigint) as num_missing from ({LABELLED})""",
         "season_prob": f"""select season, team, player_display_name, player_id, mvp, {r("pred")} as pred, pred_mvp,
   {r("mvp_prob")} as mvp_prob from ({SCORED})""",
         "confusion": CONFUSION,
-        "binary_metrics": _metrics(),
+        "binary_metrics": _metrics(SCORED),
         "misses": f"select season, player_display_name, outcome from ({MISSES})",
         "missed_seasons": f"""select season,
   max(case when outcome = 'Actual MVP' then player_display_name end) as "Actual MVP",
@@ -449,6 +458,24 @@ group by season, place""",
         "mvp_score_equations": "select unnest(['(Intercept)', 'tds_rank', 'yds_rank', 'win_rank', 'epa_rank', 'total_interceptions']) as term, 0.0e0 as score",
         "mvp_null_fit": NULL_FIT,
         "mvp_season_shares": SHARES,
+        "mvp_coefficients": model_sql.coefficients(LABELLED, FITTED_ON, r),
+        "mvp_fit": model_sql.fit_table(LABELLED, FITTED_ON, r),
+        "mvp_model_scored": f"select * replace ({r('pred')} as pred, {r('mvp_prob')} as mvp_prob, {r('win_rank')} as win_rank) "
+        f"from ({fitted(f'({TRAIN}) or ({TEST})')})",
+        "mvp_test_metrics": _metrics(fitted(TEST)),
+        "file_valid_plays": f"select * from fx_plays where {PLAY} and posteam is not null and season {STORED_SEASONS} and {week_range(WEEKS)}",
+        "file_charting": f"select * from fx_charting where ftn_season {STORED_SEASONS}",
+        "file_schedule_team_rows": f"select * from ({GAMES}) where season {STORED_SEASONS}",
+        "file_player_stats": f"select * from fx_player_stats where season {STORED_SEASONS}",
+        "file_team_choices": "select team_abbr from fx_teams where team_abbr not in ('T05', 'T17') or team_abbr is null",
+        "file_off_week_report": f"select * from ({week_report('offense')}) where season {STORED_SEASONS}",
+        "file_receiver_breakdown": receiver_breakdown(
+            "season, posteam, headshot_url, player_display_name, position", f"season {STORED_SEASONS}"
+        ),
+        "file_qb_season": f"select * replace ({r('mean_epa')} as mean_epa) from ({QB_SEASON}) where season {STORED_SEASONS}",
+        "kept_off_eff_summary": eff_summary("offense"),
+        "kept_def_eff_summary": eff_summary("defense"),
+        "plays_charted_bucketed": CHARTED,
         "mvp_race": f"select {RACE} from (select * from ({SCORED}) where season = {SEASON} order by {RACE_ORDER} limit 10)",
         "mvp_races": f"""select season, place, {RACE} from (select *, cast(row_number() over
   (partition by season order by {RACE_ORDER}) as integer) as place from ({SCORED})) where place <= 10""",

@@ -15,13 +15,18 @@ from snaplytics import schemas
 from snaplytics.operators import award_model as am
 from snaplytics.operators import games, pivot, plays, quarterbacks as qb, receivers, team_week as tw
 from snaplytics.plans.award import labelled_quarterbacks, run_award_model
+from snaplytics.plans.kept_totals import KeptTotals
 from snaplytics.session import checkpoint_folder, cut_lineage
-from snaplytics.sources import conform, season_standings, write_results
+from snaplytics.sources import FEEDS, FeedFolder, conform, season_standings, write_bucketed, write_results
 
 DIGITS = 6
 TEAM = "T03"
 WEEKS = (5, 40)
 SEASON = 1998
+FILE_SEASONS = range(1996, 1999)  # the seasons that are read back from files
+ALL_SEASONS = range(1990, 2010)
+LATE_WEEK = 20  # what comes after it arrives late in the season that is built twice
+BUCKETS = 8
 RULES = qb.AwardRules(
     first_season=1995,
     left_out_seasons=(1996,),
@@ -135,6 +140,42 @@ class Tables:
         return am.score(cut_lineage(self.labelled), COEFFICIENTS)
 
 
+class FileTables(Tables):
+    """The same jobs over files: a derived table is written as a feed when first asked for, and read back by its reader.
+
+    Large feeds are read for some seasons only. Lists go through text, with other columns before and behind.
+    """
+
+    FEED = {"teams": "team_logos", "mvps": "award_winners"}
+
+    def __init__(self, spark: SparkSession, folder: str, seasons=FILE_SEASONS):
+        super().__init__(spark, folder)
+        self.seasons = seasons
+        self.feeds = FeedFolder(spark, f"{checkpoint_folder(spark)}/feeds-{uuid.uuid4().hex}")
+        self._written: set[str] = set()
+
+    def write(self, feed: str, name: str) -> None:
+        if feed not in self._written:
+            df = self._derived.table(f"fx_{name}")
+            if FEEDS[feed].text:
+                df = df.select(F.lit("x").alias("first"), *reversed(df.columns), F.lit(None).cast("string").alias("last"))
+            self.feeds.write(feed, df)
+            self._written.add(feed)
+
+    def view(self, name: str) -> DataFrame:
+        feed = self.FEED.get(name, name)
+        self.write(feed, name)
+        return self.feeds.read(feed, self.seasons if FEEDS[feed].by_season else None)
+
+    def valid_plays(self, weeks: tuple[int, int]) -> DataFrame:
+        self.write("plays", "plays")
+        return plays.valid_plays(self.feeds.read("plays", self.seasons, valid_only=True, weeks=weeks))
+
+    def team_list(self) -> DataFrame:
+        self.write("teams", "teams")
+        return self.feeds.read("teams")
+
+
 def rounded(df: DataFrame) -> DataFrame:
     """Doubles to a fixed number of digits, for comparing results across engines."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
@@ -165,7 +206,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "schedule_team_rows": lambda t: t.games,
     "schedule_team_rows_inverted": lambda t: games.team_rows(t.view("schedules"), invert=["spread_line"]),
     "game_results": lambda t: games.with_result(t.games).withColumn("final_score", games.score_text()),
-    "standings_relabelled": lambda t: t.standings,
+    "standings_relabelled": lambda t: _files(t).standings,
     "season_results": lambda t: _written(t.games),
     "season_standing": lambda t: season_standings(t.standings, SEASON),
     "team_week_points": lambda t: games.team_week_points(t.games, "team_score"),
@@ -207,12 +248,24 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "qb_season": lambda t: t.qb_season,
     "qb_ranks": lambda t: t.qb_ranks,
     "qb_win_rank": lambda t: qb.with_win_rank(t.qb_ranks, t.standings),
-    "award_winners": lambda t: qb.winners(t.view("mvps"), RULES.first_season),
+    "award_winners": lambda t: qb.winners(_files(t).view("mvps"), RULES.first_season),
     "qb_labelled": lambda t: qb.by_season_and_name(t.labelled),
     "missing_cells": lambda t: qb.missing_cells(t.labelled),
     "class_counts": lambda t: qb.frequencies(t.labelled, "mvp"),
     "train_seasons": lambda t: qb.frequencies(qb.training_rows(t.labelled, RULES), "season"),
     "test_seasons": lambda t: qb.frequencies(qb.testing_rows(t.labelled, RULES), "season"),
+    # files by season and week
+    "file_valid_plays": lambda t: _files(t).valid_plays(WEEKS),
+    "file_charting": lambda t: _files(t).view("charting"),
+    "file_schedule_team_rows": lambda t: _files(t).games,
+    "file_player_stats": lambda t: _files(t).player_stats,
+    "file_team_choices": lambda t: games.current_teams(_files(t).team_list(), ["T05", "T17"]).select("team_abbr"),
+    "file_off_week_report": lambda t: _files(t).week_report("offense"),
+    "file_receiver_breakdown": lambda t: receivers.receiver_breakdown(_files(t).receiver_game),
+    "file_qb_season": lambda t: _files(t).qb_season,
+    "kept_off_eff_summary": lambda t: _kept(t, "offense"),
+    "kept_def_eff_summary": lambda t: _kept(t, "defense"),
+    "plays_charted_bucketed": lambda t: _bucketed(t),
     # award, with a given model
     "season_prob": lambda t: t.scored.select(
         "season", "team", "player_display_name", "player_id", "mvp", "pred", "pred_mvp", "mvp_prob"
@@ -229,7 +282,7 @@ BUILDERS: dict[str, Callable[[Tables], DataFrame]] = {
     "mvp_score_equations": lambda t: _fitted(t, lambda run: am.score_equations(run.train, run.model)),
     "mvp_null_fit": lambda t: _fitted(t, lambda run: am.fit_table(t.spark, run.model)).select(*NULL_FIT),
     "mvp_season_shares": lambda t: _fitted(t, lambda run: _shares(run.train.unionByName(run.test))),
-    "mvp_fit": lambda t: _fitted(t, lambda run: am.fit_table(t.spark, run.model)),
+    "mvp_fit": lambda t: _fitted(t, lambda run: am.fit_table(t.spark, run.model).drop("iterations")),
     "mvp_test_metrics": lambda t: _fitted(t, lambda run: am.binary_metrics(am.confusion(run.test))),
 }
 
@@ -238,7 +291,7 @@ NULL_FIT = ("rows", "null_df", "residual_df", "null_deviance")
 
 
 def _limits(run) -> DataFrame:
-    return am.profile_intervals(run.train, run.model, tolerance=0.01)
+    return am.profile_intervals(run.train, run.model, tolerance=1e-8)
 
 
 def _shares(scored: DataFrame) -> DataFrame:
@@ -257,6 +310,33 @@ def _written(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.parquet(path)
 
 
+def _files(t: Tables) -> FileTables:
+    return FileTables(t.spark, t.folder)
+
+
+def _kept(t: Tables, side: str) -> DataFrame:
+    """Totals kept from feeds that lack the end of one season, refreshed for that season when it arrives, and served."""
+    files = FileTables(t.spark, t.folder, ALL_SEASONS)
+    for feed, name in (("charting", "charting"), ("schedules", "schedules"), ("team_logos", "teams")):
+        files.write(feed, name)
+    everything = cut_lineage(t._derived.table("fx_plays"))
+    late = (F.col("season") == SEASON) & (F.col("week") > LATE_WEEK)
+    kept = KeptTotals(t.spark, f"{files.feeds.path}/kept")
+    files.feeds.write("plays", everything.filter(~late))
+    kept.refresh(files.feeds, ALL_SEASONS)
+    files.feeds.write("plays", everything.filter(late))
+    kept.refresh(files.feeds, [SEASON])
+    return kept.summary(side, t.standings)
+
+
+def _bucketed(t: Tables) -> DataFrame:
+    """Both sides stored in buckets of the join key, and joined from there."""
+    names = {name: f"{name}_{uuid.uuid4().hex}" for name in ("plays", "charting")}
+    for (name, stored), keys in zip(names.items(), (schemas.PLAY_KEY, schemas.CHARTING_KEY)):
+        write_bucketed(t.view(name), stored, keys, BUCKETS, path=f"{checkpoint_folder(t.spark)}/{stored}")
+    return plays.join_charting(*[t.spark.table(stored) for stored in names.values()])
+
+
 def _fitted(t: Tables, result: Callable) -> DataFrame:
     return result(run_award_model(t.labelled, RULES))
 

@@ -123,6 +123,8 @@ def with_views(query: str) -> str:
     if not parts:
         return query
     text = query.strip()
+    if text.lower().startswith("with recursive "):
+        return "with recursive " + ",\n".join(parts) + ",\n" + text[15:]
     if text.lower().startswith("with "):
         return "with " + ",\n".join(parts) + ",\n" + text[5:]
     return "with " + ",\n".join(parts) + "\n" + text

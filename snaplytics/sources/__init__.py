@@ -1,3 +1,4 @@
+from snaplytics.sources.feeds import FEEDS, FeedFolder  # noqa: F401
 from snaplytics.sources.readers import (  # noqa: F401
     conform,
     read_award_winners,
@@ -10,4 +11,4 @@ from snaplytics.sources.readers import (  # noqa: F401
     read_teams,
     season_standings,
 )
-from snaplytics.sources.sinks import write_bucketed, write_results  # noqa: F401
+from snaplytics.sources.sinks import replace_seasons, write_bucketed, write_results, write_text  # noqa: F401

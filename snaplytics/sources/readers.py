@@ -61,18 +61,28 @@ def _conformed(
 def _csv(spark: SparkSession, path: str, schema: StructType) -> DataFrame:
     # Named, not positional: the files carry more columns, in an order that may change.
     # A given schema would be laid over the columns by position, so read text and cast.
-    raw = spark.read.csv(path, header=True, nullValue="NA")
+    blanks = {"ignoreLeadingWhiteSpace": True, "ignoreTrailingWhiteSpace": True}
+    raw = spark.read.csv(path, header=True, nullValue="NA", emptyValue="", **blanks)
     require(raw, schema.fieldNames())
-    return raw.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
+    numbers = [f.name for f in schema.fields if isinstance(f.dataType, NumericType)]
+    # Whole numbers may be written as 12.0.
+    known = nan_to_null(raw.withColumns({c: F.col(c).cast("double") for c in numbers}))
+    return known.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in schema.fields])
 
 
-def read_plays(spark: SparkSession, path: str, seasons: Seasons = None, valid_only: bool = False) -> DataFrame:
+def read_plays(
+    spark: SparkSession, path: str, seasons: Seasons = None, valid_only: bool = False, weeks: tuple[int, int] | None = None
+) -> DataFrame:
     """Plays as stored, or only those that can count in a report (see ``plays.is_play``).
 
+    ``weeks`` are the first and last week wanted; stored in folders by week, others are not opened.
     ``valid_only`` filters the stored columns before they are converted, so that the files
     can skip rows by it, whatever numeric type they hold.
     """
     raw = spark.read.parquet(path)
+    if weeks is not None:
+        require(raw, ["week"])
+        raw = raw.filter(F.col("week").between(min(weeks), max(weeks)))
     if valid_only:
         require(raw, ["epa", "pass", "rush"])
         raw = raw.filter(F.col("epa").isNotNull() & ((F.col("pass") == 1) | (F.col("rush") == 1)))

@@ -16,6 +16,27 @@ def write_results(df: DataFrame, path: str, partition_by: Sequence[str] = ("seas
     writer.partitionBy(*partition_by).parquet(path)
 
 
+def replace_seasons(df: DataFrame, path: str, seasons: Sequence[int]) -> None:
+    """Write ``df`` by season in place of ``seasons``; those of them without a row any more go, others stay.
+
+    ``df`` is read twice, and must hold no other season.
+    """
+    held = {r["season"] for r in df.select("season").distinct().collect()}  # one row per season
+    strange = held - set(seasons)
+    if strange:
+        raise ValueError(f"seasons not asked for: {sorted(strange, key=str)}")
+    write_results(df, path)
+    spark = df.sparkSession
+    for season in sorted(set(seasons) - held):
+        folder = spark._jvm.org.apache.hadoop.fs.Path(f"{path.rstrip('/')}/season={season}")
+        folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)
+
+
+def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
+    """CSV with a header, missing values as NA; empty texts are quoted, so they stay texts."""
+    df.write.mode(mode).csv(path, header=True, nullValue="NA", emptyValue='""')
+
+
 def write_bucketed(
     df: DataFrame,
     table: str,

@@ -34,7 +34,7 @@ NOT_WANTED = ("PythonUDF", "ArrowEvalPython", "BatchEvalPython", "MapInPandas",
 
 
 # In the smallest tables the classes separate: there is no largest likelihood whose equations could hold.
-NO_FIT = {"mvp_score_equations"}
+NO_FIT = {"mvp_score_equations", "mvp_coefficients", "mvp_fit", "mvp_model_scored", "mvp_test_metrics"}
 
 
 @pytest.mark.parametrize("name", sorted(set(oracle_sql()) - NO_FIT))
@@ -45,3 +45,9 @@ def test_query_equals_sql(spark, engine, name):
     # No Python per row, no product of tables, no window over everything.
     assert [operator for operator in NOT_WANTED if operator in text] == []
     assert not re.search(r"windowspecdefinition\([^,()]+ (ASC|DESC)", text)
+
+
+@pytest.mark.parametrize("name", sorted(NO_FIT))
+def test_fitted_model_equals_sql(spark, name):
+    folder = "/root/testdata/sf0.01"
+    assert difference(queries()[name](spark, folder), connect(folder), oracle_sql()[name]) is None
