@@ -30,7 +30,7 @@ SEGMENTS = ((0, 22), (22, 43), (43, 64))  # a third of four differing bits is at
 SHINGLE_WORDS = 4
 SEED = 42
 BLOCK = 65_536
-LONG_RUN = 2_048
+LONG_RUN = 32_768
 
 
 def fingerprint(text: bytes, width: int = SHINGLE_WORDS) -> int:
@@ -75,39 +75,44 @@ def _near(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def linked(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-    """Edges that connect all of ``fps`` (distinct, of one key) which links of at most four bits connect."""
-    if len(fps) > LONG_RUN:
-        return _linked_by_parts(fps)
-    a, b = [], []
-    for i in range(len(fps) - 1):
-        near = fps[i + 1 :][_near(fps[i], fps[i + 1 :])]
-        a.append(np.full(len(near), fps[i]))
-        b.append(near)
-    a, b = (np.concatenate(x) if x else fps[:0] for x in (a, b))
-    return spanning_edges(a, b)
+    """A spanning forest of ``fps`` (distinct, of one key) under links of at most four bits."""
+    return _forest(fps) if len(fps) <= LONG_RUN else _linked_by_parts(fps)
+
+
+def _forest(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Each fingerprint reached is compared once with those not reached yet, so links are found and dropped
+    from the search as they come: a dense group is soon used up, and no list of pairs is held."""
+    found_a, found_b, waiting, left = [fps[:0]], [fps[:0]], [], fps
+    while len(left):
+        if waiting:
+            now = waiting.pop()
+        else:
+            now, left = left[0], left[1:]
+        near = _near(now, left)
+        reached = left[near]
+        if len(reached):
+            found_a.append(np.full(len(reached), now))
+            found_b.append(reached)
+            waiting.extend(reached)
+            left = left[~near]
+    return np.concatenate(found_a), np.concatenate(found_b)
 
 
 def _linked_by_parts(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """For a long run: the same cut on all 64 bits in six parts. Four differing bits leave two of
-    six parts equal, so the pairs of parts are keys of 20 to 22 bits; runs of these are compared in blocks."""
+    six parts equal, so the pairs of parts are keys of 20 to 22 bits; what one of them holds is searched by
+    itself, and what all of them link is reduced to a forest after each pair."""
     cuts = [0, 11, 22, 33, 43, 54, 64]
     masks = [np.uint64((1 << b) - (1 << a)) for a, b in zip(cuts, cuts[1:])]
-    found_a, found_b = [fps[:0]], [fps[:0]]
+    a, b = fps[:0], fps[:0]
     for i in range(6):
         for j in range(i + 1, 6):
             key = fps & (masks[i] | masks[j])
             order = np.argsort(key, kind="stable")
-            key, own = key[order], fps[order]
-            for step in range(1, len(own)):
-                same = np.flatnonzero(key[step:] == key[:-step])
-                if not len(same):
-                    break
-                near = same[_near(own[same], own[same + step])]
-                found_a.append(own[near])
-                found_b.append(own[near + step])
-            a, b = spanning_edges(np.concatenate(found_a), np.concatenate(found_b))
-            found_a, found_b = [a], [b]
-    return found_a[0], found_b[0]
+            own = fps[order]
+            found = [_forest(same) for same in np.split(own, np.flatnonzero(np.diff(key[order])) + 1) if len(same) > 1]
+            a, b = spanning_edges(np.concatenate([a, *[x for x, _ in found]]), np.concatenate([b, *[y for _, y in found]]))
+    return a, b
 
 
 def _edges_of(keys: np.ndarray, fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
