@@ -389,9 +389,14 @@ BYTES = "h long, c long, ref long, place long, before binary, after binary"
 
 
 def _fetched(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The bytes around the needed places of each text."""
+    """The bytes around the needed places of each text. Repeated rows come with the needs of all of them, so the
+    first one of a task serves the others, too."""
+    seen = set()
     for batch in batches:
-        for text, needs in zip(batch.column(0).to_pylist(), batch.column(1)):
+        for doc_id, key, text, needs in zip(*[batch.column(i).to_pylist() for i in range(3)], batch.column(3)):
+            if (doc_id, key) in seen:
+                continue
+            seen.add((doc_id, key))
             own = needs.values
             place, before, after = _unpacked(own.field("a").to_numpy())
             bounds = list(zip(place.tolist(), before.tolist(), after.tolist()))
@@ -481,7 +486,8 @@ def covered_spans(texts: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     def surroundings(large: bool) -> DataFrame:
         needs = met.filter((F.col("kind") == NEEDED) & (F.col("large") == large)).join(documents, "ref")
         needs = needs.groupBy("doc_id", "text_key").agg(F.collect_list(F.struct("h", "c", "ref", "a")).alias("needs"))
-        return keyed.join(needs, _same_text(keyed, needs)).select("text", "needs").mapInArrow(_fetched, BYTES)
+        joined = keyed.join(needs, _same_text(keyed, needs))
+        return joined.select(keyed["doc_id"], keyed["text_key"], "text", "needs").mapInArrow(_fetched, BYTES)
 
     passages = surroundings(True).mapInArrow(_passages, "k1 long, k2 long, ref long, a long")
     # Two ends that differ are two places; repeated documents bring the same place twice.
@@ -497,7 +503,8 @@ def covered_spans(texts: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame
     for more in spans[2:]:
         every = every.unionByName(more)
     per_text = every.join(documents, "ref").groupBy("doc_id", "text_key")
-    return per_text.agg(F.collect_list(F.struct("a", "b")).alias("spans")).select("doc_id", "text_key", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
+    # Repeated rows bring the same spans.
+    return per_text.agg(F.collect_set(F.struct("a", "b")).alias("spans")).select("doc_id", "text_key", F.col("spans.a").alias("a"), F.col("spans.b").alias("b"))
 
 
 def remove_passages(docs: DataFrame, large_group: int = LARGE_GROUP) -> DataFrame:
