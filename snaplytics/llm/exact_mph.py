@@ -1,10 +1,12 @@
 """Exact duplicate removal by a minimal perfect hash over known digests.
 
-The digests seen before ("history": earlier documents, or the digests that a first pass finds
-more than once in the table itself) go into sharded minimal perfect hashes. Every slot holds
+The distinct digests seen before ("history": earlier documents, or one half of the table's own
+rows, drawn by row number) go into sharded minimal perfect hashes. Every slot holds
 the full digest and the locator of the row that won it. A lookup computes one slot and
 compares all bytes of the digest there: equal means the document repeats a known text,
-anything else means it is new. New documents are grouped among themselves.
+anything else means it is new. New documents are grouped among themselves. Where the history is a part
+of the table, repeats found in the other part may win over the row in the slot, so the slots are
+then filled again with the final locators, and all rows of known texts read theirs from there.
 
 A hash is a cascade of bit arrays: keys that meet no other key in an array rest there, the
 others go on to the next array; the rank of a key's bit is its slot. All steps are numpy
@@ -182,11 +184,29 @@ def shards_for(rows: DataFrame) -> int:
     return max(1, math.ceil(rows.count() / TARGET_ROWS))
 
 
-def _decided(rows: DataFrame, shards: int, known: DataFrame) -> DataFrame:
+NARROW = [field.split()[0] for field in FIELDS.split(", ")]
+
+
+def _grouped(new: DataFrame) -> DataFrame:
+    """Rows that repeat no known text, with the winners among themselves."""
+    return new.join(winners(new), "digest").select(*NARROW, "keep_row", "keep_id", "group_size")
+
+
+def _against(rows: DataFrame, shards: int, known: DataFrame) -> DataFrame:
+    """``rows`` decided by a history apart from them."""
     found = stored(look_up(rows, build_index(known, shards), shards), "lookups", "none")
-    new = found.filter(F.col("keep_row").isNull()).drop("keep_row", "keep_id", "group_size")
-    grouped = new.join(winners(new), "digest").select(*found.columns)
-    return found.filter(F.col("keep_row").isNotNull()).unionByName(grouped)
+    new = found.filter(F.col("keep_row").isNull()).select(*NARROW)
+    return found.filter(F.col("keep_row").isNotNull()).unionByName(_grouped(new))
+
+
+def _by_halves(rows: DataFrame, shards: int) -> DataFrame:
+    """``rows`` decided by one half as the history of the other."""
+    early = F.pmod(F.xxhash64("row"), F.lit(2)) == 0
+    history = rows.filter(early)
+    asked = stored(look_up(rows.filter(~early), build_index(winners(history), shards), shards), "lookups", "none")
+    known = history.unionByName(asked.filter(F.col("keep_row").isNotNull()).select(*NARROW))
+    settled = look_up(known, build_index(winners(known), shards), shards)
+    return settled.unionByName(_grouped(asked.filter(F.col("keep_row").isNull()).select(*NARROW)))
 
 
 def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, row: Column | None = None) -> DataFrame:
@@ -202,11 +222,10 @@ def exact_duplicates(docs: DataFrame, history: DataFrame | None = None, row: Col
     rows = digest_rows(docs, row)
     shards = shards_for(rows)
     if history is None:
-        known = winners(rows).filter("group_size > 1")
+        out = _by_halves(rows, shards)
     else:
         # Rows of the history are numbered apart, below zero, so none of them is a row of ``docs``.
-        known = winners(digest_rows(history).withColumn("row", -1 - F.col("row")))
-    out = _decided(rows, shards, known)
+        out = _against(rows, shards, winners(digest_rows(history).withColumn("row", -1 - F.col("row"))))
     none = F.lit(-(2**63))
     return out.select(
         "row",

@@ -278,3 +278,53 @@ def test_deep_shallow_sort(texts):
     order, agreed = sd.deep_shallow_sort(texts)
     assert sorted(order) == list(range(len(texts))) and [texts[i] for i in order] == sorted(texts)
     assert all(agreed[k] == sd.common_prefix(texts[order[k - 1]], texts[order[k]]) for k in range(1, len(order)))
+
+
+def test_history_decides_by_lookup(spark, monkeypatch):
+    """One half of the rows is looked up in the other's hash: without lookups, repeats across the halves stay."""
+    docs = spark.createDataFrame([(i, f"text {i // 6}") for i in range(60)], "doc_id long, text string")
+    kept = lambda: exact_mph.exact_duplicates(docs).filter("kept").count()
+    assert kept() == 10
+    true_lookup = exact_mph.look_up
+    none = F.lit(None).cast("long")
+    forget = lambda rows, index, shards: true_lookup(rows, index, shards).withColumns(dict.fromkeys(("keep_row", "keep_id", "group_size"), none))
+    calls = []
+    monkeypatch.setattr(exact_mph, "look_up", lambda *args: calls.append(1) or (forget if len(calls) == 1 else true_lookup)(*args))
+    assert kept() == 20
+
+
+def test_a_dense_run_of_near_fingerprints_stays_small():
+    """40,000 fingerprints around a few centres under one key: a forest, found without lists of pairs."""
+    import tracemalloc
+
+    rng = np.random.default_rng(4)
+    centres = rng.integers(0, 2**63, 5, np.uint64)
+    flips = np.uint64(1) << rng.integers(0, 64, (40_000, 3)).astype(np.uint64)
+    fps = np.unique(centres[rng.integers(0, 5, 40_000)] ^ np.bitwise_xor.reduce(flips, axis=1))
+    tracemalloc.start()
+    a, b = sv.linked(fps)
+    assert tracemalloc.get_traced_memory()[1] < 100e6
+    tracemalloc.stop()
+    u, v = sv._forest(fps)
+    assert len(a) == len(u)  # as many edges, so as many components
+    assert sv._near(u, v).all()
+
+
+def test_forest_connects_what_links_connect():
+    rng = np.random.default_rng(7)
+    for n in (2, 30, 300):
+        fps = np.unique(rng.integers(0, 2**9, n, np.uint64) * np.uint64(0x0101010101010101) ^ (np.uint64(1) << rng.integers(0, 64, n).astype(np.uint64)))
+        i, j = np.triu_indices(len(fps), 1)
+        near = sv._near(fps[i], fps[j])
+        all_a, all_b = components.spanning_edges(fps[i][near], fps[j][near])
+        for a, b in (sv._forest(fps), sv._linked_by_parts(fps)):
+            nodes, roots = components.spanning_edges(np.concatenate([a, all_a]), np.concatenate([b, all_b]))
+            assert len(a) == len(all_a) == len(nodes)  # both forests together link no more than each
+
+
+def test_repeated_rows_cost_no_more_than_others(spark):
+    """Rows that repeat id and text: every row is judged, and each place is fetched once."""
+    passage = " ".join(f"w{i}" for i in range(120))
+    docs = spark.createDataFrame([(1, passage)] * 2_000 + [(2, "alone " * 3)], "doc_id long, text string").repartition(4)
+    out = sd.remove_passages(docs).groupBy("doc_id", "n_bytes", "n_removed", "n_spans").count().collect()
+    assert sorted(tuple(r) for r in out) == [(1, len(passage), len(passage), 1, 2_000), (2, 18, 0, 0, 1)]
