@@ -16,7 +16,7 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from checks.compare import connect, difference
 from snaplytics.llm import online_packing as op, registry, token_files as tf, warc_segments as ws, weighted_mix as wm
-from snaplytics.llm.cached_tokens import CachedTokenizer
+from snaplytics.llm.cached_tokens import UNSURE, CachedTokenizer
 from snaplytics.llm.common import shared_folder
 from tests.llm.edge_cases import edge_documents, no_documents, prose, with_clashes
 
@@ -309,3 +309,13 @@ def test_pipeline_takes_empty_and_odd_documents(spark):
             path = shared_folder(spark, "stage")
             stage(spark, docs, FOLDER).write.parquet(path)
             docs = spark.read.parquet(path)
+
+
+def test_whole_texts_by_ranks_equal_the_tokenizer():
+    """Every character the ranks are trusted with, beside letters, digits, signs and blanks; and long runs."""
+    cached, whole = CachedTokenizer(BYTE_BPE), plain(BYTE_BPE)
+    assert cached.ranked is not None and CachedTokenizer(WORD_BPE).ranked is None
+    trusted = [c for c in map(chr, range(0x250)) if not UNSURE.search(c)]
+    assert len(trusted) > 500
+    texts = [f"a{c}b {c}1{c} {c}{c}. \n{c}\n" for c in trusted] + ["ab" * 20_000, " " * 3_000 + "x", "ł'S'll " * 50, "日本 a"]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in cached.encode(texts)] == [whole(t) for t in texts]
