@@ -22,6 +22,7 @@ import heapq
 import struct
 from array import array
 from collections.abc import Iterator, Sequence
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -48,15 +49,26 @@ RESULT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, n_best l
 Frame = tuple[np.ndarray, np.ndarray]  # ascending pair keys, their counts
 
 
-# Alignment of one text
+# Alignment
+
+
+@dataclass(frozen=True)
+class Aligned:
+    """A text cut into the same bytes by both: numbers of ids, groups and links, links as 32-bit pair keys, hash of the groups."""
+
+    n_a: int
+    n_b: int
+    n_groups: int
+    links: np.ndarray
+    groups_sha256: str
 
 
 class Aligner:
     """Ids of both tokenizers and their links. ``None`` stands for texts that are not cut into the same bytes.
 
     A single blank between other characters starts a token in both vocabularies, and so does a line
-    break, so texts are cut there and each distinct unit is aligned once per worker. Where
-    other white space might matter, or a vocabulary has tokens across blanks, texts are aligned whole.
+    break, so texts are cut there and each distinct unit is encoded once per worker. Where
+    other white space might matter, or a vocabulary has tokens across blanks, texts are encoded whole.
     """
 
     def __init__(self, path_a: str, path_b: str):
@@ -74,7 +86,10 @@ class Aligner:
         self.b_bytes = [bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace(BLANK, " ").encode() for i, p in enumerate(pieces)]
         self.cuts = not any(BLANK in p.lstrip(BLANK) or "\n" in p for p in pieces)
         self.blank = self.b.piece_to_id(BLANK)
-        self.units: dict[str, tuple | None] = {}
+        self.sizes = tuple(np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
+        # An id as text, with what stands behind it inside its group's side, and at that side's end.
+        self.names = [f"{i}{end}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for end in (",", last)]
+        self.units: dict[str, tuple[bytes, ...]] = {}  # ids of both, or nothing
 
     def _units(self, text: str) -> list[str]:
         """What a text is cut into: what stands behind a blank, or a line break and what stands behind it, or WHOLE and the text."""
@@ -82,7 +97,7 @@ class Aligner:
             return [WHOLE + text]
         return text.replace("\n", " \n").split(" ")
 
-    def _aligned(self, unit: str, a: Sequence[int], b: Sequence[int]) -> tuple | None:
+    def _checked(self, unit: str, a: Sequence[int], b: Sequence[int]) -> tuple[bytes, ...]:
         if unit[0] == "\n":  # no blank stands before a line break
             given = unit.encode()
             if b[0] != self.blank:
@@ -90,48 +105,57 @@ class Aligner:
             b = b[1:]
         else:
             given = b" " + unit.removeprefix(WHOLE).encode()
-        parts_a, parts_b = [self.a_bytes[i] for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(parts_a) != given or b"".join(parts_b) != given:
-            return None
-        links, groups, first_a, first_b, i, j = [], [], 0, 0, 0, 0
-        behind = len(parts_a[0]) - len(parts_b[0])  # how far the token of A ends behind that of B
-        while True:
-            links.append(a[i] << 16 | b[j])
-            if behind < 0:
-                i += 1
-                behind += len(parts_a[i])
-            elif behind > 0:
-                j += 1
-                behind -= len(parts_b[j])
-            else:
-                i, j = i + 1, j + 1
-                groups.append(f"{','.join(map(str, a[first_a:i]))}|{','.join(map(str, b[first_b:j]))}")
-                if i == len(a):
-                    break
-                first_a, first_b = i, j
-                behind = len(parts_a[i]) - len(parts_b[j])
-        return len(a), len(b), len(groups), array("I", links).tobytes(), ";".join(groups)
-
-    def align(self, texts: Sequence[str | None]) -> list[tuple | None]:
-        """Per text (ids of A, ids of B, groups, links as 32-bit pair keys, groups as text), or None."""
+        if b"".join([self.a_bytes[i] for i in a]) != given or b"".join([self.b_bytes[i] for i in b]) != given:
+            return ()
+        return array("H", a).tobytes(), array("H", b).tobytes()
+
+    def encode(self, texts: Sequence[str | None]) -> list[tuple[bytes, bytes] | None]:
+        """Per text the ids of both as 16-bit numbers, or None."""
         cut = [self._units(t) if t else [] for t in texts]
-        held = self.units
-        new = list({u for units in cut for u in units if u not in held})
-        bare = [u.removeprefix(WHOLE) for u in new]
-        ids_a = self.a.encode_batch_fast([u if u[0] == "\n" else " " + t for u, t in zip(new, bare)], add_special_tokens=False)
-        ids_b = self.b.encode(bare, num_threads=1) if new else []
-        added = {u: self._aligned(u, a.ids, b) for u, a, b in zip(new, ids_a, ids_b)}
-        room = max(0, MAX_UNITS - len(held))
-        held.update([(u, x) for u, x in added.items() if len(u) <= MAX_UNIT][:room])
-        out = []
-        for units in cut:
-            parts = [held[u] if u in held else added[u] for u in units]
-            if not parts or None in parts:
-                out.append(None)
-                continue
-            n_a, n_b, n_groups, links, groups = zip(*parts)
-            out.append((sum(n_a), sum(n_b), sum(n_groups), b"".join(links), ";".join(groups)))
-        return out
+        parts = [list(map(self.units.get, units)) for units in cut]
+        new = list({u for units, own in zip(cut, parts) if None in own for u, x in zip(units, own) if x is None})
+        if new:
+            bare = [u.removeprefix(WHOLE) for u in new]
+            ids_a = self.a.encode_batch_fast([u if u[0] == "\n" else " " + t for u, t in zip(new, bare)], add_special_tokens=False)
+            added = {u: self._checked(u, a.ids, b) for u, a, b in zip(new, ids_a, self.b.encode(bare, num_threads=1))}
+            for units, own in zip(cut, parts):
+                if None in own:
+                    own[:] = [added[u] if x is None else x for u, x in zip(units, own)]
+            room = max(0, MAX_UNITS - len(self.units))
+            self.units.update([(u, x) for u, x in added.items() if len(u) <= MAX_UNIT][:room])
+        # One unit that gives back other bytes ends the zip at once, and no text remains.
+        return [tuple(map(b"".join, zip(*own))) or None for own in parts]
+
+    def align(self, texts: Sequence[str | None]) -> list[Aligned | None]:
+        """Texts one after the other in one sequence of bytes. Both tokenizers' ends cut it into
+        stretches; each stretch lies in one token of either, and so is one link."""
+        ids = self.encode(texts)
+        known = [x for x in ids if x is not None]
+        if not known:
+            return [None] * len(texts)
+        counts = [np.fromiter((len(x[side]) // 2 for x in known), np.int64, len(known)) for side in (0, 1)]
+        a, b = (np.frombuffer(b"".join(x[side] for x in known), "<u2").astype(np.int64) for side in (0, 1))
+        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
+        text_ends = ends_a[np.cumsum(counts[0]) - 1]
+        ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
+        twice = ends[1:] == ends[:-1]
+        stretches, groups = ends[np.concatenate([[True], ~twice])], ends[1:][twice]
+        links = (a[np.searchsorted(ends_a, stretches)] << 16 | b[np.searchsorted(ends_b, stretches)]).astype("<u4")
+        digests = self._group_digests(a, b, ends_a, ends_b, groups, counts[0] + counts[1])
+        last_link = np.searchsorted(stretches, text_ends, "right")
+        n_groups = np.diff(np.searchsorted(groups, text_ends, "right"), prepend=0).tolist()
+        own = np.split(links, last_link[:-1])
+        found = map(Aligned, counts[0].tolist(), counts[1].tolist(), n_groups, own, digests)
+        return [None if x is None else next(found) for x in ids]
+
+    def _group_digests(self, a, b, ends_a, ends_b, groups, tokens) -> list[str]:
+        group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
+        order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
+        names = np.concatenate([2 * a + (groups[group_a] == ends_a), 2 * (len(self.a_bytes) + b) + (groups[group_b] == ends_b)])[order]
+        written = list(map(self.names.__getitem__, names.tolist()))
+        last = np.cumsum(tokens).tolist()
+        texts = ("".join(written[start:end])[:-1] for start, end in zip([0, *last], last))
+        return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
 
 
 _workers: dict[tuple[str, str], Aligner] = {}
@@ -227,8 +251,10 @@ def highest(keys: np.ndarray, counts: np.ndarray) -> np.ndarray:
 # Jobs
 
 
-def _distinct(links: bytes) -> tuple[bytes, bytes]:
-    keys, times = np.unique(np.frombuffer(links, "<u4"), return_counts=True)
+def _distinct(aligned: Aligned | None) -> tuple[bytes, bytes]:
+    if aligned is None:
+        return b"", b""
+    keys, times = np.unique(aligned.links, return_counts=True)
     return keys.tobytes(), times.astype("<u4").tobytes()
 
 
@@ -238,9 +264,8 @@ CHUNK_SCHEMA = f"chunk long, radix int, {DOCUMENT}, keys binary, times binary, r
 
 def _document_rows(chunk: int, doc_ids: list, aligned: list, pairs: list) -> pa.RecordBatch:
     n = len(doc_ids)
-    numbers = [[x[i] if x else 0 for x in aligned] for i in range(3)]
-    numbers.append([len(x[3]) // 4 if x else 0 for x in aligned])
-    digests = [hashlib.sha256(x[4].encode()).hexdigest() if x else "" for x in aligned]
+    numbers = zip(*[(x.n_a, x.n_b, x.n_groups, len(x.links)) if x else (0, 0, 0, 0) for x in aligned])
+    digests = [x.groups_sha256 if x else "" for x in aligned]
     columns = [pa.array([chunk] * n, pa.int64()), pa.nulls(n, pa.int32()), pa.array(doc_ids, pa.int64())]
     columns += [pa.array(x, pa.int64()) for x in numbers] + [pa.array(digests)]
     columns += [pa.array([p[i] for p in pairs], pa.binary()) for i in (0, 1)] + [pa.nulls(n, pa.binary())]
@@ -267,7 +292,7 @@ def _chunks(path_a: str, path_b: str):
             for at in range(0, batch.num_rows, TEXTS_AT_ONCE):
                 part = batch.slice(at, TEXTS_AT_ONCE)
                 aligned = aligner.align(part.column(1).to_pylist())
-                pairs = [_distinct(x[3] if x else b"") for x in aligned]
+                pairs = list(map(_distinct, aligned))
                 yield _document_rows(chunk, part.column(0).to_pylist(), aligned, pairs)
                 held += [keys for keys, _ in pairs]
                 records += sum(len(keys) // 4 for keys, _ in pairs)
