@@ -20,6 +20,7 @@ from snaplytics.session import checkpoint_folder, cut_lineage
 from snaplytics.sources import FEEDS, FeedFolder, conform, season_standings, write_bucketed, write_results
 
 DIGITS = 6
+LIMIT_DIGITS = 3
 TEAM = "T03"
 WEEKS = (5, 40)
 SEASON = 1998
@@ -176,10 +177,10 @@ class FileTables(Tables):
         return self.feeds.read("teams")
 
 
-def rounded(df: DataFrame) -> DataFrame:
+def rounded(df: DataFrame, digits: int = DIGITS) -> DataFrame:
     """Doubles to a fixed number of digits, for comparing results across engines."""
     doubles = [f.name for f in df.schema.fields if isinstance(f.dataType, DoubleType)]
-    scale = 10.0**DIGITS
+    scale = 10.0**digits
     return df.withColumns({c: F.floor(F.col(f"`{c}`") * scale + 0.5) / scale for c in doubles}) if doubles else df
 
 
@@ -291,7 +292,9 @@ NULL_FIT = ("rows", "null_df", "residual_df", "null_deviance")
 
 
 def _limits(run) -> DataFrame:
-    return am.profile_intervals(run.train, run.model, tolerance=1e-8)
+    """Limits as searched for, to fewer digits: one of them lies on the edge between two sixth digits."""
+    limits = am.profile_intervals(run.train, run.model, tolerance=1e-8)
+    return rounded(limits, LIMIT_DIGITS)
 
 
 def _shares(scored: DataFrame) -> DataFrame:
