@@ -7,12 +7,16 @@ of a text is fitted by minimising the non-negative unbiased risk
 
 with the logistic loss. The second term estimates the risk on bad documents, which nobody has
 marked, as that on web text less the good share of it; where it would fall below zero, which
-only overfitting does, the step goes up instead of down. The class prior is estimated as the share of
-good ones among the labelled training documents.
+only overfitting does, the step goes up instead of down. Labels that call a document bad are never read.
+
+The class prior comes from the same two kinds of documents. Above any score t web text holds at least
+the good share of it, P_web(s > t) >= prior * P_good(s > t), with equality where no bad text scores; so
+the prior is the least ratio of the two, at the t where its confidence bound is lowest. A
+first model is fitted on one half of the training rows, and the shares are counted over all rows of the other half.
 
 Features are shares of character classes, word shapes and repetition, computed once for every
-whole text and stored. The fit runs on a bounded sample (see Fit), drawn by a hash of the id;
-scoring covers all documents.
+whole text and stored. Their means and scales and the prior's counts cover all training rows. The steps
+of the fit run on a bounded sample (see Fit), drawn by a hash of the row; scoring covers all documents.
 """
 
 from __future__ import annotations
@@ -35,7 +39,7 @@ N_FEATURES = 24
 class Fit:
     """Bounds and settings of the fit.
 
-    ``max_good``, ``max_web``: rows of the samples of good documents and of web text.
+    ``max_good``, ``max_web``: rows of the samples of good documents and of web text, which is what the driver holds.
     """
 
     max_good: int = 20_000
@@ -109,11 +113,30 @@ class Model:
         return 1 / (1 + np.exp(-np.clip(self.inputs(x) @ self.weights + self.bias, -40, 40)))
 
 
-def fit(good: np.ndarray, web: np.ndarray, prior: float, settings: Fit = Fit()) -> Model:
-    """Minimise the non-negative risk by Adam over random batches; the same result in every run."""
+def risk_step(a: np.ndarray, c: np.ndarray, w: np.ndarray, prior: float) -> tuple[float, np.ndarray]:
+    """Estimated risk on bad documents, and the direction to go against, of a batch of good rows and one of web rows.
+
+    The direction is the gradient of the whole risk, or, where the estimate is negative, that of its opposite.
+    """
+    at_good, at_web = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40))), 1 / (1 + np.exp(-np.clip(c @ w, -40, 40)))
+    # By the loss of calling a document good.
+    bad = -np.log1p(-np.minimum(at_web, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(at_good, 1 - 1e-12)).mean()
+    gradient = (c * at_web[:, None]).mean(axis=0) - prior * (a * at_good[:, None]).mean(axis=0)
+    if bad < 0:
+        return bad, -gradient
+    return bad, gradient - prior * (a * (1 - at_good)[:, None]).mean(axis=0)
+
+
+def fit(
+    good: np.ndarray, web: np.ndarray, prior: float, settings: Fit = Fit(), scaling: tuple[np.ndarray, np.ndarray] | None = None
+) -> Model:
+    """Minimise the non-negative risk by Adam over random batches; the same result in every run.
+
+    ``scaling`` holds means and deviations of the features, by default those of ``web``.
+    """
     base = web if len(web) else np.zeros((1, N_FEATURES))
-    scale = base.std(axis=0)
-    model = Model(base.mean(axis=0), np.where(scale > 1e-6, scale, 1.0), np.zeros(2 * N_FEATURES), 0.0, prior)
+    mean, scale = scaling or (base.mean(axis=0), base.std(axis=0))
+    model = Model(mean, np.where(scale > 1e-6, scale, 1.0), np.zeros(2 * N_FEATURES), 0.0, prior)
     if not len(good) or not len(web):
         return Model(model.mean, model.scale, model.weights, float(np.log(max(prior, 1e-6) / max(1 - prior, 1e-6))), prior)
     p, u = model.inputs(good), model.inputs(web)
@@ -128,15 +151,7 @@ def fit(good: np.ndarray, web: np.ndarray, prior: float, settings: Fit = Fit())
         for b in range(per_epoch):
             a = p[order_p[b * len(p) // per_epoch : max(b * len(p) // per_epoch + 1, (b + 1) * len(p) // per_epoch)]]
             c = u[order_u[b * settings.batch : (b + 1) * settings.batch]]
-            at_p, at_u = 1 / (1 + np.exp(-np.clip(a @ w, -40, 40))), 1 / (1 + np.exp(-np.clip(c @ w, -40, 40)))
-            # Risk on bad documents, by the loss of calling a document good.
-            bad = -np.log1p(-np.minimum(at_u, 1 - 1e-12)).mean() + prior * np.log1p(-np.minimum(at_p, 1 - 1e-12)).mean()
-            gradient = (c * at_u[:, None]).mean(axis=0) - prior * (a * at_p[:, None]).mean(axis=0)
-            if bad < 0:
-                gradient = -gradient
-            else:
-                gradient = gradient - prior * (a * (1 - at_p)[:, None]).mean(axis=0)
-            gradient += settings.decay * w
+            gradient = risk_step(a, c, w, prior)[1] + settings.decay * w
             step += 1
             first, second = 0.9 * first + 0.1 * gradient, 0.999 * second + 0.001 * gradient**2
             w = w - settings.rate * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.999**step)) + 1e-8)
@@ -146,19 +161,73 @@ def fit(good: np.ndarray, web: np.ndarray, prior: float, settings: Fit = Fit())
     return Model(model.mean, model.scale, w[:-1], float(w[-1]), prior)
 
 
+def prior_of(good: np.ndarray, web: np.ndarray) -> float:
+    """The class prior from counts of good documents and of web text by rising score."""
+    n_good, n_web = good.sum(), web.sum()
+    above_good, above_web = (np.cumsum(x[::-1]) / max(1, x.sum()) for x in (good, web))
+    some = above_good > 0
+    if not some.any() or not n_web:
+        return 0.5
+    above_good, above_web = above_good[some], above_web[some]
+    # Confidence of nine tenths that both shares are as counted, up to this much.
+    slack = sum(np.sqrt(np.log(4 / 0.1) / (2 * n)) for n in (n_good, n_web))
+    best = np.argmin((above_web + 1.01 * slack) / above_good)
+    return float(np.clip(above_web[best] / above_good[best], 0.01, 0.99))
+
+
 def held_out(column: str = "doc_id") -> Column:
     """Whether labels of a row are kept from the fit; a row without id is."""
     return F.coalesce(F.pmod(F.crc32(F.col(column).cast("string").cast("binary")), F.lit(3)) == 1, F.lit(True))
 
 
-def _sample(df: DataFrame, rows: int, count: int, seed: int) -> np.ndarray:
-    """About ``rows`` rows and never more, by a hash of the id."""
-    share = min(1.0, 1.02 * rows / max(1, count))
-    drawn = F.pmod(F.xxhash64("doc_id", F.lit(seed)), F.lit(1_000_000)) < int(share * 1_000_000)
-    found = df.filter(drawn).select("doc_id", "x").toPandas().sort_values("doc_id")[:rows]
+def _sample(df: DataFrame, rows: int, seed: int) -> np.ndarray:
+    """At most ``rows`` rows, drawn by a hash of the row; nearly as many where there are more."""
+    count = df.count()
+    share = 1.0 if count <= rows else max(0.0, rows - 4 * np.sqrt(rows)) / count  # hardly ever over the limit
+    drawn = F.pmod(F.xxhash64("row", F.lit(seed)), F.lit(1 << 40)) < int(share * (1 << 40))
+    found = df.filter(drawn).select("row", "x").limit(rows).toPandas().sort_values("row")
     return np.array(found["x"].tolist(), float).reshape(-1, N_FEATURES)
 
 
+def _scaling(rows: DataFrame) -> tuple[np.ndarray, np.ndarray]:
+    """Means and deviations of all rows, rounded, as sums in another order differ in the last places."""
+    items = [F.get("x", i).cast("double") for i in range(N_FEATURES)]
+    found = rows.agg(*(f(x) for f in (F.avg, F.stddev_pop) for x in items)).first()
+    values = np.array([float(f"{v or 0:.9g}") for v in found])
+    return values[:N_FEATURES], values[N_FEATURES:]
+
+
+LEVELS = 1_601  # of scores: log-odds from -40 to 40 by twentieths
+
+
+def _levels(model: Model):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            x = batch.column(1).flatten().to_numpy().astype(float).reshape(-1, N_FEATURES)
+            odds = np.clip(model.inputs(x) @ model.weights + model.bias, -40, 40)
+            levels = np.rint((odds + 40) * 20).astype(np.int32)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(levels)], ["good", "level"])
+
+    return run
+
+
+def estimate_prior(training: DataFrame, settings: Fit, scaling: tuple[np.ndarray, np.ndarray]) -> float:
+    """The share of good documents in ``training`` (row, x, good), 0.5 where none is known as good."""
+    half = F.pmod(F.xxhash64("row", F.lit(settings.seed + 2)), F.lit(2))
+    parts = [training.filter(half == i) for i in (0, 1)]
+    if any(part.filter("good").isEmpty() for part in parts):
+        parts = [training, training]  # too few to part
+    good = _sample(parts[0].filter("good"), settings.max_good, settings.seed + 3)
+    if not len(good):
+        return 0.5
+    model = fit(good, _sample(parts[0], settings.max_web, settings.seed + 4), 0.5, settings, scaling)
+    levels = parts[1].select("good", "x").mapInArrow(_levels(model), "good boolean, level int")
+    counts = np.zeros((2, LEVELS))
+    for r in levels.groupBy("level").agg(F.count(F.lit(1)), F.count_if("good")).collect():  # one row per level
+        counts[:, r[0]] = r[2], r[1]
+    return prior_of(*counts)
+
+
 def _scored(model: Model):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -174,20 +243,21 @@ def _scored(model: Model):
 def score_documents(docs: DataFrame, labels: DataFrame, settings: Fit = Fit()) -> DataFrame:
     """Per row of ``docs``: doc_id, held_out, score (0 to 1, higher: better quality), predicted.
 
-    A null text counts as empty; a null doc_id has no label and counts as held out. Labels that
-    are null count as none; of several labels of a document the lowest counts. Repeated rows are
+    A null text counts as empty; a null doc_id has no label and counts as held out. A document is
+    trusted as good if any of its labels says so; null labels and labels other than 1 are not read. Repeated rows are
     scored each, an empty table gives no rows. Without any trusted good document every score is
-    the prior, 0.5 if there are no labels. Further columns are ignored: only the text is an input.
+    0.5. Further columns are ignored: only the text is an input.
     """
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().cast("binary").alias("text"))
     known = stored(texts.mapInArrow(_featured, "doc_id long, x array<float>"), "features").withColumn("held_out", held_out())
-    marks = labels.filter("quality is not null").groupBy(F.col("doc_id").cast("long").alias("doc_id")).agg(F.min("quality").alias("quality"))
-    training = known.filter(~F.col("held_out"))
-    labelled = stored(training.join(marks, "doc_id"), "labelled")
-    counts = labelled.agg(F.count(F.lit(1)), F.coalesce(F.sum("quality"), F.lit(0))).first()
-    prior = min(0.99, max(0.01, counts[1] / counts[0])) if counts[0] else 0.5
-    good = _sample(labelled.filter("quality = 1"), settings.max_good, counts[1], settings.seed)
-    web = _sample(training, settings.max_web, training.count(), settings.seed + 1)
-    model = fit(good, web, prior, settings)
+    trusted = labels.filter("quality = 1").select(F.col("doc_id").cast("long").alias("doc_id"), F.lit(True).alias("good")).distinct()
+    training = known.filter(~F.col("held_out")).withColumn("row", F.monotonically_increasing_id())
+    training = training.join(trusted, "doc_id", "left").select("row", "x", F.coalesce("good", F.lit(False)).alias("good"))
+    training = stored(training, "training")
+    scaling = _scaling(training)
+    prior = estimate_prior(training, settings, scaling)
+    good = _sample(training.filter("good"), settings.max_good, settings.seed)
+    web = _sample(training, settings.max_web, settings.seed + 1)
+    model = fit(good, web, prior, settings, scaling)
     schema = "doc_id long, held_out boolean, score double, predicted int"
     return known.select("doc_id", "held_out", "x").mapInArrow(_scored(model), schema)

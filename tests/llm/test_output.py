@@ -278,7 +278,7 @@ def test_query_equals_sql(spark, name):
 
 def test_a_query_for_each_operator():
     names = [n for n in registry.queries() if n.startswith("op")]
-    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 11))
+    assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
 
 
 def test_pipeline_stages(spark):

@@ -1,5 +1,6 @@
 """Quality rules (op1), URL filter (op2) and quality classifier (op7)."""
 
+import math
 import re
 import zlib
 from collections import Counter
@@ -205,6 +206,58 @@ def test_labels_of_held_out_rows_change_nothing(spark):
     assert a.equals(b)
 
 
+def test_labels_of_bad_documents_change_nothing(spark):
+    folder = "/root/testdata/sf0.001"
+    docs, labels = (spark.read.parquet(f"{folder}/{t}.parquet") for t in ("documents", "labels"))
+    assert labels.filter("quality = 0").count() > 5
+    without = labels.withColumn("quality", F.when(F.col("quality") == 1, 1))
+    a, b = (pu.score_documents(docs, x).orderBy("doc_id").toPandas() for x in (labels, without))
+    assert a.equals(b)
+
+
+def plain_risk(a, c, w, prior):
+    """Risk on good documents and estimated risk on bad ones, term by term."""
+    loss = lambda x, sign: math.log(1 + math.exp(-sign * float(np.dot(x, w))))
+    good = prior * sum(loss(x, 1) for x in a) / len(a)
+    return good, sum(loss(x, -1) for x in c) / len(c) - prior * sum(loss(x, -1) for x in a) / len(a)
+
+
+def test_risk_and_direction_equal_plain_sums_and_differences():
+    rng = np.random.default_rng(5)
+    signs = set()
+    for _ in range(40):
+        a, c, w = rng.normal(0.5, 1, (9, 6)), rng.normal(0, 1, (14, 6)), rng.normal(0, 1, 6)
+        prior = rng.uniform(0.1, 0.95)
+        bad, direction = pu.risk_step(a, c, w, prior)
+        assert bad == pytest.approx(plain_risk(a, c, w, prior)[1], abs=1e-9)
+        target = (lambda v: -plain_risk(a, c, v, prior)[1]) if bad < 0 else (lambda v: sum(plain_risk(a, c, v, prior)))
+        steps = np.eye(6) * 1e-5
+        assert direction == pytest.approx([(target(w + s) - target(w - s)) / 2e-5 for s in steps], abs=1e-6)
+        signs.add(bad < 0)
+    assert signs == {True, False}
+
+
+@pytest.mark.parametrize("share", [0.2, 0.5, 0.85])
+def test_prior_from_good_and_unlabelled_rows(spark, share):
+    rng = np.random.default_rng(int(share * 100))
+    is_good = rng.random(6000) < share
+    x = rng.normal(np.where(is_good, 1.0, -1.0)[:, None], 1.5, (6000, pu.N_FEATURES))
+    rows = [(i, v.tolist(), bool(g and i % 3 == 0)) for i, (v, g) in enumerate(zip(x, is_good))]
+    training = spark.createDataFrame(rows, "row long, x array<float>, good boolean").repartition(4)
+    mean, scale = pu._scaling(training)
+    assert mean == pytest.approx(x.mean(axis=0), abs=1e-6) and scale == pytest.approx(x.std(axis=0), abs=1e-6)
+    assert pu.estimate_prior(training, pu.Fit(), (mean, scale)) == pytest.approx(is_good.mean(), abs=0.06)
+    # A bound on the sample holds for rows of any kind, and all rows still count in the prior.
+    assert len(pu._sample(training, 500, 1)) <= 500 and len(pu._sample(training, 6000, 1)) == 6000
+    small = pu.Fit(max_good=300, max_web=600)
+    assert pu.estimate_prior(training, small, (mean, scale)) == pytest.approx(is_good.mean(), abs=0.08)
+
+
+def test_rows_of_one_id_do_not_pass_the_bound(spark):
+    rows = spark.range(5000).select(F.col("id").alias("row"), F.array(*[F.lit(0.0).cast("float")] * pu.N_FEATURES).alias("x"))
+    assert 300 < len(pu._sample(rows.repartition(3), 400, 1)) <= 400
+
+
 def test_classifier_edge_cases(spark):
     docs = with_clashes(edge_documents(spark))
     labels = spark.createDataFrame([(1, 1, 0), (1, 0, 0), (7, 1, None), (2, None, 0), (None, 1, 0)], "doc_id long, quality int, toxic int")
