@@ -19,9 +19,8 @@ def op1_quality_divergence(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op2_digest_array(spark: SparkSession, folder: str) -> DataFrame:
-    pages = table(spark, folder, "pages")
-    entries = url_filter.rule_entries(spark).unionByName(url_filter.listed_domains(pages))
-    return url_filter.judge_urls(pages, entries)
+    entries = url_filter.rule_entries(spark).unionByName(url_filter.label_entries(spark))
+    return url_filter.judge_urls(table(spark, folder, "pages"), entries)
 
 
 def op3_simhash_variants(spark: SparkSession, folder: str) -> DataFrame:
@@ -146,7 +145,11 @@ SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
 FROM measured
 """
 
-OP2 = r"""
+def _names(words: tuple[str, ...]) -> str:
+    return f"(SELECT unnest({list(words)!r}) AS w)"
+
+
+OP2 = rf"""
 WITH u AS (
   SELECT page_id, translate(regexp_extract(coalesce(url, ''), '://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
          regexp_extract(coalesce(url, ''), '://[^/?#]*([^?#]*)', 1) AS path
@@ -159,11 +162,16 @@ b AS (
   FROM (SELECT DISTINCT host, path FROM u) JOIN r
        ON (host = rule_host OR ends_with(host, '.' || rule_host)) AND starts_with(path, rule_path)
   GROUP BY host, path),
+pairs(a, b) AS (
+  SELECT x.w, y.w FROM {_names(url_filter.SUBJECTS)} x, {_names(url_filter.TRADES)} y WHERE x.w <> y.w
+  UNION SELECT x.w, y.w FROM {_names(url_filter.BAITS)} x, {_names(url_filter.GOODS)} y WHERE x.w <> y.w),
+blocked AS (SELECT a || '-' || b AS label FROM pairs UNION SELECT a || b FROM pairs),
 l AS (
-  SELECT *, nullif(regexp_extract(host, '(?:^|\.)((?:ads-track|adult-x|casino-win|cheap-pills|free-bets|spam-farm)\.[^.]+\.[^.]+)$', 1), '') AS listed
-  FROM u)
-SELECT page_id, l.host, l.path, rule, coalesce(verdict, CASE WHEN listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict, listed
-FROM l LEFT JOIN b USING (host, path)
+  SELECT host, arg_max('*.' || label || '.*', (length(label), label)) AS listed
+  FROM (SELECT host, unnest(string_split(host, '.')) AS label FROM (SELECT DISTINCT host FROM u)) JOIN blocked USING (label)
+  GROUP BY host)
+SELECT page_id, u.host, u.path, rule, coalesce(verdict, CASE WHEN listed IS NULL THEN 'allow' ELSE 'block' END) AS verdict, listed
+FROM u LEFT JOIN b USING (host, path) LEFT JOIN l USING (host)
 """
 
 OP6 = r"""

@@ -1,14 +1,15 @@
 """URL filter by a sorted digest array.
 
 Entries are texts "host + path prefix" (``net/``, ``example.org/en/1``) or hosts alone
-(``spam.example.com``); an entry fits its host, all subdomains, and paths that begin like its own. Their 64-bit
+(``spam.example.com``); an entry fits its host, all subdomains, and paths that begin like its own. Blocked
+labels (``casino-win``) are entries too and fit a host that has them between any two dots. The entries' 64-bit
 xxHash values are sorted into arrays, one per range of digests, kept with the full texts. A
 lookup writes the array of its range to a file, maps it into memory, finds all keys by one
 vectorised binary search, and confirms every hit against the stored text, so digests that
 collide change nothing.
 
 Keys to look up are all domain suffixes of a host with the beginnings of the path that have
-the length of some entry's path. They are made from distinct hosts and path heads and are
+the length of some entry's path, and the host's labels. They are made from distinct hosts and path heads and are
 themselves distinct, so a host with a third of all pages costs no more than any other. Both
 the entries and the keys are dealt by digest into groups of bounded size; neither is ever
 collected or broadcast whole.
@@ -19,6 +20,7 @@ from __future__ import annotations
 import math
 import os
 import tempfile
+from collections.abc import Iterable
 
 import numpy as np
 import pyarrow as pa
@@ -35,10 +37,18 @@ RULES = (
     ("com", "/fr/", "allow"),
     ("com", "/de/", "block"),
 )
-# Domains with one of these labels are what the registered query lists as blocked.
-SPAM_LABELS = ("ads-track", "adult-x", "casino-win", "cheap-pills", "free-bets", "spam-farm")
+# Words that blocked labels are made of, by default: a subject with a trade, or a bait with goods.
+SUBJECTS = ("ad", "ads", "adult", "bet", "bets", "betting", "casino", "escort", "gambling", "jackpot", "phishing", "pills", "poker", "porn",
+            "sex", "slots", "spam", "viagra", "warez", "webcam", "xxx")
+TRADES = ("bonus", "cash", "click", "clicks", "club", "deals", "farm", "girls", "live", "money", "now", "offers", "online", "shop", "spins",
+          "store", "track", "tracker", "tracking", "tube", "video", "vip", "win", "wins", "x", "xxx", "zone")
+BAITS = ("best", "buy", "cheap", "discount", "easy", "fast", "free", "hot", "instant", "lucky")
+GOODS = ("bets", "betting", "casino", "drugs", "followers", "jackpot", "loans", "lotto", "meds", "pills", "poker", "porn", "sex", "slots",
+         "spins", "viagra", "warez", "xxx")
 KEYS_AT_ONCE = 100_000  # entries, or keys looked up, of one group
 LISTED = "listed"  # kind of an entry that blocks without being a rule
+LABEL_OF = "*.{}.*"  # entry of a label
+ENTRIES = "entry string, path_length int, kind string"
 UPPER, LOWER = "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz"
 
 
@@ -53,13 +63,19 @@ def path_of(url: Column) -> Column:
 
 def rule_entries(spark: SparkSession, rules=RULES) -> DataFrame:
     rows = [(host + path, len(path), verdict) for host, path, verdict in rules]
-    return spark.createDataFrame(rows, "entry string, path_length int, kind string")
+    return spark.createDataFrame(rows, ENTRIES)
 
 
-def listed_domains(pages: DataFrame, labels=SPAM_LABELS) -> DataFrame:
-    """Distinct domains of the pages whose third-last label is one of ``labels``, as entries."""
-    domain = F.regexp_extract(host_of(F.col("url")), rf"(?:^|\.)((?:{'|'.join(labels)})\.[^.]+\.[^.]+)$", 1)
-    return pages.select(domain.alias("entry")).filter("entry <> ''").distinct().select("entry", F.lit(0).alias("path_length"), F.lit(LISTED).alias("kind"))
+def blocked_labels() -> list[str]:
+    """The default labels, with and without a hyphen; none is taken from the pages judged."""
+    pairs = [(a, b) for a in SUBJECTS for b in TRADES] + [(a, b) for a in BAITS for b in GOODS]
+    return sorted({f"{a}{hyphen}{b}" for a, b in pairs if a != b for hyphen in ("-", "")})
+
+
+def label_entries(spark: SparkSession, labels: Iterable[str] | None = None) -> DataFrame:
+    """Entries that block every host with one of ``labels`` (in lower case) between any two dots."""
+    rows = [(LABEL_OF.format(label), 0, LISTED) for label in (blocked_labels() if labels is None else labels)]
+    return spark.createDataFrame(rows, ENTRIES)
 
 
 def _digests(texts: list[str]) -> np.ndarray:
@@ -129,8 +145,8 @@ def look_up(keys: DataFrame, entries: DataFrame) -> DataFrame:
 def judge_urls(pages: DataFrame, entries: DataFrame) -> DataFrame:
     """Per row of ``pages`` (page_id, url): page_id, host, path, rule, verdict, listed.
 
-    The longest rule that fits decides; without a rule, a page whose host is listed is
-    blocked and any other allowed. A null url, or one without ``://``, has an empty host and path and is
+    The longest rule that fits decides, of equally long ones the last in order; without a rule, a page whose host is listed,
+    or has a listed label, is blocked and any other allowed; ``listed`` is the longest, then last such entry. A null url, or one without ``://``, has an empty host and path and is
     allowed. Null ids and repeated rows are judged like others; an empty table gives no rows.
     Further columns are ignored. ``entries`` has entry, path_length and kind ("allow" or "block" for rules,
     "listed" for blocked hosts); a text that is there twice counts once, rules first.
@@ -145,15 +161,16 @@ def judge_urls(pages: DataFrame, entries: DataFrame) -> DataFrame:
     labels = F.split("host", r"\.")
     suffixes = F.transform(F.sequence(F.lit(1), F.size(labels)), lambda i: F.array_join(F.slice(labels, i, F.size(labels)), "."))
     cuts = F.filter(F.array(*map(F.lit, lengths)).cast("array<int>"), lambda n: n <= F.length("head"))
-    asked = heads.withColumn("suffix", F.explode(suffixes)).withColumn("cut", F.explode(cuts))
-    asked = asked.select("host", "head", F.concat("suffix", F.expr("substring(head, 1, cut)")).alias("entry"))
+    begun = F.flatten(F.transform(suffixes, lambda s: F.transform(cuts, lambda n: F.concat(s, F.substr("head", F.lit(1), n)))))
+    own_labels = F.transform(labels, lambda label: F.format_string(LABEL_OF.replace("{}", "%s"), label))
+    asked = heads.select("host", "head", F.explode(F.array_union(begun, own_labels)).alias("entry"))
     found = look_up(asked.select("entry").distinct(), entries.select("entry", "kind"))
     is_rule = F.col("kind") != LISTED
     fits = asked.join(found, "entry").groupBy("host", "head").agg(
-        F.max_by(F.when(is_rule, F.struct("entry", "kind")), F.when(is_rule, F.length("entry"))).alias("best"),
-        F.max_by(F.when(~is_rule, F.col("entry")), F.when(~is_rule, F.length("entry"))).alias("listed"),
+        F.max(F.when(is_rule, F.struct(F.length("entry"), "entry", "kind"))).alias("best"),
+        F.max(F.when(~is_rule, F.struct(F.length("entry"), "entry"))).alias("listed"),
     )
     method = F.when(F.col("listed").isNotNull(), "block").otherwise("allow")
     return parsed.join(fits, ["host", "head"], "left").select(
-        "page_id", "host", "path", F.col("best.entry").alias("rule"), F.coalesce("best.kind", method).alias("verdict"), "listed"
+        "page_id", "host", "path", F.col("best.entry").alias("rule"), F.coalesce("best.kind", method).alias("verdict"), F.col("listed.entry").alias("listed")
     )

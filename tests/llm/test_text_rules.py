@@ -139,7 +139,7 @@ def brute_verdict(url, rules, listed):
         host = re.match(r"[^/?#]*", rest)[0]
         path = re.match(r"[^?#]*", rest[len(host) :])[0]
     host = "".join(c.lower() if "A" <= c <= "Z" else c for c in host)
-    under = lambda h: host == h or host.endswith("." + h)
+    under = lambda h: host == h or host.endswith("." + h) or (h[:2] == "*." and h[2:-2] in host.split("."))
     fits = [(len(h + p), h + p, v) for h, p, v in rules if under(h) and path.startswith(p)]
     if fits:
         return host, path, max(fits)[1], max(fits)[2]
@@ -165,6 +165,31 @@ def test_verdicts_equal_brute_force(spark):
     assert uf.judge_urls(pages, entries.limit(0)).filter("verdict = 'allow'").count() == pages.count()
 
 
+def test_labels_are_found_at_any_place_of_the_host(spark):
+    hosts = [
+        "casino-win.com", "a.casino-win.example.co.uk", "x.y.casino-win", "CASINO-win.net", "mycasino-win.net", "casino-win2.net", "casinowin.net",
+        "ads-track.cheap-pills.example.net", "example.net", "casino.win.net", "*.casino-win.*",
+    ]
+    urls = [f"http://{h}/de/p?q=casino-win" for h in hosts] + ["http://casino-win.com/fr/x", "http://net/casino-win/"]
+    pages = spark.createDataFrame(list(enumerate(urls)), "page_id long, url string")
+    entries = uf.rule_entries(spark).unionByName(uf.label_entries(spark))
+    found = {r["page_id"]: r for r in uf.judge_urls(pages, entries).collect()}
+    entries_of = [uf.LABEL_OF.format(x) for x in uf.blocked_labels()]
+    for i, url in enumerate(urls):
+        assert tuple(found[i])[1:5] == brute_verdict(url, uf.RULES, entries_of), url
+    listed = [found[i]["listed"] is not None for i in range(len(hosts))]
+    assert listed == [True, True, True, True, False, False, True, True, False, False, True]
+    assert found[7]["listed"] == "*.cheap-pills.*" and found[11]["verdict"] == "allow"
+    assert uf.judge_urls(pages, uf.label_entries(spark, ["example"])).filter("listed is not null").count() == 3
+
+
+def test_equally_long_rules_are_decided_by_order(spark):
+    rules = [("a.bc.d", "/x", "allow"), ("bc.d", "/xyz", "block"), ("d", "/xyz/q", "allow")]
+    pages = spark.createDataFrame([(1, "http://a.bc.d/xyzw"), (2, "http://a.bc.d/xyz/q")], "page_id long, url string")
+    found = uf.judge_urls(pages, uf.rule_entries(spark, rules)).orderBy("page_id").collect()
+    assert [tuple(r)[1:5] for r in found] == [brute_verdict(u, rules, []) for _, u in pages.collect()]
+
+
 def test_colliding_digests_are_told_apart(monkeypatch):
     monkeypatch.setattr(uf, "_digests", lambda texts: np.array([len(t) for t in texts], np.uint64))
     entries = sorted(["aa", "bb", "cc", "d", "eeee"], key=len)
