@@ -5,6 +5,7 @@ from __future__ import annotations
 import os
 import re
 import uuid
+from collections.abc import Iterable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -69,10 +70,16 @@ def numbered(docs: DataFrame) -> tuple[DataFrame, str]:
     return stored(docs.withColumn(name, F.monotonically_increasing_id()), "numbered"), name
 
 
-def remove_stored(spark: SparkSession) -> None:
-    """Delete what ``stored`` has written; no result built before may be read afterwards."""
-    while _stored:
-        remove(spark, _stored.pop())
+def stored_so_far() -> list[str]:
+    return list(_stored)
+
+
+def remove_stored(spark: SparkSession, but: Iterable[str] = ()) -> None:
+    """Delete what ``stored`` has written, except the paths ``but``; no result built on the rest may be read afterwards."""
+    keep = set(but)
+    for path in [p for p in _stored if p not in keep]:
+        remove(spark, path)
+        _stored.remove(path)
 
 
 def remove(spark: SparkSession, path: str) -> None:

@@ -114,13 +114,13 @@ def _written(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def write_archive(pages: DataFrame, folder: str, min_bytes: int = 0) -> None:
     """Write all rows of ``pages`` (page_id, url, html) to WARC files in ``folder``.
 
-    Equal payloads of at least ``min_bytes`` are one response, at the largest page_id (null
+    Equal payloads (by SHA-256, as unlike payloads of one SHA-1 are known) of at least ``min_bytes`` are one response, at the largest page_id (null
     counts as smallest; of repeated rows the first), and revisits of it.
     """
     payload = F.coalesce("html", F.lit("")).cast("binary")
     columns = [F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), payload.alias("payload")]
     numbered = stored(pages.select(F.monotonically_increasing_id().alias("row"), *columns), "pages")
-    digests = numbered.select("row", "page_id", F.sha1("payload").alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
+    digests = numbered.select("row", "page_id", F.sha2("payload", 256).alias("digest"), F.octet_length("payload").alias("n")).filter(F.col("n") >= min_bytes)
     order = F.struct(F.col("page_id").isNotNull(), "page_id", -F.col("row"))
     kept = F.max_by(F.struct("row", "page_id"), order)
     repeated = stored(digests, "digests")

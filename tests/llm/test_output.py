@@ -5,6 +5,7 @@ import hashlib
 import math
 import re
 import zlib
+from collections import Counter
 
 import numpy as np
 import public_tokenizers
@@ -17,8 +18,10 @@ import corpus_pipeline
 from checks.compare import connect, difference
 from snaplytics.llm import online_packing as op, registry, token_files as tf, warc_segments as ws, weighted_mix as wm
 from snaplytics.llm.cached_tokens import UNSURE, CachedTokenizer
-from snaplytics.llm.common import shared_folder
+from snaplytics.llm.common import shared_folder, stored_so_far
 from tests.llm.edge_cases import edge_documents, no_documents, prose, with_clashes
+from tests.llm.test_dedup import brute_components, brute_exact, brute_fingerprint
+from tests.llm.test_text_rules import brute_judgements
 
 WORD_BPE, BYTE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "byte_bpe_50k.json"))
 FOLDER = "/root/testdata/sf0.001"
@@ -281,26 +284,80 @@ def test_a_query_for_each_operator():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in names) == list(range(1, 14))
 
 
-def test_pipeline_stages(spark):
-    """Each stage's decisions against brute force on its own input; the last one packs what is left."""
-    docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
-    columns, counts = docs.columns, [docs.count()]
-    for name, stage in corpus_pipeline.STAGES[:-1]:
-        before = docs
-        docs = stage(spark, docs, FOLDER)
+def brute_copies(docs):
+    """How often the mix gives each of ``docs`` (doc_id, source, text): in order of the keys until the budget is used up."""
+    size = {i: len(re.findall(r"[^\x20\x09-\x0D]+", t)) for i, _, t in docs}
+    sizes = Counter()
+    for i, source, _ in docs:
+        sizes[source] += size[i]
+    target = brute_targets(sizes)
+
+    def key(i, text):
+        u = (int(hashlib.md5(f"1:{i}".encode()).hexdigest()[:12], 16) + 0.5) / 16**12
+        return -math.log(u) / (1.05 - len(re.findall(r"[#*$%&|<>]", text)) / max(1, len(text)))
+
+    copies = {}
+    for source in sizes:
+        epochs, left = divmod(math.floor(target[source]), sizes[source])
+        for _, i in sorted((key(i, t), i) for i, s, t in docs if s == source):
+            part = min(size[i], left)
+            left -= part
+            copies[i] = math.floor(epochs + part / size[i] + 0.5)
+    return {i: n for i, n in copies.items() if n}
+
+
+@pytest.mark.parametrize("folder", [FOLDER, "/root/testdata/sf0.01"])
+def test_pipeline_stages(spark, folder):
+    """Each stage's decisions against brute force on its own input, texts included."""
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    columns, texts = docs.columns, {r["doc_id"]: r["text"] for r in docs.collect()}
+    counts = [docs.count()]
+    assert len(texts) == counts[0]
+
+    def after(stage, docs):
         path = shared_folder(spark, "stage")
-        docs.write.parquet(path)
-        docs = spark.read.parquet(path)
-        assert docs.columns == columns
-        assert docs.select("doc_id", "text").exceptAll(before.select("doc_id", "text").union(before.select("doc_id", "text")).union(before.select("doc_id", "text"))).count() == 0
-        counts.append(docs.count())
-        texts = [re.sub(r"[\x20\x09-\x0D]", "", r["text"]) for r in docs.select("text").collect()]
-        if "exact" in name or "near" in name:
-            assert len(set(texts)) == len(texts)
+        corpus_pipeline.STAGES[stage][1](spark, docs, folder).write.parquet(path)
+        out = spark.read.parquet(path)
+        if stage < 4:
+            assert out.columns == columns
+            assert all(texts[r["doc_id"]] == r["text"] for r in out.collect())
+        counts.append(out.count())
+        return out
+
+    ids = lambda df: sorted(r["doc_id"] for r in df.collect())
+    judged = after(0, docs)
+    assert ids(judged) == sorted(i for i, (_, _, stays) in brute_judgements(docs.collect()).items() if stays)
+    unique = after(1, judged)
+    assert ids(unique) == sorted({r[1] for r in brute_exact([(i, texts[i]) for i in ids(judged)])})
+    apart = after(2, unique)
+    assert ids(apart) == sorted(set(brute_components(ids(unique), [brute_fingerprint(texts[i]) for i in ids(unique)])))
+    mixed = after(3, apart)
+    want = brute_copies([(r["doc_id"], r["source"], r["text"]) for r in apart.collect()])
+    assert Counter(ids(mixed)) == want
     assert counts[0] > counts[1] > counts[2] >= counts[3] > 0
-    pieces = corpus_pipeline.STAGES[-1][1](spark, docs, FOLDER)
-    words = sum(len(plain(BYTE_BPE)(r["text"])) + 1 for r in docs.select("text").collect())
-    assert pieces.agg(F.sum("length")).first()[0] == words
+
+    tokens, held, filled = plain(BYTE_BPE), {}, {}
+    for r in after(4, mixed).collect():
+        held.setdefault(r["doc_id"], []).append(r)
+        filled.setdefault(r["sequence_id"], []).append((r["offset"], r["length"]))
+    assert held.keys() == want.keys()
+    for doc_id, pieces in held.items():
+        own = np.array([*tokens(texts[doc_id]), 0], "<u4")
+        times = Counter()
+        for r in pieces:
+            assert r["doc_tokens"] == len(own)
+            assert r["ids_crc32"] == zlib.crc32(own[r["start"] : r["start"] + r["length"]].tobytes())
+            times.update(range(r["start"], r["start"] + r["length"]))
+        assert times == dict.fromkeys(range(len(own)), want[doc_id])
+    for pieces in filled.values():
+        ends = [0, *np.cumsum([n for _, n in sorted(pieces)])]
+        assert [o for o, _ in sorted(pieces)] == ends[:-1] and ends[-1] <= 1024
+
+
+def test_run_leaves_no_tables_but_its_result(spark):
+    before = set(stored_so_far())
+    out = corpus_pipeline.run(spark, FOLDER)
+    assert len(set(stored_so_far()) - before) == 1 and out.count() > 0
 
 
 def test_pipeline_takes_empty_and_odd_documents(spark):
