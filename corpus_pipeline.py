@@ -20,8 +20,8 @@ from snaplytics.llm.weighted_mix import mix_documents
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, folder: str) -> DataFrame:
-    """Rows that pass the rules. Texts without ten words, null ones too, go; equal texts of a language fare alike; a
-    null lang is a language of its own."""
+    """Rows that pass the rules. Texts without ten words, null ones too, go; equal texts of a language fare alike. With a
+    null lang, or a language of few words, words are not judged."""
     importable(spark)
     return keep_documents(docs)
 
