@@ -7,9 +7,10 @@ words still missing are a weighted sample without replacement: a document's key
 of their keys until the prefix sum of their sizes reaches the budget. The document at the
 boundary gives the words that are left.
 
-No source is sorted in one task: its keys are cut into ranges, range sums are added up first,
-and the prefix sum runs inside each range. Ranges are equal shares of the exponential's
-distribution, so they hold about equally many documents.
+No source is sorted in one task: rows are dealt by ranges of (source, key, id, size, row) and
+stored with the number of their range, range sums are added up first, and the prefix sum runs inside
+each range. The ranges are those of the shuffle, so their number grows with its partitions, and neither a source nor
+an id that many rows share makes one larger than the others.
 """
 
 from __future__ import annotations
@@ -24,7 +25,7 @@ from snaplytics.llm.common import WORD_PATTERN, numbered, stored, text_or_empty
 
 WEIGHTS = (5, 2, 1)
 MAX_EPOCHS = 3
-RANGES = 4_096
+ORDER = ("key", "doc_id", "size", "row")  # no two rows are equal in all of these
 MARKUP = r"[#*$%&|<>]"
 
 
@@ -35,7 +36,7 @@ def uniform(seed: int) -> Column:
 
 
 def sized(docs: DataFrame, row: Column | None = None, seed: int = 1) -> DataFrame:
-    """Per row: id, source, size in words, exponential key. Stored, as three jobs read it; holds no text.
+    """Per row: its number, id, source, size in words, exponential key. Stored, as several jobs read it; holds no text.
 
     The quality weight is the share of a text's characters that are no markup symbols, plus 0.05, so that
     no document is out of reach.
@@ -44,7 +45,7 @@ def sized(docs: DataFrame, row: Column | None = None, seed: int = 1) -> DataFram
     chars = F.greatest(F.length(text), F.lit(1))
     weight = 1.05 - F.regexp_count(text, F.lit(MARKUP)) / chars
     narrow = docs.select(
-        (F.lit(None).cast("long") if row is None else row).alias("row"),
+        (F.monotonically_increasing_id() if row is None else row).alias("row"),
         F.col("doc_id").cast("long").alias("doc_id"),
         F.col("source").cast("string").alias("source"),
         F.regexp_count(text, F.lit(WORD_PATTERN)).cast("long").alias("size"),
@@ -79,9 +80,14 @@ def targets(sizes: DataFrame, weights: Sequence[int] = WEIGHTS, max_epochs: int
     return asked.select("source", "source_size", F.when(F.col("full"), limit.cast("double")).otherwise(share).alias("target"))
 
 
-def taken(sizes: DataFrame, per_source: DataFrame, ranges: int = RANGES) -> DataFrame:
+def dealt(sizes: DataFrame) -> DataFrame:
+    """``sizes`` with the number of the range of (source, key) that a row is in, ascending; stored, so that it stays the same."""
+    return stored(sizes.repartitionByRange("source", *ORDER).withColumn("range", F.spark_partition_id()), "dealt", "none")
+
+
+def taken(sizes: DataFrame, per_source: DataFrame) -> DataFrame:
     """``sizes`` with source_size, target and the words that the mix takes of each document."""
-    ranged = sizes.withColumn("range", F.least(F.floor((1 - F.exp(-F.col("key"))) * ranges), F.lit(ranges - 1)).cast("int"))
+    ranged = dealt(sizes)
     before = Window.partitionBy("source").orderBy("range").rowsBetween(Window.unboundedPreceding, -1)
     sums = ranged.groupBy("source", "range").agg(F.sum("size").alias("words"))
     sums = sums.select("source", "range", F.coalesce(F.sum("words").over(before), F.lit(0)).alias("words_before"))
@@ -89,7 +95,7 @@ def taken(sizes: DataFrame, per_source: DataFrame, ranges: int = RANGES) -> Data
     known = s.join(t, F.col("s.source").eqNullSafe(F.col("t.source"))).select(
         F.col("s.source").alias("k_source"), F.col("s.range").alias("k_range"), "words_before", "source_size", "target"
     )
-    inside = Window.partitionBy("source", "range").orderBy("key", "doc_id", "size", "row")
+    inside = Window.partitionBy("source", "range").orderBy(*ORDER)
     placed = ranged.withColumn("own_before", F.sum("size").over(inside.rowsBetween(Window.unboundedPreceding, 0)) - F.col("size"))
     same = placed["source"].eqNullSafe(known["k_source"]) & (placed["range"] == known["k_range"])
     budget = F.floor(F.col("target"))
