@@ -10,7 +10,8 @@ files of blocks one after the other, each followed by a line break. Shards ascen
 places in a shard. A block: header (see HEADER), ids of its documents (64 bits, and a byte each
 that is 1 for a null id), their token counts (32 bits), control bytes, data bytes. All numbers are little-endian.
 
-Texts are dealt by ranges of doc_id once, encoded behind that shuffle and stored; blocks are of
+Texts are dealt by ranges of doc_id once, rows of one id by a hash of their text and equal rows by their
+number, so no id is too frequent for a shard; they are encoded behind that shuffle and stored. Blocks are of
 bounded size whatever a shard holds. Files are written and read by Spark's own sources, so
 any storage that Spark reaches will do.
 """
@@ -121,7 +122,9 @@ def _blocks(rank_of: np.ndarray):
 def write_tokens(docs: DataFrame, path: str, end_id: int, folder: str) -> None:
     """Encode every row's whole text with the tokenizer file at ``path`` and write the files to ``folder``."""
     texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), text_or_empty().alias("text"))
-    in_order = texts.repartitionByRange("doc_id").sortWithinPartitions("doc_id", "text")
+    order = ["doc_id", "text_hash", "row"]
+    keyed = texts.withColumns({"text_hash": F.xxhash64("text"), "row": F.monotonically_increasing_id()})
+    in_order = keyed.repartitionByRange(*order).sortWithinPartitions(*order).select("doc_id", "text")
     schema = "shard int, place long, doc_id long, ids binary"
     spark = docs.sparkSession
     own = shared_folder(spark, "ids")
@@ -206,7 +209,8 @@ def token_round_trip(docs: DataFrame, path: str, end_id: int = 1) -> DataFrame:
     """Write the ids of all rows of ``docs`` to files and return what the files hold.
 
     A null or empty text is the end id alone; a null doc_id comes first and is kept apart by a
-    flag; repeated rows are documents of their own. An empty table gives no rows. Further
+    flag; repeated rows are documents of their own; rows of one id, or without one, are in the order of a hash of
+    their text. An empty table gives no rows. Further
     columns are ignored. The files lie in the shared folder until they have been read.
     """
     spark = docs.sparkSession
