@@ -6,18 +6,22 @@ other characters starts a piece in the other (``byte_bpe``). So a text is cut at
 every distinct piece is encoded once per Python worker, and the ids of the pieces are joined.
 The result equals encoding the whole text; texts where that isn't certain are encoded whole.
 
-A byte-level file whose merges are in the order of their ids is also a table of ranks. Then
-tiktoken merges whole texts, with the same ids and at a fraction of the cost; the way by pieces is left for texts with
-characters that the two libraries' tables of letters and white space might class apart.
+A file whose merges are in the order of their ids is also a table of ranks. Then tiktoken merges
+whole texts, with the same ids and at a fraction of the cost. Where the file marks word ends, each word is
+followed by a NUL, which is merged with the word's last byte before anything else. The way by pieces is left for texts
+with characters that the libraries' tables of letters and white space might class apart, or with a NUL.
 """
 
 from __future__ import annotations
 
 import json
 import re
+import unicodedata
 from array import array
 from collections.abc import Callable, Collection, Sequence
 
+import numpy as np
+
 MAX_PIECES = 600_000  # pieces held by a worker; further ones are encoded each time
 MAX_PARTS = 100_000  # parts of pieces held besides
 MAX_PIECE = 64  # longer pieces are not held
@@ -38,6 +42,7 @@ def byte_letters() -> dict[int, str]:
 
 
 BYTE_LETTERS = byte_letters()
+BYTE_OF_LETTER = {letter: b for b, letter in BYTE_LETTERS.items()}
 ASCII_LETTERS = {b: letter for b, letter in BYTE_LETTERS.items() if letter != chr(b) and b < 128}
 FIRST, WHOLE = "\r", "\t"  # neither occurs in a text that is cut at blanks
 
@@ -45,24 +50,82 @@ FIRST, WHOLE = "\r", "\t"  # neither occurs in a text that is cut at blanks
 BYTE_LEVEL_CUTS = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
 # Beyond the Latin blocks, or white space of only some tables.
 UNSURE = re.compile("[\x1c-\x1f\x85\xa0\u0250-\U0010ffff]")
+LATIN = [c for c in map(chr, range(0x250)) if not UNSURE.search(c)]
+# Where words end in a NUL, none may stand in the text; the dotted capital I is two characters in lower case.
+UNSURE_WORDS = re.compile("[\0\x1c-\x1f\x85\xa0\u0130\u0250-\U0010ffff]")
+WORD_END, WORD_END_BYTE = "</w>", b"\0"
 
 _workers: dict[str, "CachedTokenizer"] = {}
 
 
-def rank_merger(path: str):
-    """A tiktoken encoding with the ids of the byte-level tokenizer file at ``path``, or None where its merges are in another order."""
+def _ranked(known: dict) -> bool:
+    """Whether the merges of a tokenizer file are in the order of their ids."""
+    model = known["model"]
+    merges = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
+    ids = [model["vocab"][m] for m in merges]
+    return ids == sorted(ids)
+
+
+def _bytes_of(entry: str) -> bytes:
+    return bytes([BYTE_OF_LETTER[c] for c in entry])
+
+
+def rank_merger(known: dict) -> Callable[[str], bytes] | None:
+    """A function from a text without UNSURE characters to its ids by a byte-level tokenizer file, or None where its merges
+    are in another order."""
+    import tiktoken
+
+    special = {token["content"] for token in known["added_tokens"]}
+    if not _ranked(known) or known["normalizer"] is not None or known["pre_tokenizer"].get("add_prefix_space"):
+        return None
+    ranks = {_bytes_of(entry): i for entry, i in known["model"]["vocab"].items() if entry not in special}
+    merge = tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    return lambda text: array("H", merge(text)).tobytes()
+
+
+def _latin_class(kind: str) -> str:
+    """The trusted characters of a kind, and what they become in lower case."""
+    chars = {*LATIN, *(c.lower() for c in LATIN if not UNSURE_WORDS.search(c))}
+    return "".join(re.escape(c) for c in sorted(chars) if unicodedata.category(c)[0] == kind)
+
+
+def word_merger(known: dict) -> Callable[[str], bytes] | None:
+    """A function from a text without UNSURE_WORDS characters to its ids by a file that lower-cases, drops white space and
+    marks word ends, or None where the file does anything else."""
     import tiktoken
 
-    with open(path, encoding="utf-8") as file:
-        known = json.load(file)
+    steps = [n["type"] for n in (known["normalizer"] or {}).get("normalizers", [])]
+    cut = known["pre_tokenizer"].get("pretokenizers", [{}])[0]
+    by_matches = cut.get("type") == "Split" and cut["behavior"] == "Removed" and cut["invert"]
     model, special = known["model"], {token["content"] for token in known["added_tokens"]}
-    merges = ("".join(m.split(" ") if isinstance(m, str) else m) for m in model["merges"])
-    ids = [model["vocab"][m] for m in merges]
-    if ids != sorted(ids) or known["normalizer"] is not None or known["pre_tokenizer"].get("add_prefix_space"):
+    if not _ranked(known) or model["end_of_word_suffix"] != WORD_END or steps != ["NFC", "Replace", "Lowercase"] or not by_matches:
+        return None
+    # The last byte and its mark are merged first: such entries change ranks with the single bytes.
+    vocab = {entry: i for entry, i in model["vocab"].items() if entry not in special}
+    ends = {i for entry, i in vocab.items() if len(entry.removesuffix(WORD_END)) == 1 and entry.endswith(WORD_END)}
+    singles = {i for entry, i in vocab.items() if len(entry) == 1}
+    if ends | singles != set(range(512)) or len(ends) != 256:
+        return None
+    id_of = np.arange(max(vocab.values()) + 1, dtype="<u2")
+    id_of[:512] = [*sorted(ends), *sorted(singles)]
+    rank_of = np.argsort(id_of)
+    ranks = {
+        _bytes_of(entry.removesuffix(WORD_END)) + (WORD_END_BYTE if entry.endswith(WORD_END) else b""): int(rank_of[i])
+        for entry, i in vocab.items()
+    }
+    if len(ranks) != len(vocab):
         return None
-    byte_of = {letter: b for b, letter in BYTE_LETTERS.items()}
-    ranks = {bytes(byte_of[c] for c in entry): i for entry, i in model["vocab"].items() if entry not in special}
-    return tiktoken.Encoding("ranks", pat_str=BYTE_LEVEL_CUTS, mergeable_ranks=ranks, special_tokens={})
+    mark = WORD_END_BYTE.decode()
+    merge = tiktoken.Encoding("words", pat_str=f"[^{mark}]+{mark}", mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+    pattern = cut["pattern"]["Regex"].replace(r"\p{L}", _latin_class("L")).replace(r"\p{N}", _latin_class("N"))
+    words_of = re.compile(pattern).findall
+
+    def ids(text: str) -> bytes:
+        words = words_of(text.lower())
+        words.append("")  # the last word too is followed by a mark
+        return id_of[np.frombuffer(array("H", merge(mark.join(words))), np.uint16)].tobytes()
+
+    return ids
 
 
 class CachedTokenizer:
@@ -77,7 +140,10 @@ class CachedTokenizer:
         self.drops_space = '"Split"' in pre
         if not self.drops_space and '"use_regex":true' not in pre:
             raise ValueError(f"{path}: no way known to cut texts for this tokenizer")
-        self.ranked = None if self.drops_space else rank_merger(path)
+        with open(path, encoding="utf-8") as file:
+            known = json.load(file)
+        self.merge = word_merger(known) if self.drops_space else rank_merger(known)
+        self.unsure = UNSURE_WORDS if self.drops_space else UNSURE
 
     def _pieces(self, text: str) -> list[str]:
         """Keys of the pieces of a text. Where white space counts, a key is what stands behind its blank; one that
@@ -126,11 +192,11 @@ class CachedTokenizer:
 
     def encode(self, texts: Sequence[str]) -> list[bytes]:
         """Per text its ids as little-endian 16-bit numbers (both vocabularies have fewer than 65,536)."""
-        if self.ranked is None:
+        if self.merge is None:
             return self._by_pieces(texts)
-        unsure = iter(self._by_pieces([t for t in texts if UNSURE.search(t)]))
-        merge = self.ranked.encode_ordinary
-        return [next(unsure) if UNSURE.search(t) else array("H", merge(t)).tobytes() for t in texts]
+        sure = [not self.unsure.search(t) for t in texts]
+        unsure = iter(self._by_pieces([t for t, plain in zip(texts, sure) if not plain]))
+        return [self.merge(t) if plain else next(unsure) for t, plain in zip(texts, sure)]
 
     def _by_pieces(self, texts: Sequence[str]) -> list[bytes]:
         cut = [self._pieces(t) for t in texts]

@@ -1,7 +1,9 @@
 """Token files (op5), packing (op8), mixing (op9), archives (op10) and the pipeline."""
 
 import base64
+import functools
 import hashlib
+import json
 import math
 import re
 import zlib
@@ -17,8 +19,9 @@ from tokenizers import Tokenizer
 import corpus_pipeline
 from checks.compare import connect, difference
 from snaplytics.llm import online_packing as op, registry, token_files as tf, warc_segments as ws, weighted_mix as wm
-from snaplytics.llm.cached_tokens import UNSURE, CachedTokenizer
-from snaplytics.llm.common import shared_folder, stored_so_far
+from snaplytics.llm.cached_tokens import LATIN, CachedTokenizer, word_merger, worker_tokenizer
+from snaplytics.llm.common import remove, shared_folder, stored_so_far
+from tests.helpers import settings as settings_of
 from tests.llm.edge_cases import edge_documents, no_documents, prose, with_clashes
 from tests.llm.test_dedup import brute_components, brute_exact, brute_fingerprint
 from tests.llm.test_text_rules import brute_judgements
@@ -27,6 +30,7 @@ WORD_BPE, BYTE_BPE = (public_tokenizers.path(n) for n in ("word_bpe_49k.json", "
 FOLDER = "/root/testdata/sf0.001"
 
 
+@functools.cache
 def plain(path):
     tokenizer = Tokenizer.from_file(path)
     tokenizer.encode_special_tokens = True
@@ -51,7 +55,8 @@ def test_cached_ids_are_those_of_the_whole_text(path):
 @given(st.lists(st.text(st.sampled_from("ab'st12.,!- \n\t\r\x1c\x85 ​é́Σ\U0001f642"), max_size=25), max_size=4))
 def test_cached_ids_of_random_texts(texts):
     for path in (WORD_BPE, BYTE_BPE):
-        cached, whole = CachedTokenizer(path), plain(path)
+        cached, whole = worker_tokenizer(path), plain(path)
+        cached.ids.clear()
         assert [np.frombuffer(x, np.uint16).tolist() for x in cached.encode(texts)] == [whole(t) for t in texts]
 
 
@@ -209,6 +214,29 @@ def test_heavier_documents_are_drawn_more_often_and_reruns_agree(spark):
     assert plain_share > marked_share
 
 
+def test_rows_of_one_id_are_dealt_to_several_ranges(spark):
+    """A third of the rows with one id, source and text: no range holds them all, and sums equal a plain pass over sorted rows."""
+    rows = [(None if i % 3 == 0 else i, "a b c" if i % 6 == 0 else "w " * (i % 7), "s" if i % 5 else None) for i in range(3_000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(5)
+    with settings_of(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        sizes = wm.sized(docs)
+        ranged = wm.dealt(sizes)
+        assert ranged.filter("doc_id is null and source = 's'").select("range").distinct().count() > 1
+        out = wm.taken(sizes, wm.targets(sizes)).collect()
+    assert len(out) == len(rows)
+    by_source, want = {}, []
+    for r in sizes.collect():
+        by_source.setdefault(r["source"], []).append(r)
+    target = brute_targets({s: sum(r["size"] for r in own) for s, own in by_source.items()})
+    for source, own in by_source.items():
+        epochs, rest = divmod(math.floor(target[source]), sum(r["size"] for r in own))
+        for r in sorted(own, key=lambda r: (r["key"], r["doc_id"] is not None, r["doc_id"] or 0, r["size"], r["row"])):
+            part = max(0, min(r["size"], rest))
+            rest -= part
+            want.append((r["row"], epochs * r["size"] + part))
+    assert sorted((r["row"], r["taken"]) for r in out) == sorted(want)
+
+
 def test_mixed_documents_keep_columns(spark):
     docs = with_clashes(edge_documents(spark))
     out = wm.mix_documents(docs)
@@ -368,11 +396,50 @@ def test_pipeline_takes_empty_and_odd_documents(spark):
             docs = spark.read.parquet(path)
 
 
-def test_whole_texts_by_ranks_equal_the_tokenizer():
+@pytest.mark.parametrize("path", [BYTE_BPE, WORD_BPE])
+def test_whole_texts_by_ranks_equal_the_tokenizer(path):
     """Every character the ranks are trusted with, beside letters, digits, signs and blanks; and long runs."""
-    cached, whole = CachedTokenizer(BYTE_BPE), plain(BYTE_BPE)
-    assert cached.ranked is not None and CachedTokenizer(WORD_BPE).ranked is None
-    trusted = [c for c in map(chr, range(0x250)) if not UNSURE.search(c)]
-    assert len(trusted) > 500
-    texts = [f"a{c}b {c}1{c} {c}{c}. \n{c}\n" for c in trusted] + ["ab" * 20_000, " " * 3_000 + "x", "ł'S'll " * 50, "日本 a"]
+    cached, whole = CachedTokenizer(path), plain(path)
+    assert cached.merge is not None
+    assert [c for c in LATIN if cached.unsure.search(c)] == (["\0", "\u0130"] if path == WORD_BPE else [])
+    assert len(LATIN) > 500
+    texts = [f"a{c}b {c}1{c} {c}{c}. \n{c}\n" for c in LATIN] + [f"{c}'{d}" for c in LATIN for d in ("s", "LL", c)]
+    texts += ["ab" * 20_000, " " * 3_000 + "x", "ł'S'll " * 50, "日本 a", "'", "it''s 'tis we'rE O'Neil's", prose(3_000, "'s")]
+    assert [np.frombuffer(x, np.uint16).tolist() for x in cached.encode(texts)] == [whole(t) for t in texts]
+
+
+def test_every_entry_of_the_word_file_is_found_by_ranks():
+    cached, whole = CachedTokenizer(WORD_BPE), plain(WORD_BPE)
+    entries = [e for e in Tokenizer.from_file(WORD_BPE).get_vocab() if e.removesuffix("</w>").isascii()]
+    texts = [" ".join(entries[i : i + 50]) for i in range(0, len(entries), 50)]
+    texts += [t.replace("</w>", "") for t in texts]
     assert [np.frombuffer(x, np.uint16).tolist() for x in cached.encode(texts)] == [whole(t) for t in texts]
+
+
+def test_files_with_other_steps_are_not_merged_by_ranks():
+    known = json.loads(open(WORD_BPE, encoding="utf-8").read())
+    assert word_merger(known) is not None
+    known["normalizer"]["normalizers"].pop()
+    assert word_merger(known) is None
+
+
+def test_rows_of_one_id_are_dealt_to_several_shards(spark):
+    """A third of the rows without an id, half of them equal: no shard holds them all, and what is read back is whole."""
+    rows = [(None if i % 3 == 0 else i, "same text" if i % 6 == 0 else f"text {i} of many") for i in range(1_800)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(4)
+    folder = shared_folder(spark, "tokens")
+    with settings_of(spark, {"spark.sql.adaptive.coalescePartitions.enabled": "false"}):
+        tf.write_tokens(docs, WORD_BPE, 1, folder)
+        blocks = spark.read.format("binaryFile").option("pathGlobFilter", "part-*").load(f"{folder}/blocks").select("content").collect()
+        found = [tuple(r) for r in tf.read_tokens(spark, folder).collect()]
+    remove(spark, folder)
+    read = [b for row in blocks for b in tf.read_blocks(bytes(row["content"]))]
+    without = {shard for shard, _, ids, _, _ in read if np.ma.getmaskarray(ids).any()}
+    assert len(without) > 1
+    assert sum(len(ids) for _, _, ids, _, _ in read) == len(rows) == len(found)
+    in_order = sorted(found, key=lambda r: r[1])
+    assert [r[0] for r in in_order] == [None] * 600 + [i for i in range(1_800) if i % 3]
+    encode = plain(WORD_BPE)
+    sums = Counter((d, zlib.crc32(np.array(encode(t) + [1], "<u4").tobytes())) for d, t in rows)
+    assert Counter((d, c) for d, _, _, c in found) == sums
+    assert [r[1] for r in in_order] == [0, *np.cumsum([r[2] for r in in_order])[:-1]]
