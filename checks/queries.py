@@ -17,7 +17,7 @@ from snaplytics.operators import games, pivot, plays, quarterbacks as qb, receiv
 from snaplytics.plans.award import labelled_quarterbacks, run_award_model
 from snaplytics.plans.kept_totals import KeptTotals
 from snaplytics.session import checkpoint_folder, cut_lineage
-from snaplytics.sources import FEEDS, FeedFolder, conform, season_standings, write_bucketed, write_results
+from snaplytics.sources import FEEDS, FeedFolder, bucket_count, conform, season_standings, write_bucketed, write_results
 
 DIGITS = 6
 LIMIT_DIGITS = 3
@@ -27,7 +27,8 @@ SEASON = 1998
 FILE_SEASONS = range(1996, 1999)  # the seasons that are read back from files
 ALL_SEASONS = range(1990, 2010)
 LATE_WEEK = 20  # what comes after it arrives late in the season that is built twice
-BUCKETS = 8
+BUCKETS = 8  # at least
+ROWS_PER_BUCKET = 1_200_000
 RULES = qb.AwardRules(
     first_season=1995,
     left_out_seasons=(1996,),
@@ -333,10 +334,11 @@ def _kept(t: Tables, side: str) -> DataFrame:
 
 
 def _bucketed(t: Tables) -> DataFrame:
-    """Both sides stored in buckets of the join key, and joined from there."""
+    """Both sides stored in buckets of the join key, as many as their rows call for, and joined from there."""
     names = {name: f"{name}_{uuid.uuid4().hex}" for name in ("plays", "charting")}
+    buckets = bucket_count([t.view(name) for name in names], BUCKETS, ROWS_PER_BUCKET)
     for (name, stored), keys in zip(names.items(), (schemas.PLAY_KEY, schemas.CHARTING_KEY)):
-        write_bucketed(t.view(name), stored, keys, BUCKETS, path=f"{checkpoint_folder(t.spark)}/{stored}")
+        write_bucketed(t.view(name), stored, keys, buckets, path=f"{checkpoint_folder(t.spark)}/{stored}")
     return plays.join_charting(*[t.spark.table(stored) for stored in names.values()])
 
 

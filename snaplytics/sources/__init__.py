@@ -11,4 +11,4 @@ from snaplytics.sources.readers import (  # noqa: F401
     read_teams,
     season_standings,
 )
-from snaplytics.sources.sinks import replace_seasons, write_bucketed, write_results, write_text  # noqa: F401
+from snaplytics.sources.sinks import bucket_count, replace_seasons, write_bucketed, write_results, write_text  # noqa: F401

@@ -37,6 +37,15 @@ def write_text(df: DataFrame, path: str, mode: str = "overwrite") -> None:
     df.write.mode(mode).csv(path, header=True, nullValue="NA", emptyValue='""')
 
 
+def bucket_count(tables: Sequence[DataFrame], fewest: int, rows_per_bucket: int) -> int:
+    """Buckets for tables that are to be joined: a task holds one bucket of each, so their number follows the largest table.
+
+    Costs a count of every table.
+    """
+    rows = max(df.count() for df in tables)
+    return max(fewest, -(-rows // rows_per_bucket))
+
+
 def write_bucketed(
     df: DataFrame,
     table: str,
@@ -45,7 +54,10 @@ def write_bucketed(
     mode: str = "overwrite",
     path: str | None = None,
 ) -> None:
-    """A table bucketed on its join key: one shuffle here, none in the later play-charting joins."""
+    """A table bucketed on its join key: one shuffle here, none in the later play-charting joins.
+
+    Tables join without a shuffle where they have equally many ``buckets`` (see ``bucket_count``).
+    """
     writer = df.repartition(buckets, *keys).write.mode(mode).bucketBy(buckets, *keys).sortBy(*keys)
     if path is not None:
         writer = writer.option("path", path)

@@ -176,3 +176,18 @@ def test_bucketed_query_joins_without_a_shuffle(spark):
         text = final_plan(queries()["plays_charted_bucketed"](spark, FOLDER))
     assert "SortMergeJoin" in text or "ShuffledHashJoin" in text
     assert "Exchange" not in text
+
+
+def test_buckets_grow_with_the_rows(spark, monkeypatch):
+    few = rows(queries()["plays_charted_bucketed"](spark, FOLDER))
+    monkeypatch.setattr("checks.queries.ROWS_PER_BUCKET", 500)
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        df = queries()["plays_charted_bucketed"](spark, FOLDER)
+        assert "Exchange" not in final_plan(df)
+        assert {int(n) for n in re.findall(r"Bucketed: true.*?SelectedBucketsCount: \d+ out of (\d+)", plan(df), re.S)} == {12}
+    assert rows(df) == few
+
+
+def test_bucket_count_follows_the_largest_table(spark):
+    assert sources.bucket_count([spark.range(2), spark.range(10)], 2, 3) == 4
+    assert sources.bucket_count([spark.range(0), spark.range(6)], 2, 3) == 2
