@@ -323,7 +323,7 @@ def _kept(t: Tables, side: str) -> DataFrame:
     files = FileTables(t.spark, t.folder, ALL_SEASONS)
     for feed, name in (("charting", "charting"), ("schedules", "schedules"), ("team_logos", "teams")):
         files.write(feed, name)
-    everything = cut_lineage(t._derived.table("fx_plays"))
+    everything = t._derived.table("fx_plays")  # derived again for the late rows: far less than storing all rows
     late = (F.col("season") == SEASON) & (F.col("week") > LATE_WEEK)
     kept = KeptTotals(t.spark, f"{files.feeds.path}/kept")
     files.feeds.write("plays", everything.filter(~late))

@@ -191,3 +191,17 @@ def test_buckets_grow_with_the_rows(spark, monkeypatch):
 def test_bucket_count_follows_the_largest_table(spark):
     assert sources.bucket_count([spark.range(2), spark.range(10)], 2, 3) == 4
     assert sources.bucket_count([spark.range(0), spark.range(6)], 2, 3) == 2
+
+
+@pytest.mark.parametrize("side", ["off", "def"])
+def test_kept_query_stores_no_plays_but_the_feed(spark, monkeypatch, side):
+    stored = []
+    monkeypatch.setattr("checks.queries.cut_lineage", lambda df: stored.append(df.columns) or df)
+    assert queries()[f"kept_{side}_eff_summary"](spark, FOLDER).count() > 0
+    assert stored == []
+
+
+def test_charting_join_sorts_by_play_first(spark, feeds):
+    with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
+        text = plan(plays.join_charting(feeds.read("plays"), feeds.read("charting")))
+    assert re.search(r"Left keys \[2\]: \[play_id#\d+L?, game_id#\d+\]", text)
