@@ -20,6 +20,7 @@ class Feed:
     read: Callable[..., DataFrame]
     folders: tuple[str, ...] = ()  # columns whose values name the folders, season first
     text: bool = False
+    deal: bool = True  # by folder before writing; not where rows come from an aggregation
 
     @property
     def by_season(self) -> bool:
@@ -29,7 +30,7 @@ class Feed:
 FEEDS = {
     "plays": Feed(readers.read_plays, ("season", "week")),
     "charting": Feed(readers.read_charting, ("ftn_season",)),
-    "player_stats": Feed(readers.read_player_stats, ("season",)),
+    "player_stats": Feed(readers.read_player_stats, ("season",), deal=False),
     "schedules": Feed(readers.read_schedules, ("season",)),
     "teams": Feed(readers.read_teams),
     "team_logos": Feed(readers.read_team_logos),
@@ -56,7 +57,7 @@ class FeedFolder:
         """Replace the folders that ``df`` has rows for, or the whole table for feeds without seasons."""
         feed = _feed(name)
         if feed.by_season:
-            write_results(df, self.where(name), feed.folders)
+            write_results(df, self.where(name), feed.folders, deal=feed.deal)
         elif feed.text:
             write_text(df, self.where(name))
         else:

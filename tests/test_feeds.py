@@ -205,3 +205,21 @@ def test_charting_join_sorts_by_play_first(spark, feeds):
     with settings(spark, {"spark.sql.autoBroadcastJoinThreshold": "-1"}):
         text = plan(plays.join_charting(feeds.read("plays"), feeds.read("charting")))
     assert re.search(r"Left keys \[2\]: \[play_id#\d+L?, game_id#\d+\]", text)
+
+
+STATS = "player_id string, season int, week int"
+
+
+def test_player_stats_are_written_without_a_shuffle(spark, tmp_path):
+    folder = sources.FeedFolder(spark, str(tmp_path))
+    first = spark.createDataFrame([(f"p{i}", 2021 + i % 2, i) for i in range(30)], STATS).repartition(3).cache()
+    folder.write("player_stats", first)
+    files = {s: [f.name for f in (tmp_path / f"player_stats/season={s}").glob("*.parquet")] for s in (2021, 2022)}
+    # Every task wrote its own rows, a file per season it had.
+    had = rows(first.select("season", F.spark_partition_id().alias("task")).distinct().groupBy("season").count())
+    assert [(s, len(names)) for s, names in files.items()] == had and all(n > 1 for _, n in had)
+    assert all(".zstd." in name for names in files.values() for name in names)
+    folder.write("player_stats", first.filter("season = 2022").withColumn("week", F.col("week") + 100))
+    again = spark.read.parquet(folder.where("player_stats")).select("player_id", "season", "week")
+    assert rows(again) == rows(first.withColumn("week", F.expr("week + if(season = 2022, 100, 0)")))
+    first.unpersist()
