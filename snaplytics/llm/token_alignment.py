@@ -19,10 +19,11 @@ from __future__ import annotations
 
 import hashlib
 import heapq
+import re
 import struct
-from array import array
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -30,7 +31,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from snaplytics.llm.cached_tokens import BYTE_LETTERS, ODD_BLANK, ODD_SPACE
+from snaplytics.llm.cached_tokens import BYTE_LETTERS, ODD_SPACE, CachedTokenizer
 from snaplytics.llm.common import stored
 
 RADIX = 64
@@ -39,8 +40,11 @@ FAN_IN = 64  # chunks whose runs are merged at a time
 FRAME = 16_384  # pairs of a compressed frame
 MAX_UNITS = 200_000  # units of text that a worker holds; further ones are aligned each time
 MAX_UNIT = 64
+LUMP = 512  # new units that are encoded at once
 TEXTS_AT_ONCE = 256
 BLANK = "▁"
+BARE = {"", "\n"}  # units that come from a blank or line break beside another one, or at a text's end
+ODD = re.compile(f"[\t\r\x0b\x0c]|{ODD_SPACE.pattern}")
 WHOLE = "\t"  # before a text that is not cut; those that are cut hold none
 FRAME_HEAD = struct.Struct("<II")  # pairs, compressed bytes
 DOCUMENT = "doc_id long, n_a long, n_b long, n_groups long, n_links long, groups_sha256 string"
@@ -67,16 +71,16 @@ class Aligner:
     """Ids of both tokenizers and their links. ``None`` stands for texts that are not cut into the same bytes.
 
     A single blank between other characters starts a token in both vocabularies, and so does a line
-    break, so texts are cut there and each distinct unit is encoded once per worker. Where
-    other white space might matter, or a vocabulary has tokens across blanks, texts are encoded whole.
+    break, so texts are cut there into units. Both have an end where a unit ends, so a text's groups and links are those
+    of its units in a row, and each distinct unit is encoded and aligned once per worker. Where
+    other white space might matter, or a vocabulary has tokens across blanks, a text is a unit of its own.
     """
 
     def __init__(self, path_a: str, path_b: str):
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_file(path_a)
-        self.a.encode_special_tokens = True  # their strings in a text are ordinary text
+        cached = CachedTokenizer(path_a)
+        self.a, self.merge, self.unsure = cached.tokenizer, cached.merge, cached.unsure
         byte_of = {letter: b for b, letter in BYTE_LETTERS.items()}
         self.a_bytes = [b""] * self.a.get_vocab_size()
         for entry, i in self.a.get_vocab().items():
@@ -89,73 +93,118 @@ class Aligner:
         self.sizes = tuple(np.fromiter(map(len, x), np.int64, len(x)) for x in (self.a_bytes, self.b_bytes))
         # An id as text, with what stands behind it inside its group's side, and at that side's end.
         self.names = [f"{i}{end}" for n, last in ((len(self.a_bytes), "|"), (len(self.b_bytes), ";")) for i in range(n) for end in (",", last)]
-        self.units: dict[str, tuple[bytes, ...]] = {}  # ids of both, or nothing
-
-    def _units(self, text: str) -> list[str]:
-        """What a text is cut into: what stands behind a blank, or a line break and what stands behind it, or WHOLE and the text."""
-        if not self.cuts or ODD_SPACE.search(text) or ODD_BLANK.search(text):
-            return [WHOLE + text]
-        return text.replace("\n", " \n").split(" ")
-
-    def _checked(self, unit: str, a: Sequence[int], b: Sequence[int]) -> tuple[bytes, ...]:
-        if unit[0] == "\n":  # no blank stands before a line break
-            given = unit.encode()
-            if b[0] != self.blank:
-                raise ValueError("a line break that is no token of its own")
-            b = b[1:]
+        self.name_sizes = np.fromiter(map(len, self.names), np.int64, len(self.names))
+        # Units that are held, and by place: numbers of ids of both, groups and links, the links side by side, the groups.
+        # Behind them stand those of the last texts only.
+        self.places: dict[str, int] = {}
+        self.counts, self.links, self.groups = np.empty((4, 0), np.int64), np.empty(0, "<u4"), []
+
+    def _odd(self, units: set[str]) -> set[str]:
+        """Those of the units that show that their text can't be cut at blanks."""
+        if not self.cuts:
+            return units
+        if units.isdisjoint(BARE) and not ODD.search(" ".join(units)):
+            return set()
+        return {u for u in units if u in BARE or ODD.search(u)}
+
+    def _placed(self, texts: Sequence[str | None]) -> list[list[int]]:
+        """Per text the places of its units: what stands behind a blank, a line break and what stands behind it, or WHOLE
+        and the text. A held unit has no odd white space, so only new ones are searched for it."""
+        cut = [t.replace("\n", " \n").split(" ") if t else [] for t in texts]
+        placed = [list(map(self.places.get, units)) for units in cut]
+        lacking = [n for n, own in enumerate(placed) if None in own]
+        new = {u for n in lacking for u, x in zip(cut[n], placed[n]) if x is None}
+        odd = self._odd(new)
+        whole = [n for n in lacking if not odd.isdisjoint(cut[n])] if odd else []
+        for n in whole:
+            cut[n], placed[n] = [WHOLE + texts[n]], [None]
+        if whole:
+            new = {u for n in lacking for u, x in zip(cut[n], placed[n]) if x is None}
+        self._add(new)
+        for n in lacking:
+            placed[n] = [self.added[u] if x is None else x for u, x in zip(cut[n], placed[n])]
+        return placed
+
+    def _add(self, new: set[str]) -> None:
+        held = len(self.places)
+        plain = [u for u in new if u[0] != WHOLE]
+        if self.unsure.search(" ".join(plain)):  # those that merge by ranks in lumps of their own
+            plain.sort(key=lambda u: self.unsure.search(u) is not None)
+        stay = [u for u in plain if len(u) <= MAX_UNIT][: max(0, MAX_UNITS - held)]
+        others = set(stay)
+        plain = stay + [u for u in plain if u not in others]
+        whole = [u for u in new if u[0] == WHOLE]
+        self.added = {u: held + i for i, u in enumerate(plain + whole)}
+        self.places.update((u, self.added[u]) for u in stay)
+        counts, links, groups = self._aligned([plain[at : at + LUMP] for at in range(0, len(plain), LUMP)] + [[u] for u in whole])
+        kept = self.counts[:, :held]
+        self.counts, self.links = np.concatenate([kept, counts], 1), np.concatenate([self.links[: kept[3].sum()], links])
+        self.groups[held:] = groups
+
+    def _encoded(self, units: list[str]) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+        """Ids of both, and the units' numbers of bytes: of all at once, or of parts, where one gives back other bytes."""
+        is_whole = units[0][0] == WHOLE
+        text = " " + units[0][1:] if is_whole else (" " + " ".join(units)).replace(" \n", "\n")
+        raw = np.frombuffer(text.encode(), np.uint8)
+        starts = np.zeros(1, np.int64) if is_whole else np.flatnonzero((raw == ord(" ")) | (raw == ord("\n")))
+        if self.merge is None or self.unsure.search(text):
+            a = self.a.encode(text, add_special_tokens=False).ids
         else:
-            given = b" " + unit.removeprefix(WHOLE).encode()
-        if b"".join([self.a_bytes[i] for i in a]) != given or b"".join([self.b_bytes[i] for i in b]) != given:
-            return ()
-        return array("H", a).tobytes(), array("H", b).tobytes()
-
-    def encode(self, texts: Sequence[str | None]) -> list[tuple[bytes, bytes] | None]:
-        """Per text the ids of both as 16-bit numbers, or None."""
-        cut = [self._units(t) if t else [] for t in texts]
-        parts = [list(map(self.units.get, units)) for units in cut]
-        new = list({u for units, own in zip(cut, parts) if None in own for u, x in zip(units, own) if x is None})
-        if new:
-            bare = [u.removeprefix(WHOLE) for u in new]
-            ids_a = self.a.encode_batch_fast([u if u[0] == "\n" else " " + t for u, t in zip(new, bare)], add_special_tokens=False)
-            added = {u: self._checked(u, a.ids, b) for u, a, b in zip(new, ids_a, self.b.encode(bare, num_threads=1))}
-            for units, own in zip(cut, parts):
-                if None in own:
-                    own[:] = [added[u] if x is None else x for u, x in zip(units, own)]
-            room = max(0, MAX_UNITS - len(self.units))
-            self.units.update([(u, x) for u, x in added.items() if len(u) <= MAX_UNIT][:room])
-        # One unit that gives back other bytes ends the zip at once, and no text remains.
-        return [tuple(map(b"".join, zip(*own))) or None for own in parts]
-
-    def align(self, texts: Sequence[str | None]) -> list[Aligned | None]:
-        """Texts one after the other in one sequence of bytes. Both tokenizers' ends cut it into
-        stretches; each stretch lies in one token of either, and so is one link."""
-        ids = self.encode(texts)
-        known = [x for x in ids if x is not None]
-        if not known:
-            return [None] * len(texts)
-        counts = [np.fromiter((len(x[side]) // 2 for x in known), np.int64, len(known)) for side in (0, 1)]
-        a, b = (np.frombuffer(b"".join(x[side] for x in known), "<u2").astype(np.int64) for side in (0, 1))
-        ends_a, ends_b = np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
-        text_ends = ends_a[np.cumsum(counts[0]) - 1]
+            a = np.frombuffer(self.merge(text), "<u2").tolist()
+        b = self.b.encode(text.removeprefix(" "))
+        if text[0] == "\n" and b[0] == self.blank:  # no blank stands before a line break
+            b = b[1:]
+        given, sizes = raw.tobytes(), np.diff(starts, append=len(raw))
+        if b"".join(map(self.a_bytes.__getitem__, a)) == given and b"".join(map(self.b_bytes.__getitem__, b)) == given:
+            a, b = np.array(a, np.int64), np.array(b, np.int64)
+            ends = np.cumsum(sizes)
+            if len(units) == 1 or all(np.isin(ends, np.cumsum(own[ids])).all() for own, ids in zip(self.sizes, (a, b))):
+                return [(a, b, sizes)]
+        if len(units) == 1:
+            return [(np.empty(0, np.int64), np.empty(0, np.int64), np.zeros(1, np.int64))]
+        step = -(-len(units) // 16)
+        return [x for at in range(0, len(units), step) for x in self._encoded(units[at : at + step])]
+
+    def _aligned(self, lumps: list[list[str]]) -> tuple[np.ndarray, np.ndarray, list[str]]:
+        """Units one after the other in one sequence of bytes. Both tokenizers' ends cut it into
+        stretches; each stretch lies in one token of either, and so is one link. Units with other bytes have no ids."""
+        if not lumps:
+            return np.empty((4, 0), np.int64), np.empty(0, "<u4"), []
+        a, b, sizes = map(np.concatenate, zip(*[x for lump in lumps for x in self._encoded(lump)]))
+        unit_ends, ends_a, ends_b = np.cumsum(sizes), np.cumsum(self.sizes[0][a]), np.cumsum(self.sizes[1][b])
         ends = np.sort(np.concatenate([ends_a, ends_b]), kind="stable")
         twice = ends[1:] == ends[:-1]
-        stretches, groups = ends[np.concatenate([[True], ~twice])], ends[1:][twice]
+        stretches, groups = ends[np.concatenate([ends[:1] > 0, ~twice])], ends[1:][twice]
         links = (a[np.searchsorted(ends_a, stretches)] << 16 | b[np.searchsorted(ends_b, stretches)]).astype("<u4")
-        digests = self._group_digests(a, b, ends_a, ends_b, groups, counts[0] + counts[1])
-        last_link = np.searchsorted(stretches, text_ends, "right")
-        n_groups = np.diff(np.searchsorted(groups, text_ends, "right"), prepend=0).tolist()
-        own = np.split(links, last_link[:-1])
-        found = map(Aligned, counts[0].tolist(), counts[1].tolist(), n_groups, own, digests)
-        return [None if x is None else next(found) for x in ids]
-
-    def _group_digests(self, a, b, ends_a, ends_b, groups, tokens) -> list[str]:
+        own = [np.diff(np.searchsorted(x, unit_ends, "right"), prepend=0) for x in (ends_a, ends_b, groups, stretches)]
+        return np.array(own), links, self._written_groups(a, b, ends_a, ends_b, groups, own[0] + own[1])
+
+    def _written_groups(self, a, b, ends_a, ends_b, groups, tokens) -> list[str]:
         group_a, group_b = np.searchsorted(groups, ends_a), np.searchsorted(groups, ends_b)
         order = np.argsort(np.concatenate([2 * group_a, 2 * group_b + 1]), kind="stable")
         names = np.concatenate([2 * a + (groups[group_a] == ends_a), 2 * (len(self.a_bytes) + b) + (groups[group_b] == ends_b)])[order]
-        written = list(map(self.names.__getitem__, names.tolist()))
-        last = np.cumsum(tokens).tolist()
-        texts = ("".join(written[start:end])[:-1] for start, end in zip([0, *last], last))
-        return [hashlib.sha256(t.encode()).hexdigest() for t in texts]
+        written = "".join(map(self.names.__getitem__, names.tolist()))
+        ends = np.cumsum(np.append(0, self.name_sizes[names]))[np.cumsum(tokens)].tolist()
+        return [written[start:end] for start, end in zip([0, *ends], ends)]
+
+    def align(self, texts: Sequence[str | None]) -> list[Aligned | None]:
+        placed = self._placed(texts)
+        sizes = np.array([len(own) for own in placed if own], np.int64)
+        if not len(sizes):
+            return [None] * len(texts)
+        places = np.fromiter(chain.from_iterable(placed), np.int64, sizes.sum())
+        counts, first = self.counts[:, places], (np.cumsum(self.counts[3]) - self.counts[3])[places]
+        starts = np.cumsum(sizes) - sizes
+        totals, same = np.add.reduceat(counts, starts, axis=1), np.minimum.reduceat(counts[0], starts) > 0
+        own = counts[3]
+        links = self.links[np.repeat(first - np.cumsum(own) + own, own) + np.arange(own.sum())]
+        of_text = zip(same.tolist(), *totals[:3].tolist(), np.split(links, np.cumsum(totals[3])[:-1]))
+        out = []
+        for own_places in placed:
+            is_same, n_a, n_b, n_groups, own_links = next(of_text) if own_places else (False,) * 5
+            groups = "".join(map(self.groups.__getitem__, own_places))[:-1] if is_same else ""
+            out.append(Aligned(n_a, n_b, n_groups, own_links, hashlib.sha256(groups.encode()).hexdigest()) if is_same else None)
+        return out
 
 
 _workers: dict[tuple[str, str], Aligner] = {}

@@ -116,6 +116,34 @@ def test_alignment_edge_cases(spark):
     assert alignment.align_tokenizers(docs.filter("text is null"), BYTES, PIECES).agg({"n_links": "sum"}).first()[0] == 0
 
 
+def test_units_of_text_are_aligned_once(monkeypatch):
+    """Texts of known units take no further sort of token ends, and no unit goes through the tokenizers alone."""
+    aligner, sort, ends = alignment.Aligner(BYTES, PIECES), np.sort, []
+    monkeypatch.setattr(alignment.np, "sort", lambda x, **how: ends.append(len(x)) or sort(x, **how))
+    words = ["it's", "caf\xe9", "\u65e5\u672c", "a\u2581b", "12,5", "x\ny"]
+    first = aligner.align([" ".join(words), " ".join(words[:3])])
+    assert first[0] is None and sum(ends) < 60
+    ends.clear()
+    again = aligner.align([" ".join(words[:3]), " ".join(words[:3] * 500), " ".join(words)])
+    assert sum(ends) == 0
+    assert again[0].groups_sha256 == first[1].groups_sha256 and again[0].links.tolist() == first[1].links.tolist()
+    assert len(again[1].links) == 500 * len(again[0].links) and again[2] is None
+
+
+@pytest.mark.parametrize("held, lump", [(0, 3), (6, 4), (200_000, 512)])
+def test_alignment_of_units_in_lumps(monkeypatch, held, lump):
+    """Units that give back other bytes, are cut elsewhere or are not held lie between others."""
+    monkeypatch.setattr(alignment, "MAX_UNITS", held)
+    monkeypatch.setattr(alignment, "LUMP", lump)
+    rng, aligner = random.Random(2), alignment.Aligner(BYTES, PIECES)
+    parts = ["the", "don't", "a\u2581b", "caf\xe9", "\u65e5\u672c", "\u2019s", "\U0001f642x", "<s>", "y" * 70, "\nz", "\n", "", "a\tb", "\ta\u3000", "q\0"]
+    for _ in range(60):
+        few = rng.sample(parts, rng.randint(1, 6))
+        texts = [" ".join(rng.choice([*few, f"w{rng.randrange(99)}"]) for _ in range(rng.randint(0, 30))) for _ in range(8)]
+        found = [(x.n_a, x.n_b, x.n_groups, len(x.links), x.groups_sha256) if x else (0, 0, 0, 0, "") for x in aligner.align(texts)]
+        assert found == [(*row[1:5], row[7]) for row in brute_alignment(list(enumerate(texts)))]
+
+
 def test_runs_of_many_frames_merge_to_the_sum(monkeypatch):
     monkeypatch.setattr(alignment, "FRAME", 7)
     rng, runs, expected = random.Random(3), [], Counter()
