@@ -44,6 +44,7 @@ LUMP = 512  # new units that are encoded at once
 TEXTS_AT_ONCE = 256
 BLANK = "▁"
 BARE = {"", "\n"}  # units that come from a blank or line break beside another one, or at a text's end
+LONG_BLANK = re.compile(r"(?<!\s)\s{1000}")  # merging by ranks fails on a million
 ODD = re.compile(f"[\t\r\x0b\x0c]|{ODD_SPACE.pattern}")
 WHOLE = "\t"  # before a text that is not cut; those that are cut hold none
 FRAME_HEAD = struct.Struct("<II")  # pairs, compressed bytes
@@ -147,7 +148,7 @@ class Aligner:
         text = " " + units[0][1:] if is_whole else (" " + " ".join(units)).replace(" \n", "\n")
         raw = np.frombuffer(text.encode(), np.uint8)
         starts = np.zeros(1, np.int64) if is_whole else np.flatnonzero((raw == ord(" ")) | (raw == ord("\n")))
-        if self.merge is None or self.unsure.search(text):
+        if self.merge is None or self.unsure.search(text) or is_whole and LONG_BLANK.search(text):
             a = self.a.encode(text, add_special_tokens=False).ids
         else:
             a = np.frombuffer(self.merge(text), "<u2").tolist()

@@ -144,6 +144,17 @@ def test_alignment_of_units_in_lumps(monkeypatch, held, lump):
         assert found == [(*row[1:5], row[7]) for row in brute_alignment(list(enumerate(texts)))]
 
 
+def test_alignment_of_long_blanks():
+    from sentencepiece import SentencePieceProcessor
+    from tokenizers import Tokenizer
+
+    for text in ("a" + " " * 1_500_000 + "b", "\n " * 750_000):
+        found = alignment.Aligner(BYTES, PIECES).align([text])[0]
+        ids_a = Tokenizer.from_file(BYTES).encode(" " + text, add_special_tokens=False).ids
+        ids_b = SentencePieceProcessor(model_file=PIECES).encode(text)
+        assert (found.n_a, found.n_b) == (len(ids_a), len(ids_b))
+
+
 def test_runs_of_many_frames_merge_to_the_sum(monkeypatch):
     monkeypatch.setattr(alignment, "FRAME", 7)
     rng, runs, expected = random.Random(3), [], Counter()
